@@ -52,4 +52,4 @@ def r(expr: str, digits: int = DIGITS) -> str:
 
 
 # Query modules register themselves on import.
-from fleetlens.plans import queries_core  # noqa: E402,F401
+from fleetlens.plans import queries_core, queries_features  # noqa: E402,F401
