@@ -221,29 +221,39 @@ def score_histogram(df: DataFrame, score: str = "score", label: str = "y", bins:
               .withColumn("bin_low", lo + F.col("bin") * F.when(hi == lo, F.lit(0.0)).otherwise(width)))
 
 
-def contamination(df: DataFrame, y: str = "y", floor: float = 0.001) -> Column:
-    """max(label rate, 0.001) as a scalar Column."""
-    return df.agg(F.greatest(F.avg(F.col(y).cast("double")), F.lit(floor))).scalar()
+def contamination(df: DataFrame, y: str = "y", floor: float = 0.001) -> float:
+    """max(label rate, 0.001) (G13).  A model parameter: one scalar read back
+    to the driver, as the quantile below and the LOF offset need a constant."""
+    v = df.agg(F.greatest(F.avg(F.col(y).cast("double")), F.lit(floor))).first()[0]
+    return float(v) if v is not None else floor
 
 
-def score_threshold(train: DataFrame, score: str, contamination_col: Column) -> Column:
-    """Linear quantile of training scores at 1 - contamination (G14), scalar."""
-    return train.agg(F.percentile(F.col(score), F.lit(1.0) - contamination_col)).scalar()
+def score_threshold(train: DataFrame, score: str, contamination_value: float) -> Column:
+    """Linear quantile of training scores at 1 - contamination (G14), as a
+    scalar subquery Column (exact ``percentile``)."""
+    return train.agg(F.percentile(F.col(score), F.lit(1.0 - contamination_value))).scalar()
 
 
 def anomaly_evaluation(train: DataFrame, test: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """Threshold from the training quantile, then predicted rate, P/R/F1, AP, AUC."""
+    """Threshold from the training quantile, then predicted rate, P/R/F1, AP, AUC.
+
+    Every part is a one-row aggregate; they are put side by side with scalar
+    subqueries, not joins."""
     cont = contamination(train, y)
     thr = score_threshold(train, score, cont)
     pred = test.withColumn("pred", _pred(score, thr))
-    bm = binary_metrics(pred, y, "pred").select("precision", "recall", "f1")
+    bm = binary_metrics(pred, y, "pred")
+    cm = curve_metrics(score_curve(test, score, y))
     rates = pred.agg(F.avg(F.col("pred").cast("double")).alias("predicted_anomaly_rate"),
                      F.avg(F.col(y).cast("double")).alias("test_anomaly_rate"))
-    cm = curve_metrics(score_curve(test, score, y)).select("average_precision", "roc_auc")
-    head = train.agg(F.lit(1).alias("_j")).select("_j", thr.alias("threshold"), cont.alias("contamination"))
-    return (head.join(rates.withColumn("_j", F.lit(1)), "_j")
-                .join(bm.withColumn("_j", F.lit(1)), "_j")
-                .join(cm.withColumn("_j", F.lit(1)), "_j").drop("_j"))
+    return rates.select(
+        thr.alias("threshold"), F.lit(cont).alias("contamination"),
+        "predicted_anomaly_rate", "test_anomaly_rate",
+        bm.select("precision").scalar().alias("precision"),
+        bm.select("recall").scalar().alias("recall"),
+        bm.select("f1").scalar().alias("f1"),
+        cm.select("average_precision").scalar().alias("average_precision"),
+        cm.select("roc_auc").scalar().alias("roc_auc"))
 
 
 def positive_rates(parts: dict[str, DataFrame], y: str = "y") -> DataFrame:
@@ -258,17 +268,15 @@ def positive_rates(parts: dict[str, DataFrame], y: str = "y") -> DataFrame:
 
 def leaderboard(results: Sequence[DataFrame], metric: str, secondary: str | None = None,
                 secondary_desc: bool = False) -> DataFrame:
-    """Union of per-model result rows, ordered by metric desc (+ secondary),
-    with a ``winner`` flag on the best row (U1, S2, S6, V16)."""
+    """Union of per-model result rows (U1) ordered by metric desc, then the
+    secondary metric, then model name (S2), with a ``winner`` flag on the
+    first row (S6, V16).  One row per model: the ordering window is tiny."""
     out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r, allowMissingColumns=True)
+    for res in results[1:]:
+        out = out.unionByName(res, allowMissingColumns=True)
     order = [F.col(metric).desc_nulls_last()]
     if secondary:
-        order.append(F.col(secondary).desc() if secondary_desc else F.col(secondary).asc())
+        order.append(F.col(secondary).desc_nulls_last() if secondary_desc else F.col(secondary).asc_nulls_last())
     order.append(F.col("model").asc())
-    best = out.agg(F.max_by(F.col("model"), F.struct(
-        F.col(metric), (-F.col(secondary) if (secondary and not secondary_desc) else
-                        (F.col(secondary) if secondary else F.lit(0))),
-        F.lit(0)))).scalar()
-    return out.withColumn("winner", F.col("model") == best).orderBy(*order)
+    return (out.withColumn("winner", F.row_number().over(Window.orderBy(*order)) == 1)
+               .orderBy(*order))

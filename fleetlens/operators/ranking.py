@@ -49,6 +49,7 @@ def prioritize(candidates: DataFrame, n: int = DEFAULT_TOP_N, key: str = "server
     return rank_enumerate(top_n(scored, order, n), order)
 
 
-def latest_rows(df: DataFrame, n: int, date_col: str = "date", key: str = "server_id") -> DataFrame:
-    """The n most recent rows, ties by key."""
-    return top_n(df, [F.col(date_col).desc(), F.col(key).asc()], n)
+def latest_rows(df: DataFrame, n: int, date_col: str = "date",
+                tiebreak: Sequence[str] = ("server_id",)) -> DataFrame:
+    """The n most recent rows, ties by the tiebreak columns."""
+    return top_n(df, [F.col(date_col).desc(), *[F.col(c).asc() for c in tiebreak]], n)
