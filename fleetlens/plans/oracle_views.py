@@ -86,4 +86,7 @@ def sql_with(names, body: str, extra: list[tuple[str, str]] | None = None) -> st
     """WITH <needed analog views>, <extra ctes> <body>."""
     ctes = [f"{n} AS ({VIEWS[n][1].strip()})" for n in _order(names)]
     ctes += [f"{n} AS ({s.strip()})" for n, s in (extra or [])]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body.strip()) if ctes else body.strip()
+    body = body.strip()
+    if not ctes:
+        return "WITH " + body[1:].lstrip() if body.startswith(",") else body
+    return "WITH " + ",\n".join(ctes) + "\n" + body

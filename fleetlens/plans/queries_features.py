@@ -117,7 +117,8 @@ def b25_business_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEAS = FT.USAGE_MEASURES
 
 
-def _usage_profile_sql() -> str:
+def _usage_profile_sql(rounded: bool = True) -> str:
+    rr = r if rounded else (lambda e: e)
     base = """
 , UP AS (SELECT *, (cpu_util_pct + ram_util_pct + disk_util_pct) / 3.0::DOUBLE AS utilization_pressure,
             temperature_c * cpu_util_pct / 100.0::DOUBLE AS thermal_cpu_pressure,
@@ -137,15 +138,15 @@ G AS (SELECT server_id,
             if m == "backup_success" and fn == "min":
                 aggs.append(f"  {expr} AS {m}_{fn}")
             else:
-                aggs.append(f"  {r(expr)} AS {m}_{fn}")
+                aggs.append(f"  {rr(expr)} AS {m}_{fn}")
     aggs.append("  COUNT(*) AS observation_count")
-    aggs += [f"  {r(f'QUANTILE_CONT({m}, 0.9)')} AS {m}_p90" for m in MEAS]
-    aggs += [f"  {r(f'AVG(CASE WHEN rn <= 7 THEN {m} END)')} AS {m}_recent7_mean" for m in MEAS]
+    aggs += [f"  {rr(f'QUANTILE_CONT({m}, 0.9)')} AS {m}_p90" for m in MEAS]
+    aggs += [f"  {rr(f'AVG(CASE WHEN rn <= 7 THEN {m} END)')} AS {m}_recent7_mean" for m in MEAS]
     aggs += [
-        f"  {r('AVG(CASE WHEN cpu_util_pct >= 85 THEN 1.0 ELSE 0.0 END)')} AS high_cpu_day_rate",
-        f"  {r('AVG(CASE WHEN ram_util_pct >= 85 THEN 1.0 ELSE 0.0 END)')} AS high_ram_day_rate",
-        f"  {r('AVG(CASE WHEN temperature_c >= 70 THEN 1.0 ELSE 0.0 END)')} AS high_temperature_day_rate",
-        f"  {r('AVG(1.0 - backup_success)')} AS backup_failure_rate",
+        f"  {rr('AVG(CASE WHEN cpu_util_pct >= 85 THEN 1.0 ELSE 0.0 END)')} AS high_cpu_day_rate",
+        f"  {rr('AVG(CASE WHEN ram_util_pct >= 85 THEN 1.0 ELSE 0.0 END)')} AS high_ram_day_rate",
+        f"  {rr('AVG(CASE WHEN temperature_c >= 70 THEN 1.0 ELSE 0.0 END)')} AS high_temperature_day_rate",
+        f"  {rr('AVG(1.0 - backup_success)')} AS backup_failure_rate",
     ]
     # unrounded shifts for the feature table
     for name, m in (("usage", "cpu_util_pct"), ("temp", "temperature_c"), ("net", "network_total_gb")):
@@ -159,7 +160,7 @@ def g1_g4_usage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- G5/G6 incident profile ------------------------------------------------------------
-INC_PROFILE_SQL = """
+INC_PROFILE_TMPL = """
 , REF AS (SELECT MAX(date) AS ref FROM E),
 IP AS (SELECT server_id, COUNT(*) AS incident_count, COUNT(DISTINCT date) AS incident_day_count,
   ROUND(AVG(duration_minutes), 6) AS incident_duration_minutes_mean,
@@ -178,6 +179,8 @@ IP AS (SELECT server_id, COUNT(*) AS incident_count, COUNT(DISTINCT date) AS inc
   CAST(date_diff('day', MAX(date), (SELECT ref FROM REF)) AS INTEGER) AS days_since_last_incident
 FROM INC GROUP BY server_id)
 """
+INC_PROFILE_SQL = INC_PROFILE_TMPL
+INC_PROFILE_RAW = INC_PROFILE_TMPL.replace("ROUND(", "(").replace(", 6) AS", ") AS")
 
 
 @register("g5_g6_incident_profile", sql_with(["E", "INC"], INC_PROFILE_SQL + "SELECT * FROM IP"))
@@ -188,22 +191,30 @@ def g5_g6_incident_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- J2/J3 + B8/B13/B14: the server feature table ----------------------------------------
-def _server_features_sql() -> str:
+def _server_features_sql(rounded: bool = True) -> str:
+    rr = r if rounded else (lambda e: e)
     fill = ", ".join(
         f"COALESCE(IP.{k}, {v}) AS {k}" if not isinstance(v, float) else f"COALESCE(IP.{k}, 0.0) AS {k}"
         for k, v in FT.INCIDENT_DEFAULTS.items())
-    return (_usage_profile_sql() + INC_PROFILE_SQL + f"""
+    return (_usage_profile_sql(rounded) + (INC_PROFILE_SQL if rounded else INC_PROFILE_RAW) + f"""
 , FTB AS (SELECT S.server_id, S.region, S.country, S.segment, S.support_plan,
-       ROUND(S.monthly_spend_eur, 6) AS monthly_spend_eur, S.has_gpu, S.is_managed,
-       ROUND(S.capacity_used_pct, 6) AS capacity_used_pct, G.* EXCLUDE (server_id), {fill}
+       {rr('S.monthly_spend_eur')} AS monthly_spend_eur, S.has_gpu, S.is_managed,
+       {rr('S.capacity_used_pct')} AS capacity_used_pct, G.* EXCLUDE (server_id), {fill}
   FROM SRV S LEFT JOIN G ON S.server_id = G.server_id LEFT JOIN IP ON S.server_id = IP.server_id)
-SELECT *,
-  {r('CASE WHEN COALESCE(observation_count, 0) > 0 THEN incident_count / CAST(COALESCE(observation_count, 0) AS DOUBLE) ELSE 0.0 END')} AS incident_rate,
-  {r('CASE WHEN LEAST(COALESCE(observation_count, 0), 30) > 0 THEN recent30_incident_count / CAST(LEAST(COALESCE(observation_count, 0), 30) AS DOUBLE) ELSE 0.0 END')} AS recent30_incident_rate,
-  {r('_s_usage')} AS recent_usage_shift,
-  {r('_s_temp')} AS recent_temperature_shift,
-  {r('_s_net')} AS recent_network_shift
-FROM FTB""").replace("SELECT *,\n  ROUND(CASE", "SELECT * EXCLUDE (_s_usage, _s_temp, _s_net),\n  ROUND(CASE")
+SELECT * EXCLUDE (_s_usage, _s_temp, _s_net),
+  {rr('CASE WHEN COALESCE(observation_count, 0) > 0 THEN incident_count / CAST(COALESCE(observation_count, 0) AS DOUBLE) ELSE 0.0 END')} AS incident_rate,
+  {rr('CASE WHEN LEAST(COALESCE(observation_count, 0), 30) > 0 THEN recent30_incident_count / CAST(LEAST(COALESCE(observation_count, 0), 30) AS DOUBLE) ELSE 0.0 END')} AS recent30_incident_rate,
+  {rr('_s_usage')} AS recent_usage_shift,
+  {rr('_s_temp')} AS recent_temperature_shift,
+  {rr('_s_net')} AS recent_network_shift
+FROM FTB""")
+
+
+def server_features_cte(rounded: bool = False) -> str:
+    """The feature-table SQL as a CTE named FT (for queries built on it)."""
+    body = _server_features_sql(rounded)
+    head, tail = body.rsplit("\nSELECT * EXCLUDE", 1)
+    return head + "\n, FT AS (SELECT * EXCLUDE" + tail + ")\n"
 
 
 @register("j2_j3_server_feature_table", sql_with(["U", "INC", "SRV"], _server_features_sql()))
