@@ -230,11 +230,11 @@ def impact_direction(impact) -> Column:
 
 
 # Sentence templates of the explanation texts.
-INCIDENT_SENTENCE = ("Le modele estime un risque incident de %.2f %%. "
+INCIDENT_SENTENCE = ("Le modele estime un risque incident de %s %%. "
                      "Les facteurs qui expliquent le plus ce score sont: %s.")
 INCIDENT_FALLBACK = ("Aucun facteur dominant n'a ete identifie; "
                      "le risque vient de la combinaison globale des signaux.")
-SUPPORT_SENTENCE = "La prevision est de %.2f tickets. Les facteurs les plus influents sont: %s."
+SUPPORT_SENTENCE = "La prevision est de %s tickets. Les facteurs les plus influents sont: %s."
 SUPPORT_FALLBACK = ("Aucun facteur dominant n'a ete identifie; "
                     "la prevision vient de la combinaison globale des signaux regionaux.")
 ANOMALY_SENTENCE = ("This server is flagged mainly because these signals differ from normal "
@@ -242,7 +242,14 @@ ANOMALY_SENTENCE = ("This server is flagged mainly because these signals differ
 ANOMALY_FALLBACK = ("No single feature dominates this anomaly score; "
                     "the alert comes from the combined server profile.")
 SEGMENT_SENTENCE = "Ce serveur est classe dans le profil '%s'%s. Raison principale: %s."
-SEGMENT_CONFIDENCE = " avec une probabilite de cluster de %.1f %%"
+SEGMENT_CONFIDENCE = " avec une probabilite de cluster de %s %%"
+
+
+def fixed(x, digits: int = 2) -> Column:
+    """Fixed-point text of a double, rounded from its exact binary value like
+    Python's ``f"{x:.2f}"`` (``format_string('%.2f')`` rounds the shortest
+    decimal form half-up instead, which differs near ties)."""
+    return F.regexp_replace(F.format_number(_c(x).cast("double"), digits), ",", "")
 
 
 def incident_sentence(labels, probability) -> Column:
@@ -250,14 +257,14 @@ def incident_sentence(labels, probability) -> Column:
     labels = _c(labels)
     drivers = F.array_join(F.slice(labels, 1, 3), ", ")
     return F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, F.lit(INCIDENT_FALLBACK)).otherwise(
-        F.format_string(INCIDENT_SENTENCE, _c(probability) * F.lit(100.0), drivers))
+        F.format_string(INCIDENT_SENTENCE, fixed(_c(probability) * F.lit(100.0), 2), drivers))
 
 
 def support_sentence(labels, prediction) -> Column:
     labels = _c(labels)
     drivers = F.array_join(F.slice(labels, 1, 3), ", ")
     return F.when(F.coalesce(F.size(labels), F.lit(0)) <= 0, F.lit(SUPPORT_FALLBACK)).otherwise(
-        F.format_string(SUPPORT_SENTENCE, _c(prediction), drivers))
+        F.format_string(SUPPORT_SENTENCE, fixed(prediction, 2), drivers))
 
 
 def anomaly_sentence(labels) -> Column:
@@ -269,7 +276,7 @@ def anomaly_sentence(labels) -> Column:
 
 def segment_sentence(profile_name, driver, confidence) -> Column:
     conf = F.when(_c(confidence).isNull(), F.lit("")).otherwise(
-        F.format_string(SEGMENT_CONFIDENCE, _c(confidence) * F.lit(100.0)))
+        F.format_string(SEGMENT_CONFIDENCE, fixed(_c(confidence) * F.lit(100.0), 1)))
     return F.format_string(SEGMENT_SENTENCE, F.coalesce(_c(profile_name), F.lit("profil inconnu")),
                            conf, F.coalesce(_c(driver), F.lit("aucun ecart dominant")))
 
