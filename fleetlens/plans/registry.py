@@ -52,4 +52,4 @@ def r(expr: str, digits: int = DIGITS) -> str:
 
 
 # Query modules register themselves on import.
-from fleetlens.plans import queries_cluster, queries_core, queries_eval, queries_explain, queries_features  # noqa: E402,F401
+from fleetlens.plans import queries_cluster, queries_core, queries_eval, queries_explain, queries_features, queries_ml  # noqa: E402,F401
