@@ -145,16 +145,17 @@ def spine_fill(spine: DataFrame, agg: DataFrame, key: str, defaults: dict) -> Da
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` joined with a per-key ``assert_true(count <= 1)`` guard.
+    """``df`` unchanged, but the job fails if a key repeats (J2 one-to-one).
 
-    The check runs inside the job (one extra aggregate on the key, which the
-    following key join reuses) and never collects rows.
+    The largest key multiplicity is a scalar subquery (one partial-aggregating
+    pass over the key columns) checked by ``assert_true`` in a filter that
+    keeps every row; unlike a guard join, Catalyst cannot prune it away.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    guard = counts.select(*keys, F.assert_true(F.col("_n") <= 1,
-                                               F.lit("one_to_one: duplicate key")).alias("_ok"))
-    return df.join(guard, keys, "left").drop("_ok")
+    worst = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).scalar()
+    check = F.assert_true(F.coalesce(worst, F.lit(0)) <= F.lit(1),
+                          F.lit(f"one_to_one: duplicate key {keys}"))
+    return df.filter(check.isNull())
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
