@@ -12,17 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fleetlens.operators.topk import top_k_per_group
 
-def history_features(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
-                     cols: Sequence[str], lags: Sequence[int] = (1, 7),
-                     mean_windows: Sequence[int] = (3, 7), std_window: int | None = 7,
-                     max_window: int | None = 7, diff: bool = True) -> DataFrame:
-    """Per column: ``lag{n}`` (E1), ``diff1`` = x - lag1 (E2), ``rolling_mean_{w}`` over
-    the previous w rows (E3, >= 1 row), ``rolling_std_{w}`` sample std (E4, >= 2 rows,
-    else NULL), ``rolling_max_{w}`` (E5)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])
+
+def _feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w) -> dict[str, Column]:
     new: dict[str, Column] = {}
     for c in cols:
         x = F.col(c)
@@ -36,7 +31,81 @@ def history_features(df: DataFrame, key: str | Sequence[str], order: Sequence[st
             new[f"{c}_rolling_std_{std_window}"] = F.stddev_samp(x).over(w.rowsBetween(-std_window, -1))
         if max_window:
             new[f"{c}_rolling_max_{max_window}"] = F.max(x).over(w.rowsBetween(-max_window, -1))
-    return df.withColumns(new)
+    return new
+
+
+def history_features(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
+                     cols: Sequence[str], lags: Sequence[int] = (1, 7),
+                     mean_windows: Sequence[int] = (3, 7), std_window: int | None = 7,
+                     max_window: int | None = 7, diff: bool = True,
+                     skew_safe: bool = True, chunk_days: int = 7,
+                     hot_share: float | None = None) -> DataFrame:
+    """Per column: ``lag{n}`` (E1), ``diff1`` = x - lag1 (E2), ``rolling_mean_{w}`` over
+    the previous w rows (E3, >= 1 row), ``rolling_std_{w}`` sample std (E4, >= 2 rows,
+    else NULL), ``rolling_max_{w}`` (E5).
+
+    ``skew_safe`` (default) splits hot keys so that no key's history runs in
+    a single task: see ``_chunked``.  It applies when the leading ``order``
+    column is a date or timestamp.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    reach = max([*lags, *mean_windows, std_window or 0, max_window or 0, 1])
+    lead_type = df.schema[order[0]].dataType if order else None
+    if skew_safe and isinstance(lead_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return _chunked(df, keys, list(order), cols, lags, mean_windows, std_window, max_window, diff,
+                        reach, chunk_days, hot_share)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])
+    return df.withColumns(_feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w))
+
+
+def _chunked(df, keys, order, cols, lags, mean_windows, std_window, max_window, diff, reach,
+             chunk_days, hot_share) -> DataFrame:
+    """Exact history features with hot keys split into time chunks.
+
+    * A key is hot when it holds more than ``hot_share`` of all rows
+      (default 1 / (4 x shuffle partitions)), so there are at most
+      1 / hot_share hot keys: that key set is broadcast.
+    * Rows of a hot key are windowed per (key, chunk of ``chunk_days``
+      days); other keys keep one window partition each.
+    * Each chunk needs the ``reach`` rows that precede it.  The last
+      ``reach`` rows of every hot chunk (a partial top-k) are copied, as
+      halo rows, into each later chunk for which they are among its
+      ``reach`` predecessors -- found from per-chunk cumulative counts, so
+      sparse chunks are handled exactly.  A chunk receives at most
+      reach x reach halo rows.
+    * Features are computed over chunk + halo, and halo rows are dropped.
+    """
+    spark = df.sparkSession
+    share = hot_share or 1.0 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col(order[0])
+    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = cnt.agg(F.sum("_n")).scalar()
+    hot = cnt.filter(F.col("_n") > total * F.lit(share)).select(*keys, F.lit(True).alias("_hot"))
+    d = df.join(F.broadcast(hot), keys, "left")  # <= 1/share keys
+    day = F.datediff(F.to_date(first), F.to_date(F.lit("1970-01-01")))
+    d = d.withColumn("_chunk", F.when(F.col("_hot"), F.floor(day / F.lit(chunk_days))).otherwise(F.lit(-1)).cast("long"))
+    d = d.withColumn("_halo", F.lit(0)).drop("_hot")
+
+    hot_rows = d.filter(F.col("_chunk") >= 0)
+    desc = [F.col(o).desc() for o in order]
+    tails = top_k_per_group(hot_rows, [*keys, "_chunk"], desc, reach, "_r")
+    tab = hot_rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
+    # chunk table: hot keys only, one row per (key, chunk) -- bounded by
+    # (number of hot keys) x (time span / chunk_days)
+    tab = tab.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_chunk")))
+    src = tab.select(*keys, "_chunk", F.col("_cum").alias("_cum_s"))
+    dst = tab.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_chunk").alias("_t"),
+                     (F.col("_cum") - F.col("_c")).alias("_cum_prev"))
+    t = tails.join(src, [*keys, "_chunk"])
+    cond = [t[k] == dst[f"_t_{k}"] for k in keys] + [
+        dst["_t"] > t["_chunk"], dst["_cum_prev"] - t["_cum_s"] <= F.lit(reach) - t["_r"]]
+    halo = t.join(F.broadcast(dst), cond).select(
+        *[F.col(c) for c in d.columns if c not in ("_chunk", "_halo")],
+        F.col("_t").alias("_chunk"), F.lit(1).alias("_halo"))
+    both = d.unionByName(halo)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(o) for o in order])
+    out = both.withColumns(_feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w))
+    return out.filter(F.col("_halo") == 0).drop("_chunk", "_halo")
 
 
 def lead_target(df: DataFrame, key: str | Sequence[str], order: Sequence[str], col: str,

@@ -19,3 +19,29 @@ def test_lead_drops_last(spark):
     df = spark.createDataFrame([("a", i, i * 10) for i in range(3)], "g string, t int, x int")
     out = lead_target(df, "g", ["t"], "x", "y").orderBy("t").collect()
     assert [(r.t, r.y) for r in out] == [(0, 10), (1, 20)]
+
+
+def test_skew_safe_equals_plain_with_sparse_chunks(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(3)
+    rows = []
+    base = dt.date(2024, 1, 1)
+    # one hot key with gaps (some 7-day chunks hold 0-2 rows), plus cold keys
+    for i in range(120):
+        if rnd.random() < 0.6 or 40 <= i < 60:
+            rows.append(("hot", base + dt.timedelta(days=i), i, float(rnd.randint(0, 9))))
+    for k in ("a", "b"):
+        for i in range(0, 30, 3):
+            rows.append((k, base + dt.timedelta(days=i), 1000 + i, float(i)))
+    df = spark.createDataFrame(rows, "k string, d date, t int, x double")
+    args = dict(lags=(1, 7), mean_windows=(3, 7), std_window=7, max_window=7)
+    plain = history_features(df, "k", ["d", "t"], ["x"], skew_safe=False, **args)
+    safe = history_features(df, "k", ["d", "t"], ["x"], skew_safe=True, hot_share=0.3, **args)
+    cols = plain.columns
+    a = sorted(tuple(r) for r in plain.select(*cols).collect())
+    b = sorted(tuple(r) for r in safe.select(*cols).collect())
+    assert len(a) == len(b)
+    for ra, rb in zip(a, b):
+        for va, vb in zip(ra, rb):
+            assert (va is None and vb is None) or va == vb or abs(va - vb) < 1e-9
