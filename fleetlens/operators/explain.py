@@ -42,7 +42,7 @@ def _pick(feature: Column, values: dict[str, Column]) -> Column:
 def perturbation_explain(df: DataFrame, keys: Sequence[str], features: Sequence[str], scorer: Scorer,
                          reference: dict[str, Column | float] | None = None, top_n: int = 5,
                          positive_only: bool = False, method: str = "permutation_fallback",
-                         numeric_direction: bool = False) -> DataFrame:
+                         numeric_direction: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Long table (keys, rank, feature, label, value, reference, impact,
     abs_impact, direction, method) of the ``top_n`` features per row.
 
@@ -51,13 +51,17 @@ def perturbation_explain(df: DataFrame, keys: Sequence[str], features: Sequence[
     * ``reference={f: value}`` with ``positive_only=True``: the R7 form --
       only impacts > 0 are kept, ranked by impact, direction is the value
       against its reference (above/below/near_normal, B27).
+
+    ``carry`` columns ride along unchanged (inputs the scorer needs that are
+    not explained, e.g. categoricals).
     """
     keys = list(keys)
     refs = {f: (F.lit(0.0) if reference is None else
                 (F.lit(float(reference[f])) if isinstance(reference[f], (int, float)) else reference[f]))
             for f in features}
-    base = scorer(df.select(*keys, *features)).withColumnRenamed("score", "_base")
-    exp = base.select(*keys, *features, "_base",
+    carry = [c for c in carry if c not in features and c not in keys]
+    base = scorer(df.select(*keys, *features, *carry)).withColumnRenamed("score", "_base")
+    exp = base.select(*keys, *features, *carry, "_base",
                       F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
     feat = F.col("feature")
     exp = exp.withColumns({"_value": _pick(feat, {f: F.col(f) for f in features}),

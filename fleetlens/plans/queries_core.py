@@ -58,3 +58,63 @@ SELECT server_id, segment, support_plan, incident_count,
        {r('priority_score')} AS priority_score,
        ROW_NUMBER() OVER (ORDER BY priority_score DESC, server_id) AS rank
 FROM T"""))(intervention_ranking)
+
+
+# ---------------------------------------------------------------------------
+# R5 with J9 + B24: the three model outputs gathered per server, anomaly and
+# segment as context columns with their multipliers
+# ---------------------------------------------------------------------------
+ANOMALY_THRESHOLD = 0.3
+
+
+def ranking_with_context(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
+    from fleetlens.operators import clustering as CL
+    from fleetlens.operators.joins import gather_scores, profile_lookup
+    from fleetlens.plans.queries_cluster import segment_clusters
+    t = Tables(spark, sf_dir)
+    srv = A.servers(t)
+    inc = A.incidents(t).groupBy("server_id").agg(
+        F.count(F.lit(1)).alias("incident_count"),
+        (F.max("duration_minutes") / F.lit(500.0)).alias("anomaly_score"))
+    names = CL.name_profiles(CL.cluster_profile(segment_clusters(spark, sf_dir)))
+    seg = profile_lookup(srv.select("server_id", F.col("segment").alias("cluster")), names, "cluster",
+                         ["profile_name"]).select("server_id", F.col("profile_name").alias("segment_profile"))
+    cand = gather_scores(srv, [inc, seg], ["server_id"]).fillna({"incident_count": 0, "anomaly_score": 0.0})
+    cand = cand.withColumn("incident_probability", incident_probability("incident_count"))
+    return prioritize(cand, n, anomaly_score="anomaly_score", anomaly_threshold=ANOMALY_THRESHOLD,
+                      segment_profile="segment_profile")
+
+
+def _context_sql() -> str:
+    from fleetlens.plans.queries_cluster import _names_sql
+    head = _names_sql().rsplit("\nSELECT PF.cluster", 1)[0]
+    return head + f"""
+, NM AS (SELECT PF.cluster, COALESCE(BE.label, 'serveurs standard') AS profile_name
+         FROM PF LEFT JOIN (SELECT * FROM BE WHERE rn = 1) BE ON PF.cluster = BE.cluster),
+IC AS (SELECT server_id, COUNT(*) AS incident_count, MAX(duration_minutes) / 500.0::DOUBLE AS anomaly_score
+       FROM INC GROUP BY server_id),
+C AS (SELECT S.*, COALESCE(IC.incident_count, 0) AS incident_count, COALESCE(IC.anomaly_score, 0.0) AS anomaly_score,
+             COALESCE(NM.profile_name, 'profil inconnu') AS segment_profile
+      FROM SRV S LEFT JOIN IC ON S.server_id = IC.server_id LEFT JOIN NM ON S.segment = NM.cluster),
+P AS (SELECT server_id, anomaly_score, segment_profile,
+             CAST(incident_count AS DOUBLE) / (CAST(incident_count AS DOUBLE) + 5.0::DOUBLE) AS incident_probability,
+             {BV_SQL} AS business_value FROM C),
+T AS (SELECT *, incident_probability * business_value AS priority_score FROM P
+      ORDER BY priority_score DESC, server_id LIMIT 50)
+SELECT server_id, {r('incident_probability')} AS incident_probability, {r('business_value')} AS business_value,
+  {r('anomaly_score')} AS anomaly_score, anomaly_score >= {ANOMALY_THRESHOLD} AS is_anomaly,
+  CASE WHEN anomaly_score - {ANOMALY_THRESHOLD} >= 0.1 THEN 'critical' WHEN anomaly_score - {ANOMALY_THRESHOLD} >= 0.03 THEN 'high'
+       WHEN anomaly_score - {ANOMALY_THRESHOLD} >= 0 THEN 'medium' ELSE 'low' END AS anomaly_severity,
+  CASE WHEN anomaly_score - {ANOMALY_THRESHOLD} >= 0.1 THEN 1.6 WHEN anomaly_score - {ANOMALY_THRESHOLD} >= 0.03 THEN 1.35
+       WHEN anomaly_score - {ANOMALY_THRESHOLD} >= 0 THEN 1.15 ELSE 1.0 END::DOUBLE AS anomaly_context_multiplier,
+  segment_profile,
+  CASE WHEN segment_profile LIKE '%temperature%' THEN 1.25 WHEN segment_profile LIKE '%stockage%' THEN 1.15
+       ELSE 1.0 END::DOUBLE AS segmentation_context_multiplier,
+  {r('priority_score')} AS priority_score,
+  ROW_NUMBER() OVER (ORDER BY priority_score DESC, server_id) AS rank
+FROM T"""
+
+
+def _register_context():
+    from fleetlens.plans.registry import register as reg
+    reg("r5_j9_ranking_with_context", sql_with(["U", "INC", "SRV"], _context_sql()))(ranking_with_context)

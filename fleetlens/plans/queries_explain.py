@@ -196,7 +196,25 @@ def b19_b20_forecast_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- R9 segment explanation sentence -------------------------------------------------------------
-@register("r9_segment_explanation", None)
+def _r9_sql() -> str:
+    from fleetlens.plans.queries_cluster import _names_sql
+    head = _names_sql().rsplit("\nSELECT PF.cluster", 1)[0]
+    return head + f"""
+, NM AS (SELECT PF.cluster, PF.server_count / (SELECT SUM(server_count) FROM PF)::DOUBLE AS confidence,
+         COALESCE(BE.label, 'serveurs standard') AS profile_name,
+         CASE WHEN BE.label IS NULL THEN 'aucun ecart dominant'
+              ELSE printf('%s (+%.2f vs moyenne clusters)', BE.col, BE.gap) END AS profile_driver
+         FROM PF LEFT JOIN (SELECT * FROM BE WHERE rn = 1) BE ON PF.cluster = BE.cluster)
+SELECT cluster, profile_name, profile_driver, {r('confidence')} AS confidence,
+       printf('Ce serveur est classe dans le profil ''%s'' avec une probabilite de cluster de %.1f %%. Raison principale: %s.',
+              profile_name, confidence * 100.0, profile_driver) AS human_explanation
+FROM NM"""
+
+
+def _register_r9():
+    register("r9_segment_explanation", sql_with(["U", "INC", "SRV"], _r9_sql()))(r9_segment_explanation)
+
+
 def r9_segment_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile, driver and membership share per segment as the response sentence."""
     from fleetlens.operators import clustering as CL

@@ -328,3 +328,60 @@ def a2_a4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(meta.get("model_type", "")).alias("model_type"),
                      F.lit(len(missing)).alias("missing_meta_keys"),
                      F.avg(F.col("prediction")).alias("mean_prediction"))
+
+
+# ---------------------------------------------------------------------------
+# Attribution of the fitted incident model by perturbation
+# ---------------------------------------------------------------------------
+@register("r8_model_attribution")
+def r8_model_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed local attribution of the GBT incident model (re-aim of the
+    per-row tree explainer): every test row, each numeric feature set to its
+    training median (G12 background), the whole expanded frame scored by one
+    ``transform``; top 5 by |impact| with readable labels (R6/R8, S5, B26)."""
+    from fleetlens.operators import explain as X
+    f = incident_features(spark, sf_dir)
+    num, cat = TR.feature_columns(f, exclude=["server_id", "label", "date"])
+    train, test = SP.temporal_split(f, "date", SPLIT_DATE)
+    pre = TR.TabularPreprocessor(num, cat).fit(train)
+    model = MD.classifier("gradient_boosting", {"maxIter": 20}, weight=None).fit(
+        cut_lineage(pre.transform(train).select("features", "label")))
+
+    def scorer(d: DataFrame) -> DataFrame:
+        # preprocessing rewrites the numeric columns; keep the caller's copies
+        cols = d.columns
+        kept = d.select(*cols, *[F.col(c).alias(f"_o_{c}") for c in cols])
+        scored = MD.positive_probability(model.transform(pre.transform(kept)), out="score")
+        return scored.select(*[F.col(f"_o_{c}").alias(c) for c in cols], "score")
+
+    medians = TR.fit_median(train, num)
+    rows = cut_lineage(test.select("server_id", "date", *num, *cat))
+    return X.perturbation_explain(rows, ["server_id", "date"], num, scorer, reference=medians,
+                                  method="model_perturbation", carry=cat)
+
+
+@register("m7_regressor_leaderboard")
+def m7_regressor_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean baseline, random forest, gradient boosting and the extra-trees
+    substitute on next-day tickets; MAE/RMSE/R2 leaderboard (M7, V8, V16)."""
+    gp = A.group_day(Tables(spark, sf_dir)).withColumn("support_tickets", F.col("support_tickets").cast("double"))
+    h = W.history_features(gp, "region", ["date"], ["support_tickets", "network_latency_ms"])
+    h = W.lead_target(h.withColumns(R.calendar("date", "2024-01-01")), "region", ["date"], "support_tickets", "label")
+    num, cat = TR.feature_columns(h, exclude=["label", "date"])
+    train, test = SP.temporal_split(h, "date", SPLIT_DATE)
+    pre = TR.TabularPreprocessor(num, cat).fit(train)
+    tr = cut_lineage(pre.transform(train).select("features", "label"))
+    te = cut_lineage(pre.transform(test).select("features", "label"))
+    rows = []
+    mean = tr.agg(F.avg("label")).scalar()
+    rows.append(M.regression_metrics(te.withColumn("prediction", mean), "label", "prediction")
+                .select(F.lit("mean_baseline").alias("model"), "mae", "rmse", "r2"))
+    for name in ("random_forest", "gradient_boosting", "extra_trees"):
+        m = MD.regressor(name, {"numTrees": 60, "maxIter": 20}).fit(tr)
+        p = cut_lineage(m.transform(te).select("label", "prediction"))
+        rows.append(M.regression_metrics(p, "label", "prediction").select(F.lit(name).alias("model"), "mae", "rmse", "r2"))
+    lb = rows[0]
+    for x in rows[1:]:
+        lb = lb.unionByName(x)
+    return lb.withColumn("neg_mae", -F.col("mae")).transform(
+        lambda d: M.leaderboard([d], "neg_mae")).drop("neg_mae")

@@ -54,3 +54,5 @@ def r(expr: str, digits: int = DIGITS) -> str:
 # Query modules register themselves on import.
 from fleetlens.plans import (queries_cluster, queries_core, queries_eval, queries_explain,  # noqa: E402,F401
                              queries_features, queries_ml, queries_stream)
+queries_core._register_context()
+queries_explain._register_r9()
