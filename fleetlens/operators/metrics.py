@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rules as R
 from fleetlens.operators.topk import top_k_per_group
-from fleetlens.session import cut_lineage
+from fleetlens.session import cut_lineage, scalars
 
 # Threshold used when the curve is empty; daily top-K list.
 EMPTY_CURVE_THRESHOLD = 0.5
@@ -212,8 +212,8 @@ def topk_capture(df: DataFrame, day: str = "date", key: str = "key", y: str = "y
 
 def score_histogram(df: DataFrame, score: str = "score", label: str = "y", bins: int = 50) -> DataFrame:
     """Counts per (label, equal-width bin) between the global min and max score."""
-    lo = df.agg(F.min(score)).scalar()
-    hi = df.agg(F.max(score)).scalar()
+    mm = scalars(df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")))
+    lo, hi = mm["lo"], mm["hi"]
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col(score) - lo) / width).cast("int"), F.lit(bins - 1)))
@@ -246,14 +246,13 @@ def anomaly_evaluation(train: DataFrame, test: DataFrame, score: str = "score",
     cm = curve_metrics(score_curve(test, score, y))
     rates = pred.agg(F.avg(F.col("pred").cast("double")).alias("predicted_anomaly_rate"),
                      F.avg(F.col(y).cast("double")).alias("test_anomaly_rate"))
+    b = scalars(bm.select("precision", "recall", "f1"))
+    c = scalars(cm.select("average_precision", "roc_auc"))
     return rates.select(
         thr.alias("threshold"), F.lit(cont).alias("contamination"),
         "predicted_anomaly_rate", "test_anomaly_rate",
-        bm.select("precision").scalar().alias("precision"),
-        bm.select("recall").scalar().alias("recall"),
-        bm.select("f1").scalar().alias("f1"),
-        cm.select("average_precision").scalar().alias("average_precision"),
-        cm.select("roc_auc").scalar().alias("roc_auc"))
+        b["precision"].alias("precision"), b["recall"].alias("recall"), b["f1"].alias("f1"),
+        c["average_precision"].alias("average_precision"), c["roc_auc"].alias("roc_auc"))
 
 
 def positive_rates(parts: dict[str, DataFrame], y: str = "y") -> DataFrame:

@@ -14,6 +14,7 @@ from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import SPLIT_DATE
 from fleetlens.plans.registry import r, register
+from fleetlens.session import scalars
 from fleetlens.sources.tables import Tables
 
 # Fixed values of the driver-table scorer: a linear risk score over usage
@@ -66,7 +67,8 @@ def r6_zero_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _medians(u: DataFrame) -> dict:
     train = u.filter(F.col("date") < F.to_date(F.lit(SPLIT_DATE)))
     med = train.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in FEATS])
-    return {f: med.select(f).scalar() for f in FEATS}
+    s = scalars(med)
+    return {f: s[f] for f in FEATS}
 
 
 MED_SQL = f", MED AS (SELECT {', '.join(f'QUANTILE_CONT(CAST({f} AS DOUBLE), 0.5) AS m_{f}' for f in FEATS)} FROM U WHERE date < DATE '{SPLIT_DATE}')\n"

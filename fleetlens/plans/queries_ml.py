@@ -27,7 +27,7 @@ from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import SPLIT_DATE
 from fleetlens.plans.registry import r, register
-from fleetlens.session import checkpoint_dir, cut_lineage
+from fleetlens.session import checkpoint_dir, cut_lineage, scalars
 from fleetlens.sources import io as IO
 from fleetlens.sources.tables import Tables
 
@@ -122,8 +122,8 @@ def m9_m14_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         sil = CL.silhouette_sq(a, "v", "cluster")
         idx = CL.davies_bouldin_calinski(a, "v", "cluster")
         rows.append(sil.select(F.lit(k).alias("k"), F.lit(f"kmeans_k{k}").alias("model"), "silhouette",
-                               idx.select("davies_bouldin").scalar().alias("davies_bouldin"),
-                               idx.select("calinski_harabasz").scalar().alias("calinski_harabasz"),
+                               scalars(idx)["davies_bouldin"].alias("davies_bouldin"),
+                               scalars(idx)["calinski_harabasz"].alias("calinski_harabasz"),
                                F.lit(float(m.summary.trainingCost)).alias("inertia")))
     return M.leaderboard(rows, "silhouette")
 

@@ -78,3 +78,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scalars(df: DataFrame):
+    """All columns of a one-row DataFrame as one struct-valued scalar subquery.
+
+    Index the result by field name; every field then comes from a single
+    evaluation of ``df`` instead of one subquery (one pass) per field.
+    """
+    from pyspark.sql import functions as F
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_s")).scalar()
