@@ -16,7 +16,7 @@ from fleetlens.operators.joins import profile_lookup
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import server_features_cte
-from fleetlens.plans.registry import r, register
+from fleetlens.plans.base import r, register
 from fleetlens.sources.tables import Tables
 
 

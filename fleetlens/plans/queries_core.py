@@ -9,7 +9,7 @@ from fleetlens.operators import features as FT
 from fleetlens.operators.ranking import prioritize
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
-from fleetlens.plans.registry import r, register
+from fleetlens.plans.base import r, register
 from fleetlens.sources.tables import Tables
 
 # ---------------------------------------------------------------------------
@@ -116,5 +116,5 @@ FROM T"""
 
 
 def _register_context():
-    from fleetlens.plans.registry import register as reg
+    from fleetlens.plans.base import register as reg
     reg("r5_j9_ranking_with_context", sql_with(["U", "INC", "SRV"], _context_sql()))(ranking_with_context)

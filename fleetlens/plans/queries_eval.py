@@ -13,7 +13,7 @@ from fleetlens.operators.joins import label_horizon
 from fleetlens.operators.ranking import latest_rows
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
-from fleetlens.plans.registry import r, register
+from fleetlens.plans.base import r, register
 from fleetlens.sources.tables import Tables
 
 # Fixed values for the driver-table evaluation: the decision threshold on

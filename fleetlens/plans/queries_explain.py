@@ -13,7 +13,7 @@ from fleetlens.operators.metrics import regression_metrics
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import SPLIT_DATE
-from fleetlens.plans.registry import r, register
+from fleetlens.plans.base import r, register
 from fleetlens.session import scalars
 from fleetlens.sources.tables import Tables
 

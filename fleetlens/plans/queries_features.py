@@ -13,7 +13,7 @@ from fleetlens.operators import windows as W
 from fleetlens.operators.splits import temporal_split
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
-from fleetlens.plans.registry import r, register
+from fleetlens.plans.base import r, register
 from fleetlens.sources.requests import parse_requests
 from fleetlens.sources.tables import Tables
 

@@ -26,7 +26,7 @@ from fleetlens.operators.lof import lof_fit
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import SPLIT_DATE
-from fleetlens.plans.registry import r, register
+from fleetlens.plans.base import r, register
 from fleetlens.session import checkpoint_dir, cut_lineage, scalars
 from fleetlens.sources import io as IO
 from fleetlens.sources.tables import Tables
@@ -45,7 +45,9 @@ def incident_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark, sf_dir):
-    f = incident_features(spark, sf_dir)
+    # one materialisation of the feature build; preprocessing statistics and
+    # both splits read it instead of re-running the window/label plan
+    f = cut_lineage(incident_features(spark, sf_dir))
     num, cat = TR.feature_columns(f, exclude=["server_id", "label", "date"])
     train, test = SP.temporal_split(f, "date", SPLIT_DATE)
     pre = TR.TabularPreprocessor(num, cat).fit(train)
@@ -101,7 +103,7 @@ def m13_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 def _segmentation_input(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    ft = FT.server_feature_table(A.servers(t), A.usage(t), A.incidents(t))
+    ft = cut_lineage(FT.server_feature_table(A.servers(t), A.usage(t), A.incidents(t)))
     num, cat = TR.feature_columns(ft, exclude=["server_id"])
     pre = TR.TabularPreprocessor(num, cat).fit(ft)
     x = pre.transform(ft)
@@ -169,7 +171,7 @@ def f9_f10_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("f4_f8_encoding_selection")
 def f4_f8_encoding_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-hot (unknown -> zeros), drop-first slicing, ANOVA top-k: vector sizes."""
-    f = incident_features(spark, sf_dir)
+    f = cut_lineage(incident_features(spark, sf_dir))
     num, cat = TR.feature_columns(f, exclude=["server_id", "label", "date"])
     train, test = SP.temporal_split(f, "date", SPLIT_DATE)
     full = TR.TabularPreprocessor(num, cat).fit(train)
@@ -195,7 +197,7 @@ def m8_r2_support_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = h.withColumns(R.region_interactions("capacity_used_pct", "network_latency_ms", "avg_rack_temperature_c",
                                             "scheduled_maintenance", "power_usage_mw"))
     h = h.withColumns(R.calendar("date", "2024-01-01"))
-    h = W.lead_target(h, "region", ["date"], "support_tickets", "label")
+    h = cut_lineage(W.lead_target(h, "region", ["date"], "support_tickets", "label"))
     num, cat = TR.feature_columns(h, exclude=["label", "date"])
     train, test = SP.temporal_split(h, "date", SPLIT_DATE)
     pre = TR.TabularPreprocessor(num, cat).fit(train)
@@ -252,7 +254,7 @@ def _anomaly_frame(spark, sf_dir):
 def m12_r4_anomaly_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOF k=35 fitted on <= 30,000 normal training rows; threshold = training
     quantile at 1 - contamination; test rows get score, flag and severity (R4)."""
-    u = _anomaly_frame(spark, sf_dir)
+    u = cut_lineage(_anomaly_frame(spark, sf_dir))
     num, _ = TR.feature_columns(u, exclude=["event_id", "server_id", "label", "date", "ts"])
     train, test = SP.temporal_split(u, "date", SPLIT_DATE)
     cont = M.contamination(train, "label")
@@ -274,7 +276,7 @@ MD_MAX_FIT = 30000
 
 @register("m11_isolation_forest")
 def m11_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _anomaly_frame(spark, sf_dir)
+    u = cut_lineage(_anomaly_frame(spark, sf_dir))
     num, _ = TR.feature_columns(u, exclude=["event_id", "server_id", "label", "date", "ts"])
     x = TR.TabularPreprocessor(num).fit(u).transform(u).withColumn("x", vector_to_array("features"))
     forest = iforest_fit(x, "x", "event_id", n_trees=100)
@@ -340,7 +342,7 @@ def r8_model_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     training median (G12 background), the whole expanded frame scored by one
     ``transform``; top 5 by |impact| with readable labels (R6/R8, S5, B26)."""
     from fleetlens.operators import explain as X
-    f = incident_features(spark, sf_dir)
+    f = cut_lineage(incident_features(spark, sf_dir))
     num, cat = TR.feature_columns(f, exclude=["server_id", "label", "date"])
     train, test = SP.temporal_split(f, "date", SPLIT_DATE)
     pre = TR.TabularPreprocessor(num, cat).fit(train)
@@ -366,7 +368,8 @@ def m7_regressor_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     substitute on next-day tickets; MAE/RMSE/R2 leaderboard (M7, V8, V16)."""
     gp = A.group_day(Tables(spark, sf_dir)).withColumn("support_tickets", F.col("support_tickets").cast("double"))
     h = W.history_features(gp, "region", ["date"], ["support_tickets", "network_latency_ms"])
-    h = W.lead_target(h.withColumns(R.calendar("date", "2024-01-01")), "region", ["date"], "support_tickets", "label")
+    h = cut_lineage(W.lead_target(h.withColumns(R.calendar("date", "2024-01-01")), "region", ["date"],
+                                  "support_tickets", "label"))
     num, cat = TR.feature_columns(h, exclude=["label", "date"])
     train, test = SP.temporal_split(h, "date", SPLIT_DATE)
     pre = TR.TabularPreprocessor(num, cat).fit(train)

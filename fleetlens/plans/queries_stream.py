@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_core import BV_SQL
-from fleetlens.plans.registry import r, register
+from fleetlens.plans.base import r, register
 from fleetlens.sources.tables import Tables
 from fleetlens.streaming.daily import run_daily_stream
 
