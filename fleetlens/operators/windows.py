@@ -34,6 +34,10 @@ def _feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w)
     return new
 
 
+def _is_time(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def history_features(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
                      cols: Sequence[str], lags: Sequence[int] = (1, 7),
                      mean_windows: Sequence[int] = (3, 7), std_window: int | None = 7,
@@ -45,75 +49,99 @@ def history_features(df: DataFrame, key: str | Sequence[str], order: Sequence[st
     else NULL), ``rolling_max_{w}`` (E5).
 
     ``skew_safe`` (default) splits hot keys so that no key's history runs in
-    a single task: see ``_chunked``.  It applies when the leading ``order``
-    column is a date or timestamp.
+    a single task: see ``chunked_window``.  It applies when the leading
+    ``order`` column is a date or timestamp.
     """
     keys = [key] if isinstance(key, str) else list(key)
     reach = max([*lags, *mean_windows, std_window or 0, max_window or 0, 1])
-    lead_type = df.schema[order[0]].dataType if order else None
-    if skew_safe and isinstance(lead_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return _chunked(df, keys, list(order), cols, lags, mean_windows, std_window, max_window, diff,
-                        reach, chunk_days, hot_share)
+
+    def make(w):
+        return _feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w)
+
+    if skew_safe and order and _is_time(df, order[0]):
+        return chunked_window(df, keys, list(order), make, back=reach, fwd=0,
+                              chunk_days=chunk_days, hot_share=hot_share)
     w = Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])
-    return df.withColumns(_feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w))
+    return df.withColumns(make(w))
 
 
-def _chunked(df, keys, order, cols, lags, mean_windows, std_window, max_window, diff, reach,
-             chunk_days, hot_share) -> DataFrame:
-    """Exact history features with hot keys split into time chunks.
+def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], make_cols,
+                   back: int, fwd: int, chunk_days: int = 7, hot_share: float | None = None) -> DataFrame:
+    """Row-frame window columns (``make_cols(window_spec) -> {name: Column}``)
+    that look at most ``back`` rows behind and ``fwd`` rows ahead, exact, with
+    hot keys split into time chunks.
 
     * A key is hot when it holds more than ``hot_share`` of all rows
       (default 1 / (4 x shuffle partitions)), so there are at most
       1 / hot_share hot keys: that key set is broadcast.
     * Rows of a hot key are windowed per (key, chunk of ``chunk_days``
       days); other keys keep one window partition each.
-    * Each chunk needs the ``reach`` rows that precede it.  The last
-      ``reach`` rows of every hot chunk (a partial top-k) are copied, as
-      halo rows, into each later chunk for which they are among its
-      ``reach`` predecessors -- found from per-chunk cumulative counts, so
-      sparse chunks are handled exactly.  A chunk receives at most
-      reach x reach halo rows.
-    * Features are computed over chunk + halo, and halo rows are dropped.
+    * A chunk needs the ``back`` rows before it and the ``fwd`` rows after
+      it.  The last ``back`` (first ``fwd``) rows of every hot chunk -- a
+      partial top-k -- are copied as halo rows into each later (earlier)
+      chunk for which they are among those neighbours, found from per-chunk
+      cumulative counts, so sparse chunks are handled exactly.  A chunk
+      receives at most back^2 + fwd^2 halo rows.
+    * Columns are computed over chunk + halo, then halo rows are dropped.
     """
+    keys = list(keys)
     spark = df.sparkSession
     share = hot_share or 1.0 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = F.col(order[0])
     cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = cnt.agg(F.sum("_n")).scalar()
     hot = cnt.filter(F.col("_n") > total * F.lit(share)).select(*keys, F.lit(True).alias("_hot"))
     d = df.join(F.broadcast(hot), keys, "left")  # <= 1/share keys
-    day = F.datediff(F.to_date(first), F.to_date(F.lit("1970-01-01")))
-    d = d.withColumn("_chunk", F.when(F.col("_hot"), F.floor(day / F.lit(chunk_days))).otherwise(F.lit(-1)).cast("long"))
+    day = F.datediff(F.to_date(F.col(order[0])), F.to_date(F.lit("1970-01-01")))
+    d = d.withColumn("_chunk", F.when(F.col("_hot"), F.floor(day / F.lit(chunk_days)))
+                     .otherwise(F.lit(-1)).cast("long"))
     d = d.withColumn("_halo", F.lit(0)).drop("_hot")
+    payload = [c for c in d.columns if c not in ("_chunk", "_halo")]
 
     hot_rows = d.filter(F.col("_chunk") >= 0)
-    desc = [F.col(o).desc() for o in order]
-    tails = top_k_per_group(hot_rows, [*keys, "_chunk"], desc, reach, "_r")
-    tab = hot_rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
     # chunk table: hot keys only, one row per (key, chunk) -- bounded by
     # (number of hot keys) x (time span / chunk_days)
+    tab = hot_rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
     tab = tab.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_chunk")))
-    src = tab.select(*keys, "_chunk", F.col("_cum").alias("_cum_s"))
     dst = tab.select(*[F.col(k).alias(f"_t_{k}") for k in keys], F.col("_chunk").alias("_t"),
-                     (F.col("_cum") - F.col("_c")).alias("_cum_prev"))
-    t = tails.join(src, [*keys, "_chunk"])
-    cond = [t[k] == dst[f"_t_{k}"] for k in keys] + [
-        dst["_t"] > t["_chunk"], dst["_cum_prev"] - t["_cum_s"] <= F.lit(reach) - t["_r"]]
-    halo = t.join(F.broadcast(dst), cond).select(
-        *[F.col(c) for c in d.columns if c not in ("_chunk", "_halo")],
-        F.col("_t").alias("_chunk"), F.lit(1).alias("_halo"))
-    both = d.unionByName(halo)
+                     F.col("_cum").alias("_t_cum"), (F.col("_cum") - F.col("_c")).alias("_t_prev"))
+    parts = [d]
+    for n, asc in ((back, False), (fwd, True)):
+        if n <= 0:
+            continue
+        o = [F.col(c).asc() if asc else F.col(c).desc() for c in order]
+        edge = top_k_per_group(hot_rows, [*keys, "_chunk"], o, n, "_r")
+        edge = edge.join(tab.select(*keys, "_chunk", "_c", "_cum"), [*keys, "_chunk"])
+        same = [edge[k] == dst[f"_t_{k}"] for k in keys]
+        if asc:   # head rows of a later chunk serve earlier chunks
+            cond = same + [dst["_t"] < edge["_chunk"],
+                           (edge["_cum"] - edge["_c"]) - dst["_t_cum"] <= F.lit(n) - edge["_r"]]
+        else:     # tail rows of an earlier chunk serve later chunks
+            cond = same + [dst["_t"] > edge["_chunk"],
+                           dst["_t_prev"] - edge["_cum"] <= F.lit(n) - edge["_r"]]
+        parts.append(edge.join(F.broadcast(dst), cond).select(
+            *[F.col(c) for c in payload], F.col("_t").alias("_chunk"), F.lit(1).alias("_halo")))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(o) for o in order])
-    out = both.withColumns(_feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w))
-    return out.filter(F.col("_halo") == 0).drop("_chunk", "_halo")
+    return both.withColumns(make_cols(w)).filter(F.col("_halo") == 0).drop("_chunk", "_halo")
 
 
 def lead_target(df: DataFrame, key: str | Sequence[str], order: Sequence[str], col: str,
-                target: str, steps: int = 1, drop_last: bool = True) -> DataFrame:
-    """Next-step value of ``col`` as ``target`` (E6); rows without one are dropped."""
+                target: str, steps: int = 1, drop_last: bool = True, skew_safe: bool = True,
+                chunk_days: int = 7, hot_share: float | None = None) -> DataFrame:
+    """Next-step value of ``col`` as ``target`` (E6); rows without one are dropped.
+    Hot keys are split like ``history_features`` (forward halo)."""
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])
-    out = df.withColumn(target, F.lead(F.col(col), steps).over(w))
+
+    def make(w):
+        return {target: F.lead(F.col(col), steps).over(w)}
+
+    if skew_safe and order and _is_time(df, order[0]):
+        out = chunked_window(df, keys, list(order), make, back=0, fwd=steps,
+                             chunk_days=chunk_days, hot_share=hot_share)
+    else:
+        out = df.withColumns(make(Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])))
     return out.dropna(subset=[target]) if drop_last else out
 
 

@@ -45,3 +45,22 @@ def test_skew_safe_equals_plain_with_sparse_chunks(spark):
     for ra, rb in zip(a, b):
         for va, vb in zip(ra, rb):
             assert (va is None and vb is None) or va == vb or abs(va - vb) < 1e-9
+
+
+def test_skew_safe_lead_and_next_rows_equal_plain(spark):
+    import datetime as dt
+    import random
+    from fleetlens.operators.joins import label_next_rows
+    rnd = random.Random(5)
+    base = dt.date(2024, 1, 1)
+    rows = [("hot", base + dt.timedelta(days=i), i, float(i), int(rnd.random() < 0.1))
+            for i in range(100) if rnd.random() < 0.5 or 30 <= i < 45]
+    rows += [("c", base + dt.timedelta(days=i), 500 + i, float(i), 0) for i in range(0, 20, 4)]
+    df = spark.createDataFrame(rows, "k string, d date, t int, x double, f int")
+    a = sorted(tuple(r) for r in lead_target(df, "k", ["d", "t"], "x", "y", steps=2, skew_safe=False).collect())
+    b = sorted(tuple(r) for r in lead_target(df, "k", ["d", "t"], "x", "y", steps=2, hot_share=0.3).collect())
+    assert a == b and len(a) == len(rows) - 4
+    plain = df.withColumns({"_i": df.t})  # int order -> plain window path
+    c = sorted(tuple(r) for r in label_next_rows(plain, "k", ["_i"], "f", 3).drop("_i").collect())
+    e = sorted(tuple(r) for r in label_next_rows(df, "k", ["d", "t"], "f", 3).collect())
+    assert c == e
