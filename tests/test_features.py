@@ -49,3 +49,9 @@ def test_dataset_profile_duplicates(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
     r = FT.dataset_profile(df).first()
     assert (r.rows, r.cols, r.missing_values, r.duplicate_rows) == (3, 2, 1, 1)
+
+
+def test_feature_columns_by_type(spark):
+    from fleetlens.operators.transforms import feature_columns
+    df = spark.createDataFrame([(1, 2.0, "a", "x")], "server_id int, v double, seg string, key string")
+    assert feature_columns(df, exclude=["server_id", "key"]) == (["v"], ["seg"])
