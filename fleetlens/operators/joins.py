@@ -68,6 +68,15 @@ def prev_day_join(panel: DataFrame, group: str = "region", date_col: str = "date
     return panel.join(prev, [group, date_col], "left")
 
 
+def prev_day_names(df: DataFrame, cols: Sequence[str], suffix: str = "_prev_day",
+                   to_previous: bool = True) -> DataFrame:
+    """Rename current-day columns to their ``_prev_day`` names or back (B18),
+    e.g. to feed today's region metrics to a model trained on lagged ones."""
+    mapping = ({c: f"{c}{suffix}" for c in cols} if to_previous
+               else {f"{c}{suffix}": c for c in cols})
+    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
+
+
 def full_align(series: Sequence[DataFrame], key: str = "date") -> DataFrame:
     """Full outer alignment of several keyed series, missing -> 0."""
     out = series[0]

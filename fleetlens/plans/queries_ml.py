@@ -388,3 +388,39 @@ def m7_regressor_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
         lb = lb.unionByName(x)
     return lb.withColumn("neg_mae", -F.col("mae")).transform(
         lambda d: M.leaderboard([d], "neg_mae")).drop("neg_mae")
+
+
+# ---------------------------------------------------------------------------
+# the incident feature build itself (E1-E5 on entity-days + J6 + B15 + dims)
+# ---------------------------------------------------------------------------
+def _incident_features_sql() -> str:
+    w = "OVER (PARTITION BY o.server_id ORDER BY o.date"
+    cols = []
+    for c in ("n_obs", "value_sum", "n_error"):
+        x = f"CAST(o.{c} AS DOUBLE)"
+        cols += [f"{r(f'LAG({x}, 1) {w})')} AS {c}_lag1", f"{r(f'LAG({x}, 7) {w})')} AS {c}_lag7",
+                 f"{r(f'{x} - LAG({x}, 1) {w})')} AS {c}_diff1",
+                 f"{r(f'AVG({x}) {w} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)')} AS {c}_rolling_mean_3",
+                 f"{r(f'AVG({x}) {w} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)')} AS {c}_rolling_mean_7",
+                 f"{r(f'STDDEV_SAMP({x}) {w} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)')} AS {c}_rolling_std_7",
+                 f"{r(f'MAX({x}) {w} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)')} AS {c}_rolling_max_7"]
+    hist = ",\n  ".join(cols)
+    return f"""
+SELECT o.server_id, CAST(o.date AS VARCHAR) AS date, o.n_obs, {r('o.value_sum')} AS value_sum,
+  {r('o.value_max')} AS value_max, {r('o.value_avg')} AS value_avg, o.n_error,
+  {hist},
+  CASE WHEN EXISTS (SELECT 1 FROM INC i WHERE i.server_id = o.server_id
+                    AND i.date BETWEEN o.date + INTERVAL 1 DAY AND o.date + INTERVAL 7 DAY) THEN 1 ELSE 0 END AS label,
+  S.segment, S.support_plan, S.has_gpu, S.is_managed,
+  CAST(isodow(o.date) - 1 AS INTEGER) AS day_of_week, CAST(day(o.date) AS INTEGER) AS day_of_month,
+  CAST(date_diff('day', DATE '2024-01-01', o.date) AS INTEGER) AS days_since_start
+FROM ED o LEFT JOIN SRV S ON o.server_id = S.server_id"""
+
+
+@register("e1_j6_incident_feature_table", sql_with(["ED", "INC", "SRV"], _incident_features_sql()))
+def e1_j6_incident_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity-day history features, 7-day incident label, server attributes and
+    calendar: the training table of the incident model."""
+    f = incident_features(spark, sf_dir)
+    hist = [c for c in f.columns if any(c.startswith(p + "_") for p in ("n_obs", "value_sum", "n_error"))]
+    return f.withColumns({c: F.col(c).cast("double") for c in hist})

@@ -43,3 +43,9 @@ def test_requests_defaults_extras_and_quarantine(spark):
     ok, bad = split_valid(p)
     assert [(r.id, r.k, r.top_n) for r in ok.collect()] == [(1, 5, 50)]
     assert sorted(r.id for r in bad.collect()) == [2, 3]
+
+
+def test_missing_model_raises(spark):
+    from fleetlens.operators.models import load_model
+    with pytest.raises(Exception):
+        load_model(os.path.join(tempfile.mkdtemp(prefix="fleetlens-io-"), "absent"))

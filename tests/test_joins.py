@@ -34,3 +34,10 @@ def test_profile_lookup_default(spark):
     p = spark.createDataFrame([(0, "x", "d")], "cluster int, profile_name string, profile_driver string")
     out = {r.server_id: r.profile_name for r in J.profile_lookup(a, p).collect()}
     assert out == {1: "x", 2: "profil inconnu"}
+
+
+def test_prev_day_names_round_trip(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    there = J.prev_day_names(df, ["a"])
+    assert there.columns == ["a_prev_day", "b"]
+    assert J.prev_day_names(there, ["a"], to_previous=False).columns == ["a", "b"]
