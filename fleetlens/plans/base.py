@@ -18,13 +18,25 @@ ORACLE: dict[str, str] = {}
 DIGITS = 6
 
 
+def half_away_round(c, digits: int = DIGITS):
+    """round(x * 10^d) / 10^d with ties away from zero, on the binary double
+    (the oracle engine's ROUND).  ``F.round`` rounds the shortest decimal
+    string half-up instead, which disagrees on exact decimal ties such as
+    averages of two-decimal values over 2^k rows."""
+    m = F.lit(float(10 ** digits))
+    y = c.cast("double") * m
+    r = F.when(y >= 0, F.floor(y + F.lit(0.5))).otherwise(-F.floor(-y + F.lit(0.5)))
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(y) > F.lit(9.0e18)), c.cast("double")).otherwise(
+        r.cast("double") / m)
+
+
 def canon(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round doubles/floats, render dates and timestamps as text."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = half_away_round(c, digits)
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):

@@ -16,7 +16,7 @@ from fleetlens.operators.joins import profile_lookup
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import server_features_cte
-from fleetlens.plans.base import r, register
+from fleetlens.plans.base import half_away_round, r, register
 from fleetlens.sources.tables import Tables
 
 
@@ -98,7 +98,7 @@ S AS (SELECT CASE WHEN na <= 1 THEN 0.0 WHEN a < b THEN 1.0 - a / b WHEN a > b T
 SELECT {r('CASE WHEN (SELECT COUNT(*) FROM CN) < 2 THEN -1.0 ELSE AVG(s) END', 4)} AS silhouette FROM S"""))
 def v10_silhouette_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = A.vectors(Tables(spark, sf_dir))
-    return CL.silhouette_sq(em, "embedding", "cluster").select(F.round("silhouette", 4).alias("silhouette"))
+    return CL.silhouette_sq(em, "embedding", "cluster").select(half_away_round(F.col("silhouette"), 4).alias("silhouette"))
 
 
 @register("v11_v13_cluster_indices", sql_with([], EMV_SQL + f"""
@@ -122,5 +122,5 @@ FROM K, BW, WI"""))
 def v11_v13_cluster_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = A.vectors(Tables(spark, sf_dir))
     out = CL.davies_bouldin_calinski(em, "embedding", "cluster")
-    return out.select("n_clusters", *[F.round(c, 4).alias(c) for c in
+    return out.select("n_clusters", *[half_away_round(F.col(c), 4).alias(c) for c in
                                       ("davies_bouldin", "calinski_harabasz", "inertia")])

@@ -21,11 +21,16 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        # one relation (and one file listing) per table; every use in a plan
+        # shares it
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._frames[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
