@@ -32,7 +32,7 @@ CLOSED = ", EDC AS (SELECT * FROM ED WHERE date < (SELECT MAX(date) FROM ED))\n"
 @register("st1_stream_daily_aggregates", sql_with(["ED"], CLOSED + f"""
 SELECT CAST(date AS VARCHAR) AS date, server_id, n_obs, n_error, {r('value_sum')} AS value_sum FROM EDC"""))
 def st1_stream_daily_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(_run(spark, sf_dir)[0])
+    return spark.read.parquet(_run(spark, sf_dir)[0]).drop("epoch")
 
 
 @register("st2_stream_daily_ranking", sql_with(["ED", "SRV"], CLOSED + f"""
@@ -45,4 +45,4 @@ SELECT CAST(date AS VARCHAR) AS date, server_id, {r('incident_probability')} AS
        {r('business_value')} AS business_value, {r('priority_score')} AS priority_score, rank
 FROM RK WHERE rank <= 50"""))
 def st2_stream_daily_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(_run(spark, sf_dir)[1])
+    return spark.read.parquet(_run(spark, sf_dir)[1]).drop("epoch")

@@ -58,9 +58,11 @@ def run_daily_stream(spark: SparkSession, source_dir: str, servers: DataFrame, n
     servers = servers.cache()
 
     def sink(batch: DataFrame, epoch: int) -> None:
+        # one output folder per epoch, overwritten: a re-run batch (after a
+        # failure) replaces its own output instead of appending duplicates
         batch.persist()
-        batch.write.mode("append").parquet(agg_path)
-        rank_day(batch, servers, n).write.mode("append").parquet(rank_path)
+        batch.write.mode("overwrite").parquet(f"{agg_path}/epoch={epoch}")
+        rank_day(batch, servers, n).write.mode("overwrite").parquet(f"{rank_path}/epoch={epoch}")
         batch.unpersist()
 
     q = (daily.writeStream.outputMode("append").foreachBatch(sink)
