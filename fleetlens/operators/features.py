@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rules as R
+from fleetlens.operators.quantiles import exact_quantiles, quantile_columns
 from fleetlens.operators.topk import top_k_per_group
 
 # Usage measures of the server profile and the thresholds of
@@ -36,8 +37,9 @@ def with_server_pressure(usage: DataFrame) -> DataFrame:
 
 
 def percentile(col: str, q: float, exact: bool = True, accuracy: int = 10000) -> Column:
-    """Linear-interpolated quantile (G2).  ``exact=False`` switches to the
-    bounded-memory sketch for very large groups."""
+    """Quantile as one aggregate expression: exact ``percentile`` (fine for
+    bounded groups) or the bounded-memory sketch.  Feature tables use
+    ``operators.quantiles`` for exact values without a per-group value map."""
     if exact:
         return F.percentile(F.col(col), F.lit(q))
     return F.percentile_approx(F.col(col), F.lit(q), F.lit(accuracy)).cast("double")
@@ -79,7 +81,8 @@ def usage_profile(usage: DataFrame, key: str = "server_id", date_col: str = "dat
         F.sum("network_total_gb").alias("network_total_gb_sum"),
         F.count(F.lit(1)).alias("observation_count"),
     ]
-    aggs += [percentile(m, 0.9, exact_percentiles).alias(f"{m}_p90") for m in USAGE_MEASURES]
+    if not exact_percentiles:
+        aggs += [percentile(m, 0.9, False).alias(f"{m}_p90") for m in USAGE_MEASURES]
     aggs += [
         F.avg(F.when(F.col("cpu_util_pct") >= HIGH_CPU, 1.0).otherwise(0.0)).alias("high_cpu_day_rate"),
         F.avg(F.when(F.col("ram_util_pct") >= HIGH_RAM, 1.0).otherwise(0.0)).alias("high_ram_day_rate"),
@@ -87,6 +90,10 @@ def usage_profile(usage: DataFrame, key: str = "server_id", date_col: str = "dat
         F.avg(F.lit(1.0) - F.col("backup_success")).alias("backup_failure_rate"),
     ]
     base = u.groupBy(key).agg(*aggs)
+    if exact_percentiles:
+        # exact p90s by rank (operators.quantiles): no per-group value map
+        p90 = quantile_columns(u, [key], USAGE_MEASURES, 0.9, "_p90")
+        base = base.join(p90, key, "left")
     recent = top_k_per_group(
         u.select(key, date_col, tiebreak, *USAGE_MEASURES), [key],
         [F.col(date_col).desc(), F.col(tiebreak).desc()], recent_rows)
@@ -246,16 +253,17 @@ def reference_values(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
     """
     num_aggs = []
     for c in numeric:
-        num_aggs += [F.percentile(F.col(c), F.lit(0.5)).alias(f"{c}__median"),
-                     F.avg(c).alias(f"{c}__mean"),
-                     F.stddev_pop(c).alias(f"{c}__std")]
+        num_aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
     parts = []
     if numeric:
         wide = df.agg(*num_aggs)
-        stack = ", ".join(f"'{c}', `{c}__median`, `{c}__mean`, `{c}__std`" for c in numeric)
-        parts.append(wide.selectExpr(f"stack({len(numeric)}, {stack}) AS (feature, median, mean, std)")
-                         .select("feature", F.lit("numeric").alias("kind"), "median", "mean", "std",
-                                 F.lit(None).cast("string").alias("mode")))
+        stack = ", ".join(f"'{c}', `{c}__mean`, `{c}__std`" for c in numeric)
+        moments = wide.selectExpr(f"stack({len(numeric)}, {stack}) AS (feature, mean, std)")
+        med = exact_quantiles(df, [], numeric, [0.5]).select(F.col("measure").alias("feature"),
+                                                             F.col("value").alias("median"))
+        parts.append(moments.join(med, "feature", "left")
+                            .select("feature", F.lit("numeric").alias("kind"), "median", "mean", "std",
+                                    F.lit(None).cast("string").alias("mode")))
     for c in categorical:
         m = mode_per_group(df.withColumn("_all", F.lit(1)), "_all", c, "mode")
         parts.append(m.select(F.lit(c).alias("feature"), F.lit("categorical").alias("kind"),

@@ -230,8 +230,9 @@ def contamination(df: DataFrame, y: str = "y", floor: float = 0.001) -> float:
 
 def score_threshold(train: DataFrame, score: str, contamination_value: float) -> Column:
     """Linear quantile of training scores at 1 - contamination (G14), as a
-    scalar subquery Column (exact ``percentile``)."""
-    return train.agg(F.percentile(F.col(score), F.lit(1.0 - contamination_value))).scalar()
+    scalar subquery Column (exact, by rank: ``operators.quantiles``)."""
+    from fleetlens.operators.quantiles import exact_quantiles
+    return exact_quantiles(train, [], [score], [1.0 - contamination_value]).select("value").scalar()
 
 
 def anomaly_evaluation(train: DataFrame, test: DataFrame, score: str = "score", y: str = "y") -> DataFrame:

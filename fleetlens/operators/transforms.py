@@ -37,8 +37,9 @@ def fit_median(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Exact median per column (F1); Spark's ``Imputer`` median is approximate."""
     if not cols:
         return {}
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in cols]).first()
-    return {c: (float(row[c]) if row[c] is not None else 0.0) for c in cols}
+    from fleetlens.operators.quantiles import exact_quantiles
+    got = {r["measure"]: r["value"] for r in exact_quantiles(df, [], list(cols), [0.5]).collect()}
+    return {c: (float(got[c]) if got.get(c) is not None else 0.0) for c in cols}
 
 
 def fit_mode(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:

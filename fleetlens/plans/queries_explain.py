@@ -10,6 +10,7 @@ from fleetlens.functions import rules as R
 from fleetlens.operators import explain as X
 from fleetlens.operators import windows as W
 from fleetlens.operators.metrics import regression_metrics
+from fleetlens.operators.quantiles import quantile_columns
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import SPLIT_DATE
@@ -66,8 +67,7 @@ def r6_zero_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _medians(u: DataFrame) -> dict:
     train = u.filter(F.col("date") < F.to_date(F.lit(SPLIT_DATE)))
-    med = train.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in FEATS])
-    s = scalars(med)
+    s = scalars(quantile_columns(train, [], FEATS, 0.5, ""))
     return {f: s[f] for f in FEATS}
 
 

@@ -263,7 +263,7 @@ def m12_r4_anomaly_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec = lambda d: pre.transform(d).withColumn("x", vector_to_array("features"))
     model = lof_fit(vec(normal), "x", k=35, contamination=cont, key="event_id")
     fit_scores = model.score(vec(SP.sample_n(normal, MD_MAX_FIT, "event_id")), "x", ["event_id"])
-    thr = fit_scores.agg(F.percentile("anomaly_score", F.lit(1.0 - cont))).first()[0]
+    thr = M.score_threshold(fit_scores, "anomaly_score", cont)
     scored = model.score(vec(test), "x", ["event_id"]).join(test.select("event_id", "date", "label"), "event_id")
     return scored.select("event_id", "date", F.col("label").alias("y"), "anomaly_score",
                          R.decision("anomaly_score", thr).alias("is_anomaly"),
