@@ -259,7 +259,7 @@ def reference_values(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
         wide = df.agg(*num_aggs)
         stack = ", ".join(f"'{c}', `{c}__mean`, `{c}__std`" for c in numeric)
         moments = wide.selectExpr(f"stack({len(numeric)}, {stack}) AS (feature, mean, std)")
-        med = exact_quantiles(df, [], numeric, [0.5]).select(F.col("measure").alias("feature"),
+        med = exact_quantiles(df, [], numeric, 0.5).select(F.col("measure").alias("feature"),
                                                              F.col("value").alias("median"))
         parts.append(moments.join(med, "feature", "left")
                             .select("feature", F.lit("numeric").alias("kind"), "median", "mean", "std",

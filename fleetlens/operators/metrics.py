@@ -232,7 +232,7 @@ def score_threshold(train: DataFrame, score: str, contamination_value: float) ->
     """Linear quantile of training scores at 1 - contamination (G14), as a
     scalar subquery Column (exact, by rank: ``operators.quantiles``)."""
     from fleetlens.operators.quantiles import exact_quantiles
-    return exact_quantiles(train, [], [score], [1.0 - contamination_value]).select("value").scalar()
+    return exact_quantiles(train, [], [score], 1.0 - contamination_value).select("value").scalar()
 
 
 def anomaly_evaluation(train: DataFrame, test: DataFrame, score: str = "score", y: str = "y") -> DataFrame:

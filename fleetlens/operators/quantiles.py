@@ -5,6 +5,8 @@ one task: for a hot group -- or a global median over the whole table --
 that task holds all distinct values of the column.  Here the exact
 linear-interpolated quantile is found by rank instead:
 
+Groups up to ``bucket_rows`` rows keep the plain aggregate; larger ones:
+
 1. long form (group..., measure, value) and one row per distinct value with
    its count (partial aggregation: repeated values collapse map-side);
 2. each group's distinct values are cut into ``buckets`` value ranges using
@@ -28,23 +30,63 @@ from pyspark.sql import functions as F
 from fleetlens.session import cut_lineage
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], qs: Sequence[float],
-                    buckets: int = 32, accuracy: int = 1000) -> DataFrame:
-    """(keys..., measure, q, value): exact linear-interpolated quantiles of every
-    column in ``cols`` per group of ``keys`` (``keys=[]`` for global ones).
-    NULLs are ignored; a group without values yields no row."""
+def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,
+                     suffix: str, buckets: int = 64, bucket_rows: int = 200_000,
+                     accuracy: int = 1000) -> DataFrame:
+    """keys + ``{col}{suffix}``: the exact linear-interpolated ``q`` quantile of
+    every column per group of ``keys`` (``keys=[]``: one global row).
+
+    Groups of at most ``bucket_rows`` rows use Spark's exact ``percentile``
+    aggregate in one pass (its value map is then bounded by ``bucket_rows``);
+    larger groups take the rank path of the module docstring.
+    """
+    keys = list(keys)
+    q = float(q)
+
+    def agg(d: DataFrame) -> DataFrame:
+        return d.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(q)).alias(f"{c}{suffix}")
+                                      for c in cols])
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = sizes.filter(F.col("_n") > F.lit(bucket_rows)).select(*keys)
+    if big.limit(1).count() == 0:
+        return agg(df)
+    if not keys:
+        return _wide(_by_rank(_long(df, [], cols), ["measure"], [q], buckets, accuracy), [], cols, suffix)
+    small = agg(df.join(big, keys, "left_anti"))
+    ranked = _by_rank(_long(df.join(big, keys, "left_semi"), keys, cols), [*keys, "measure"], [q],
+                      buckets, accuracy)
+    return small.unionByName(_wide(ranked, keys, cols, suffix))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,
+                    **kw) -> DataFrame:
+    """Long form of ``quantile_columns``: (keys..., measure, value)."""
     keys = list(keys)
-    g = [*keys, "measure"]
+    wide = quantile_columns(df, keys, cols, q, "__q", **kw)
+    stack = ", ".join(f"'{c}', `{c}__q`" for c in cols)
+    return wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(cols)}, {stack}) AS (measure, value)")
+
+
+def _long(df: DataFrame, keys: list[str], cols: Sequence[str]) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v"))
                                 for c in cols])).alias("_e")
-    long = df.select(*keys, cells).select(*keys, "_e.measure", "_e.v").filter(F.col("v").isNotNull())
+    return df.select(*keys, cells).select(*keys, "_e.measure", "_e.v").filter(F.col("v").isNotNull())
+
+
+def _wide(long: DataFrame, keys: list[str], cols: Sequence[str], suffix: str) -> DataFrame:
+    w = long.groupBy(*keys).pivot("measure", list(cols)).agg(F.first("value"))
+    return w.select(*keys, *[F.col(c).alias(f"{c}{suffix}") for c in cols])
+
+
+def _by_rank(long: DataFrame, g: list[str], qs: list[float], buckets: int, accuracy: int) -> DataFrame:
     distinct = long.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = distinct.groupBy(*g).agg(
         F.percentile_approx("v", F.array(*[F.lit(x) for x in cuts]), accuracy).alias("_bd"),
         F.sum("c").alias("n"))
-    tagged = distinct.join(bounds, g).select(
-        *g, "v", "c", "n", F.size(F.filter("_bd", lambda b: b < F.col("v"))).alias("_b"))
+    tagged = distinct.join(bounds, g).select(*g, "v", "c", "n", F.size(F.filter("_bd", lambda b: b < F.col("v"))).alias("_b"))
+    # the split comes from a sketch: fix it before two branches read it
     tagged = cut_lineage(tagged)
     tot = tagged.groupBy(*g, "_b").agg(F.sum("c").alias("_bc"))
     before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +95,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], qs:
     ranked = (tagged.join(tot.select(*g, "_b", "_off"), [*g, "_b"])
                     .withColumn("_end", F.col("_off") + F.sum("c").over(run))
                     .withColumn("_start", F.col("_end") - F.col("c")))
-    qarr = F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+    qarr = F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")
     picks = ranked.select(*g, "v", "n", "_start", "_end", qarr)
     h = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
     lo, hi = F.floor(h), F.ceil(h)
@@ -65,16 +107,4 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], qs:
         F.first("_h").alias("_h"), F.first("_lo").alias("_l"), F.first("_hi").alias("_u"))
     value = F.when(F.col("_l") == F.col("_u"), F.col("_vlo")).otherwise(
         (F.col("_u") - F.col("_h")) * F.col("_vlo") + (F.col("_h") - F.col("_l")) * F.col("_vhi"))
-    return agg.select(*g, "q", value.alias("value"))
-
-
-def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,
-                     suffix: str) -> DataFrame:
-    """Wide form: keys + ``{col}{suffix}`` per column (one pivot over the
-    measure names, which are known, so no extra pass)."""
-    long = exact_quantiles(df, keys, cols, [q])
-    if not keys:
-        return long.groupBy().pivot("measure", list(cols)).agg(F.first("value")) \
-                   .select(*[F.col(c).alias(f"{c}{suffix}") for c in cols])
-    wide = long.groupBy(*keys).pivot("measure", list(cols)).agg(F.first("value"))
-    return wide.select(*keys, *[F.col(c).alias(f"{c}{suffix}") for c in cols])
+    return agg.select(*g, value.alias("value"))

@@ -38,7 +38,7 @@ def fit_median(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     if not cols:
         return {}
     from fleetlens.operators.quantiles import exact_quantiles
-    got = {r["measure"]: r["value"] for r in exact_quantiles(df, [], list(cols), [0.5]).collect()}
+    got = {r["measure"]: r["value"] for r in exact_quantiles(df, [], list(cols), 0.5).collect()}
     return {c: (float(got[c]) if got.get(c) is not None else 0.0) for c in cols}
 
 
