@@ -152,17 +152,16 @@ def spine_fill(spine: DataFrame, agg: DataFrame, key: str, defaults: dict) -> Da
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` unchanged, but the job fails if a key repeats (J2 one-to-one).
+    """``df`` unchanged after checking that no key repeats (J2 one-to-one).
 
-    The largest key multiplicity is a scalar subquery (one partial-aggregating
-    pass over the key columns) checked by ``assert_true`` in a filter that
-    keeps every row; unlike a guard join, Catalyst cannot prune it away.
+    The largest key multiplicity is one partial-aggregating pass over the key
+    columns (a one-number result); a duplicate raises before the join runs.
     """
     keys = list(keys)
-    worst = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).scalar()
-    check = F.assert_true(F.coalesce(worst, F.lit(0)) <= F.lit(1),
-                          F.lit(f"one_to_one: duplicate key {keys}"))
-    return df.filter(check.isNull())
+    worst = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if worst is not None and worst > 1:
+        raise ValueError(f"one_to_one: duplicate key {keys}")
+    return df
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -176,12 +175,13 @@ def server_feature_table(servers: DataFrame, usage: DataFrame, incidents: DataFr
     """Server feature table: spine LEFT usage profile LEFT incident profile
     plus incident rates (B13), recent shifts (B14) and inf -> NULL (B8).
 
-    ``reference_date`` defaults to the last usage date, computed in-plan as a
-    one-row aggregate (no collect).
+    ``reference_date`` defaults to the last usage date (one aggregate).
     """
     up = usage_profile(usage, key, exact_percentiles=exact_percentiles)
     if reference_date is None:
-        reference_date = usage.agg(F.max("date")).scalar()
+        # one date, read once (a scalar subquery would be re-evaluated at
+        # every place the plan references it)
+        reference_date = str(usage.agg(F.max("date")).first()[0])
     ip = incident_profile(incidents, reference_date, key)
     # The profiles are grouped on the key, so only the spine can repeat a key;
     # it is guarded, and the joins after it are plain key joins.

@@ -167,11 +167,12 @@ def curve_metrics(curve: DataFrame) -> DataFrame:
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """MAE, RMSE, R2 = 1 - SSE/SST, safe_mape = mean(|e| / max(y, 1)) (V8)."""
     e = F.col(pred) - F.col(y)
-    ybar = df.agg(F.avg(y)).scalar()
+    # SST = n * population variance: Spark's numerically stable moment
+    # aggregate, in the same single pass as the error sums
     a = df.agg(F.avg(F.abs(e)).alias("mae"),
                F.sqrt(F.avg(e * e)).alias("rmse"),
                F.sum(e * e).alias("_sse"),
-               F.sum((F.col(y) - ybar) * (F.col(y) - ybar)).alias("_sst"),
+               (F.var_pop(F.col(y).cast("double")) * F.count(F.col(y))).alias("_sst"),
                F.avg(F.abs(e) / F.greatest(F.col(y).cast("double"), F.lit(1.0))).alias("safe_mape"),
                F.count(F.lit(1)).alias("n"))
     return a.select("mae", "rmse",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.topk import top_k_per_group
+from fleetlens.session import cut_lineage
 
 
 def _feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w) -> dict[str, Column]:
@@ -73,7 +74,8 @@ def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], mak
 
     * A key is hot when it holds more than ``hot_share`` of all rows
       (default 1 / (4 x shuffle partitions)), so there are at most
-      1 / hot_share hot keys: that key set is broadcast.
+      1 / hot_share hot keys: that key set is read back and broadcast.  With
+      no hot key the plain window runs (one pass).
     * Rows of a hot key are windowed per (key, chunk of ``chunk_days``
       days); other keys keep one window partition each.
     * A chunk needs the ``back`` rows before it and the ``fwd`` rows after
@@ -87,10 +89,16 @@ def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], mak
     keys = list(keys)
     spark = df.sparkSession
     share = hot_share or 1.0 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = cnt.agg(F.sum("_n")).scalar()
-    hot = cnt.filter(F.col("_n") > total * F.lit(share)).select(*keys, F.lit(True).alias("_hot"))
-    d = df.join(F.broadcast(hot), keys, "left")  # <= 1/share keys
+    w_plain = Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])
+    # Key sizes: one partial-aggregating pass, materialised (one row per key)
+    # so the total and the hot-key filter do not re-run the input plan.
+    cnt = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    total = cnt.agg(F.sum("_n")).first()[0] or 0
+    hot_rows_list = cnt.filter(F.col("_n") > F.lit(total * share)).select(*keys).collect()  # <= 1/share rows
+    if not hot_rows_list:
+        return df.withColumns(make_cols(w_plain))
+    hot = spark.createDataFrame(hot_rows_list, cnt.select(*keys).schema).withColumn("_hot", F.lit(True))
+    d = df.join(F.broadcast(hot), keys, "left")
     day = F.datediff(F.to_date(F.col(order[0])), F.to_date(F.lit("1970-01-01")))
     d = d.withColumn("_chunk", F.when(F.col("_hot"), F.floor(day / F.lit(chunk_days)))
                      .otherwise(F.lit(-1)).cast("long"))

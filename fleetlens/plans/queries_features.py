@@ -186,7 +186,7 @@ INC_PROFILE_RAW = INC_PROFILE_TMPL.replace("ROUND(", "(").replace(", 6) AS", ")
 @register("g5_g6_incident_profile", sql_with(["E", "INC"], INC_PROFILE_SQL + "SELECT * FROM IP"))
 def g5_g6_incident_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    ref = A.observations(t).agg(F.max("date")).scalar()
+    ref = str(A.observations(t).agg(F.max("date")).first()[0])
     return FT.incident_profile(A.incidents(t), ref)
 
 
