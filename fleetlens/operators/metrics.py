@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import rules as R
 from fleetlens.operators.topk import top_k_per_group
+from fleetlens.operators.quantiles import exact_quantiles
 from fleetlens.session import cut_lineage, scalars
 
 # Threshold used when the curve is empty; daily top-K list.
@@ -213,8 +214,11 @@ def topk_capture(df: DataFrame, day: str = "date", key: str = "key", y: str = "y
 
 def score_histogram(df: DataFrame, score: str = "score", label: str = "y", bins: int = 50) -> DataFrame:
     """Counts per (label, equal-width bin) between the global min and max score."""
-    mm = scalars(df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")))
-    lo, hi = mm["lo"], mm["hi"]
+    row = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
+    if row["lo"] is None:
+        return df.select(F.col(label).alias("label"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("count"),
+                         F.lit(0.0).alias("bin_low")).limit(0)
+    lo, hi = F.lit(float(row["lo"])), F.lit(float(row["hi"]))
     width = (hi - lo) / F.lit(float(bins))
     b = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col(score) - lo) / width).cast("int"), F.lit(bins - 1)))
@@ -232,7 +236,6 @@ def contamination(df: DataFrame, y: str = "y", floor: float = 0.001) -> float:
 def score_threshold(train: DataFrame, score: str, contamination_value: float) -> Column:
     """Linear quantile of training scores at 1 - contamination (G14), as a
     scalar subquery Column (exact, by rank: ``operators.quantiles``)."""
-    from fleetlens.operators.quantiles import exact_quantiles
     return exact_quantiles(train, [], [score], 1.0 - contamination_value).select("value").scalar()
 
 
@@ -242,7 +245,8 @@ def anomaly_evaluation(train: DataFrame, test: DataFrame, score: str = "score",
     Every part is a one-row aggregate; they are put side by side with scalar
     subqueries, not joins."""
     cont = contamination(train, y)
-    thr = score_threshold(train, score, cont)
+    thr_v = exact_quantiles(train, [], [score], 1.0 - cont).first()["value"]
+    thr = F.lit(thr_v).cast("double")
     pred = test.withColumn("pred", _pred(score, thr))
     bm = binary_metrics(pred, y, "pred")
     cm = curve_metrics(score_curve(test, score, y))

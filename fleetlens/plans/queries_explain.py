@@ -67,8 +67,8 @@ def r6_zero_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _medians(u: DataFrame) -> dict:
     train = u.filter(F.col("date") < F.to_date(F.lit(SPLIT_DATE)))
-    s = scalars(quantile_columns(train, [], FEATS, 0.5, ""))
-    return {f: s[f] for f in FEATS}
+    row = quantile_columns(train, [], FEATS, 0.5, "").first()   # one number per feature
+    return {f: float(row[f]) for f in FEATS}
 
 
 MED_SQL = f", MED AS (SELECT {', '.join(f'QUANTILE_CONT(CAST({f} AS DOUBLE), 0.5) AS m_{f}' for f in FEATS)} FROM U WHERE date < DATE '{SPLIT_DATE}')\n"
@@ -191,7 +191,7 @@ def b19_b20_forecast_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = h.withColumn("p", F.col("support_tickets_rolling_mean_3") - F.lit(10.0)).filter(F.col("p").isNotNull())
     clipped, rounded = R.clip_round("p")
     h = h.withColumn("prediction", clipped)
-    mae = regression_metrics(h, "support_tickets", "prediction").select("mae").scalar()
+    mae = regression_metrics(h, "support_tickets", "prediction").first()["mae"]
     lo, hi = R.prediction_interval("prediction", mae)
     return h.select("region", "date", "prediction", rounded.alias("rounded_prediction"),
                     lo.alias("expected_range_low"), hi.alias("expected_range_high"))
