@@ -81,12 +81,15 @@ def m1_m5_model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dummy prior, balanced logistic regression, random forest, extra-trees
     substitute and binned GBT on the same temporal split; U1/S2/S6/V16."""
     train, test, _ = _prepared(spark, sf_dir)
-    rows = []
-    for name in ("dummy_prior", "logistic_regression", "random_forest", "extra_trees", "hist_gradient_boosting"):
+
+    def one(name):
         scored, secs = MD.fit_score(name, train, test, {"numTrees": 40, "maxIter": 20})
-        ev = MD.evaluate_scores(scored)
-        rows.append(ev.select(F.lit(name).alias("model"), "average_precision", "roc_auc", "best_f1",
-                              F.lit(float(secs)).alias("training_seconds")))
+        ev = cut_lineage(MD.evaluate_scores(scored))
+        return ev.select(F.lit(name).alias("model"), "average_precision", "roc_auc", "best_f1",
+                         F.lit(float(secs)).alias("training_seconds"))
+
+    names = ("dummy_prior", "logistic_regression", "random_forest", "extra_trees", "hist_gradient_boosting")
+    rows = MD.run_parallel([lambda n=n: one(n) for n in names], parallelism=5)
     return M.leaderboard(rows, "average_precision", "roc_auc", secondary_desc=True)
 
 
@@ -116,17 +119,19 @@ def m9_m14_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-means for k = 3..8 (M14) with squared-Euclidean silhouette, DB, CH and
     inertia per k; best silhouette first."""
     _, x = _segmentation_input(spark, sf_dir)
-    rows = []
-    for k in range(3, 9):
+
+    def one(k):
         m = MD.kmeans(k, max_iter=100).fit(x)
         a = cut_lineage(m.transform(x).select(vector_to_array("features").alias("v"),
                                               F.col("prediction").alias("cluster")))
         sil = CL.silhouette_sq(a, "v", "cluster")
-        idx = CL.davies_bouldin_calinski(a, "v", "cluster")
-        rows.append(sil.select(F.lit(k).alias("k"), F.lit(f"kmeans_k{k}").alias("model"), "silhouette",
-                               scalars(idx)["davies_bouldin"].alias("davies_bouldin"),
-                               scalars(idx)["calinski_harabasz"].alias("calinski_harabasz"),
-                               F.lit(float(m.summary.trainingCost)).alias("inertia")))
+        idx = scalars(CL.davies_bouldin_calinski(a, "v", "cluster"))
+        return cut_lineage(sil.select(F.lit(k).alias("k"), F.lit(f"kmeans_k{k}").alias("model"), "silhouette",
+                                      idx["davies_bouldin"].alias("davies_bouldin"),
+                                      idx["calinski_harabasz"].alias("calinski_harabasz"),
+                                      F.lit(float(m.summary.trainingCost)).alias("inertia")))
+
+    rows = MD.run_parallel([lambda k=k: one(k) for k in range(3, 9)], parallelism=6)
     return M.leaderboard(rows, "silhouette")
 
 
