@@ -47,7 +47,7 @@ def percentile(col: str, q: float, exact: bool = True, accuracy: int = 10000) ->
 
 def usage_profile(usage: DataFrame, key: str = "server_id", date_col: str = "date",
                   tiebreak: str = "event_id", exact_percentiles: bool = True,
-                  recent_rows: int = RECENT_ROWS) -> DataFrame:
+                  recent_rows: int = RECENT_ROWS, max_group_rows: int | None = None) -> DataFrame:
     """Server usage profile: G1 (24 aggregates), G2 (p90 x9), G3 (recent-7 means), G4 (rates).
 
     ``usage`` needs the daily-usage columns.  The recent-N means use the
@@ -92,7 +92,7 @@ def usage_profile(usage: DataFrame, key: str = "server_id", date_col: str = "dat
     base = u.groupBy(key).agg(*aggs)
     if exact_percentiles:
         # exact p90s by rank (operators.quantiles): no per-group value map
-        p90 = quantile_columns(u, [key], USAGE_MEASURES, 0.9, "_p90")
+        p90 = quantile_columns(u, [key], USAGE_MEASURES, 0.9, "_p90", max_group_rows=max_group_rows)
         base = base.join(p90, key, "left")
     recent = top_k_per_group(
         u.select(key, date_col, tiebreak, *USAGE_MEASURES), [key],
@@ -177,11 +177,13 @@ def server_feature_table(servers: DataFrame, usage: DataFrame, incidents: DataFr
 
     ``reference_date`` defaults to the last usage date (one aggregate).
     """
-    up = usage_profile(usage, key, exact_percentiles=exact_percentiles)
+    # one small aggregate gives the reference date (last usage date) and the
+    # largest per-entity row count (which picks the quantile strategy)
+    facts = (usage.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("date").alias("_d"))
+                  .agg(F.max("_n").alias("n"), F.max("_d").alias("d")).first())
+    up = usage_profile(usage, key, exact_percentiles=exact_percentiles, max_group_rows=facts["n"] or 0)
     if reference_date is None:
-        # one date, read once (a scalar subquery would be re-evaluated at
-        # every place the plan references it)
-        reference_date = str(usage.agg(F.max("date")).first()[0])
+        reference_date = str(facts["d"])
     ip = incident_profile(incidents, reference_date, key)
     # The profiles are grouped on the key, so only the spine can repeat a key;
     # it is guarded, and the joins after it are plain key joins.

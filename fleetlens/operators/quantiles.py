@@ -32,13 +32,15 @@ from fleetlens.session import cut_lineage
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,
                      suffix: str, buckets: int = 64, bucket_rows: int = 200_000,
-                     accuracy: int = 1000) -> DataFrame:
+                     accuracy: int = 1000, max_group_rows: int | None = None) -> DataFrame:
     """keys + ``{col}{suffix}``: the exact linear-interpolated ``q`` quantile of
     every column per group of ``keys`` (``keys=[]``: one global row).
 
     Groups of at most ``bucket_rows`` rows use Spark's exact ``percentile``
     aggregate in one pass (its value map is then bounded by ``bucket_rows``);
     larger groups take the rank path of the module docstring.
+    ``max_group_rows``, when the caller already knows the largest group
+    size, skips the size check.
     """
     keys = list(keys)
     q = float(q)
@@ -49,7 +51,9 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q:
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = sizes.filter(F.col("_n") > F.lit(bucket_rows)).select(*keys)
-    if big.limit(1).count() == 0:
+    if max_group_rows is not None and max_group_rows <= bucket_rows:
+        return agg(df)
+    if max_group_rows is None and big.limit(1).count() == 0:
         return agg(df)
     if not keys:
         return _wide(_by_rank(_long(df, [], cols), ["measure"], [q], buckets, accuracy), [], cols, suffix)
