@@ -70,10 +70,16 @@ def m6_r1_incident_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = MD.classifier("gradient_boosting", params, weight=None).fit(fit_tr)
     thr = MD.evaluate_scores(MD.positive_probability(model.transform(val))).select("best_threshold").first()[0]
     scored = MD.positive_probability(model.transform(test))
+    n_features = len(train.select("features").first()[0])
+    meta = F.create_map(F.lit("model_type"), F.lit("GBTClassifier"),
+                        F.lit("threshold"), F.lit(str(thr)),
+                        F.lit("feature_count"), F.lit(str(n_features)))
+    # prediction table with traceability (V17) and the response fields
     return scored.select(
         F.col("server_id").alias("key"), "date", F.col("label").alias("y"), "score",
         R.decision("score", thr).alias("pred"), R.risk_level("score", thr).alias("risk_level"),
-        F.lit(thr).alias("threshold"))
+        F.lit(thr).alias("threshold"), F.lit("gradient_boosting").alias("model"),
+        R.fingerprint("server_id", "date").alias("input_hash"), meta.alias("metadata"))
 
 
 @register("m1_m5_model_leaderboard")
