@@ -106,9 +106,9 @@ def incident_profile(incidents: DataFrame, reference_date, key: str = "server_id
                      date_col: str = "date") -> DataFrame:
     """Incident profile (G5) with recency (G6) at ``reference_date``.
 
-    ``reference_date`` is a date string or a scalar Column (e.g.
-    ``usage.agg(max(date)).scalar()``, a scalar subquery: no collect, no
-    join).  Entities without incidents are filled by ``spine_fill``.
+    ``reference_date`` is a date string (read once from the data by the
+    caller) or a date Column.  Entities without incidents are filled by
+    ``spine_fill``.
     """
     ref = F.to_date(F.lit(reference_date)) if isinstance(reference_date, str) else reference_date
     sev, comp = F.col("severity"), F.col("component")

@@ -16,7 +16,8 @@ UNKNOWN_PROFILE = "profil inconnu"
 def assemble_fact(fact: DataFrame, dims: Sequence[tuple[DataFrame, list[str]]]) -> DataFrame:
     """Star assembly (J1): ``fact`` LEFT JOIN each dimension on its keys.
 
-    Every dimension key is guarded unique in-plan, so the result keeps
+    Every dimension key is checked unique first (one aggregate over the key
+    columns; a duplicate raises), so the result keeps
     exactly one row per fact row.  Dimension sizes are left to AQE: it
     broadcasts a side only after measuring it at runtime.
     """
