@@ -76,3 +76,32 @@ def time_blocks(df: DataFrame, date_col: str = "date", k: int = 3, block_col: st
 
 def time_fold(df_blocks: DataFrame, i: int, block_col: str = "block") -> tuple[DataFrame, DataFrame]:
     return df_blocks.filter(F.col(block_col) < i), df_blocks.filter(F.col(block_col) == i)
+
+
+def stratified_split_exact(df: DataFrame, key, label: str, test_frac: float = 0.2, seed: int = 42,
+                           bits: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Per-class exact split (P2): in every class the ``round(test_frac * n_c)``
+    rows with the smallest key hash form the test side.
+
+    A class can be half the data, so no window runs over a whole class: the
+    64-bit hash is uniform, its top ``bits`` bits cut each class into 2^bits
+    equal hash ranges (deterministic, no sampling).  Range counts (classes x
+    2^bits rows, broadcast) show which ranges lie wholly before or after the
+    cut; only the one range holding the cut is ranked.
+    """
+    h = F.xxhash64(*_keys(key), F.lit(seed))
+    d = df.withColumn("_h", h).withColumn("_bk", F.shiftright(F.col("_h"), 64 - bits))
+    cnt = d.groupBy(label, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    cnt = (cnt.withColumn("_cum", F.sum("_c").over(Window.partitionBy(label).orderBy("_bk")))
+              .withColumn("_n", F.sum("_c").over(Window.partitionBy(label)))
+              .withColumn("_k", F.round(F.col("_n") * F.lit(float(test_frac))).cast("long"))
+              .withColumn("_prev", F.col("_cum") - F.col("_c")))
+    # classes x 2^bits rows: bounded by the parameter, broadcast
+    d = d.join(F.broadcast(cnt.select(label, "_bk", "_prev", "_cum", "_k")), [label, "_bk"])
+    cut = (F.col("_prev") < F.col("_k")) & (F.col("_k") < F.col("_cum"))
+    whole = d.filter(~cut).withColumn("_test", F.col("_cum") <= F.col("_k"))
+    part = d.filter(cut)
+    part = part.withColumn("_test", F.col("_prev") + F.row_number().over(
+        Window.partitionBy(label, "_bk").orderBy("_h", *_keys(key))) <= F.col("_k"))
+    out = whole.unionByName(part).drop("_h", "_bk", "_prev", "_cum", "_k")
+    return out.filter(~F.col("_test")).drop("_test"), out.filter(F.col("_test")).drop("_test")

@@ -293,6 +293,7 @@ def p1_p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.observations(Tables(spark, sf_dir)).withColumn("y", R.flag(F.col("event_type") == "error"))
     tr, te = SP.hash_split(e, "event_id", 0.2)
     str_, ste = SP.stratified_split(e, "event_id", "y", 0.2)
+    sxr, sxe = SP.stratified_split_exact(e, "event_id", "y", 0.2)
     samp = SP.sample_n(e, 3000, "event_id")
     folds = SP.kfold(e, "event_id", 3)
 
@@ -300,7 +301,8 @@ def p1_p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
         return d.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"),
                      F.avg(F.col("y").cast("double")).alias("positive_rate"))
     out = part("train", tr).unionByName(part("test", te)).unionByName(part("strat_train", str_)) \
-        .unionByName(part("strat_test", ste)).unionByName(part("sample", samp))
+        .unionByName(part("strat_test", ste)).unionByName(part("sample", samp)) \
+        .unionByName(part("strat_exact_train", sxr)).unionByName(part("strat_exact_test", sxe))
     for i in range(3):
         out = out.unionByName(part(f"fold_{i}", folds.filter(F.col("fold") == i)))
     return out

@@ -55,3 +55,16 @@ def test_feature_columns_by_type(spark):
     from fleetlens.operators.transforms import feature_columns
     df = spark.createDataFrame([(1, 2.0, "a", "x")], "server_id int, v double, seg string, key string")
     assert feature_columns(df, exclude=["server_id", "key"]) == (["v"], ["seg"])
+
+
+def test_stratified_split_exact_counts(spark):
+    from fleetlens.operators.splits import stratified_split_exact
+    rows = [(i, 1 if i % 7 == 0 else 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    tr, te = stratified_split_exact(df, "id", "y", 0.2, bits=4)
+    n1 = sum(1 for _, y in rows if y == 1)
+    n0 = len(rows) - n1
+    got = {r.y: r["count"] for r in te.groupBy("y").count().collect()}
+    assert got == {1: round(0.2 * n1), 0: round(0.2 * n0)}
+    assert tr.count() + te.count() == len(rows)
+    assert tr.join(te, "id").count() == 0
