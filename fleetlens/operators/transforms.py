@@ -129,6 +129,36 @@ class TabularPreprocessor:
             out = drop_first_slots(out, self.output, len(self.numeric), self.category_sizes())
         return out
 
+    def stages(self, input_cols: Sequence[str]) -> list:
+        """The fitted preprocessing as Spark ML stages, so preprocessing and
+        model save and load as one ``PipelineModel`` (A4): a ``SQLTransformer``
+        carrying the fitted medians, moments and modes as literals, then the
+        fitted indexer / encoder / assembler (and the drop-first slicer)."""
+        from pyspark.ml.feature import SQLTransformer
+
+        def num(v: float) -> str:
+            return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+        exprs = []
+        for c in input_cols:
+            q = f"`{c}`"
+            if c in self.scale:
+                m, s = self.scale[c]
+                exprs.append(f"(COALESCE(CAST({q} AS DOUBLE), {num(self.medians[c])}) - {num(m)}) / {num(s)} AS {q}")
+            elif c in self.modes:
+                mode = str(self.modes[c]).replace("'", "\\'")
+                exprs.append(f"COALESCE({q}, '{mode}') AS {q}")
+            else:
+                exprs.append(q)
+        out = [SQLTransformer(statement=f"SELECT {', '.join(exprs)} FROM __THIS__"), *self.pipeline.stages]
+        if self.drop_first and self.categorical:
+            keep, pos = list(range(len(self.numeric))), len(self.numeric)
+            for size in self.category_sizes():
+                keep += list(range(pos + 1, pos + size))
+                pos += size
+            out.append(VectorSlicer(inputCol=self.output, outputCol=f"{self.output}__df", indices=keep))
+        return out
+
     def category_sizes(self) -> list[int]:
         st = self.pipeline.stages[0]
         return [len(x) for x in st.labelsArray] if hasattr(st, "labelsArray") else []

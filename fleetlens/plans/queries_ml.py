@@ -317,30 +317,34 @@ def f1_f3_impute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 @register("a2_a4_roundtrip")
 def a2_a4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the server feature table partitioned (A2), read it back (A1),
-    save/load a metadata entry (A3) and a fitted pipeline (A4), re-score."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    """Write the incident feature table partitioned by date (A2), read it back
+    (A1), save/load a metadata entry (A3) and the fitted preprocessing + GBT
+    as one PipelineModel (A4); the reloaded model re-scores the test rows
+    and must give the same probabilities."""
+    from pyspark.ml import PipelineModel
     base = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-io-{uuid.uuid4().hex}"
-    t = Tables(spark, sf_dir)
-    ft = FT.server_feature_table(A.servers(t), A.usage(t), A.incidents(t))
-    IO.write_table(ft, f"{base}/features", partition_by=["segment"])
+    f = incident_features(spark, sf_dir)
+    IO.write_table(f, f"{base}/features", partition_by=["date"])
     back = IO.read_table(spark, f"{base}/features")
-    IO.save_metadata(spark, {"model_type": "LogisticRegression", "threshold": 0.5}, f"{base}/meta")
+    num, cat = TR.feature_columns(back, exclude=["server_id", "label", "date"])
+    train, test = SP.temporal_split(back, "date", SPLIT_DATE)
+    pre = TR.TabularPreprocessor(num, cat).fit(train)
+    gbt = MD.classifier("gradient_boosting", {"maxIter": 10}, weight=None).fit(pre.transform(train))
+    unit = PipelineModel(stages=[*pre.stages(back.columns), gbt])
+    MD.save_model(unit, f"{base}/model")
+    IO.save_metadata(spark, {"model_type": "GBTClassifier", "threshold": 0.5,
+                             "feature_columns": num + cat}, f"{base}/meta")
     meta = IO.load_metadata(spark, f"{base}/meta")
     missing = IO.load_metadata(spark, f"{base}/absent")
-    data = back.select(F.col("incident_count").cast("double").alias("a"),
-                       F.col("has_gpu").cast("double").alias("b"),
-                       R.flag(F.col("incident_count") > 0).alias("label"))
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"),
-                            LogisticRegression(maxIter=20)]).fit(data)
-    MD.save_model(pipe, f"{base}/model")
-    again = MD.load_model(f"{base}/model").transform(data)
-    return again.agg(F.count(F.lit(1)).alias("rows"),
-                     F.lit(meta.get("model_type", "")).alias("model_type"),
-                     F.lit(len(missing)).alias("missing_meta_keys"),
-                     F.avg(F.col("prediction")).alias("mean_prediction"))
+    again = MD.positive_probability(MD.load_model(f"{base}/model").transform(test), out="p_loaded")
+    direct = MD.positive_probability(gbt.transform(pre.transform(test)), out="p_fit")
+    j = again.select("server_id", "date", "p_loaded").join(direct.select("server_id", "date", "p_fit"),
+                                                          ["server_id", "date"])
+    return j.agg(F.count(F.lit(1)).alias("rows"),
+                 F.max(F.abs(F.col("p_loaded") - F.col("p_fit"))).alias("max_abs_diff"),
+                 F.lit(meta.get("model_type", "")).alias("model_type"),
+                 F.lit(len(meta.get("feature_columns", []))).alias("feature_count"),
+                 F.lit(len(missing)).alias("missing_meta_keys"))
 
 
 # ---------------------------------------------------------------------------
