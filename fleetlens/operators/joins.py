@@ -50,10 +50,18 @@ def label_horizon(obs: DataFrame, events: DataFrame, key: str = "server_id",
 
 
 def label_next_rows(obs: DataFrame, key: str, order: Sequence[str], flag_col: str,
-                    rows: int = 7, label: str = "label") -> DataFrame:
-    """Observation-count variant of J6: any flagged row among the next ``rows`` rows."""
-    w = Window.partitionBy(key).orderBy(*[F.col(o) for o in order]).rowsBetween(1, rows)
-    return obs.withColumn(label, F.coalesce(F.max(F.col(flag_col)).over(w), F.lit(0)))
+                    rows: int = 7, label: str = "label", min_hot_rows: int = 100_000) -> DataFrame:
+    """Observation-count variant of J6: any flagged row among the next ``rows``
+    rows.  Hot keys are split into time chunks when the leading order column
+    is a date (see ``windows.chunked_window``)."""
+    from fleetlens.operators.windows import _is_time, chunked_window
+
+    def make(w):
+        return {label: F.coalesce(F.max(F.col(flag_col)).over(w.rowsBetween(1, rows)), F.lit(0))}
+
+    if order and _is_time(obs, order[0]):
+        return chunked_window(obs, [key], list(order), make, back=0, fwd=rows, min_hot_rows=min_hot_rows)
+    return obs.withColumns(make(Window.partitionBy(key).orderBy(*[F.col(o) for o in order])))
 
 
 def prev_day_join(panel: DataFrame, group: str = "region", date_col: str = "date",

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.topk import top_k_per_group
-from fleetlens.session import cut_lineage
 
 
 def _feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w) -> dict[str, Column]:
@@ -44,7 +43,7 @@ def history_features(df: DataFrame, key: str | Sequence[str], order: Sequence[st
                      mean_windows: Sequence[int] = (3, 7), std_window: int | None = 7,
                      max_window: int | None = 7, diff: bool = True,
                      skew_safe: bool = True, chunk_days: int = 7,
-                     hot_share: float | None = None) -> DataFrame:
+                     hot_share: float | None = None, min_hot_rows: int = 100_000) -> DataFrame:
     """Per column: ``lag{n}`` (E1), ``diff1`` = x - lag1 (E2), ``rolling_mean_{w}`` over
     the previous w rows (E3, >= 1 row), ``rolling_std_{w}`` sample std (E4, >= 2 rows,
     else NULL), ``rolling_max_{w}`` (E5).
@@ -61,21 +60,23 @@ def history_features(df: DataFrame, key: str | Sequence[str], order: Sequence[st
 
     if skew_safe and order and _is_time(df, order[0]):
         return chunked_window(df, keys, list(order), make, back=reach, fwd=0,
-                              chunk_days=chunk_days, hot_share=hot_share)
+                              chunk_days=chunk_days, hot_share=hot_share, min_hot_rows=min_hot_rows)
     w = Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])
     return df.withColumns(make(w))
 
 
 def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], make_cols,
-                   back: int, fwd: int, chunk_days: int = 7, hot_share: float | None = None) -> DataFrame:
+                   back: int, fwd: int, chunk_days: int = 7, hot_share: float | None = None,
+                   min_hot_rows: int = 100_000) -> DataFrame:
     """Row-frame window columns (``make_cols(window_spec) -> {name: Column}``)
     that look at most ``back`` rows behind and ``fwd`` rows ahead, exact, with
     hot keys split into time chunks.
 
     * A key is hot when it holds more than ``hot_share`` of all rows
-      (default 1 / (4 x shuffle partitions)), so there are at most
-      1 / hot_share hot keys: that key set is read back and broadcast.  With
-      no hot key the plain window runs (one pass).
+      (default 1 / (4 x shuffle partitions)) and more than ``min_hot_rows``
+      rows (smaller keys fit any task), so there are at most 1 / hot_share
+      hot keys: that key set is read back and broadcast.  With no hot key
+      the plain window runs.
     * Rows of a hot key are windowed per (key, chunk of ``chunk_days``
       days); other keys keep one window partition each.
     * A chunk needs the ``back`` rows before it and the ``fwd`` rows after
@@ -90,13 +91,15 @@ def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], mak
     spark = df.sparkSession
     share = hot_share or 1.0 / (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     w_plain = Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])
-    # Key sizes: one partial-aggregating pass, materialised (one row per key)
-    # so the total and the hot-key filter do not re-run the input plan.
-    cnt = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    total = cnt.agg(F.sum("_n")).first()[0] or 0
-    hot_rows_list = cnt.filter(F.col("_n") > F.lit(total * share)).select(*keys).collect()  # <= 1/share rows
-    if not hot_rows_list:
+    # Key sizes: one partial-aggregating pass gives the total and the
+    # largest key; only when some key is hot is the (<= 1/share) hot-key
+    # list read back.
+    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, biggest = cnt.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max((total or 0) * share, min_hot_rows)
+    if biggest is None or biggest <= limit:
         return df.withColumns(make_cols(w_plain))
+    hot_rows_list = cnt.filter(F.col("_n") > F.lit(limit)).select(*keys).collect()
     hot = spark.createDataFrame(hot_rows_list, cnt.select(*keys).schema).withColumn("_hot", F.lit(True))
     d = df.join(F.broadcast(hot), keys, "left")
     day = F.datediff(F.to_date(F.col(order[0])), F.to_date(F.lit("1970-01-01")))
@@ -137,7 +140,8 @@ def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], mak
 
 def lead_target(df: DataFrame, key: str | Sequence[str], order: Sequence[str], col: str,
                 target: str, steps: int = 1, drop_last: bool = True, skew_safe: bool = True,
-                chunk_days: int = 7, hot_share: float | None = None) -> DataFrame:
+                chunk_days: int = 7, hot_share: float | None = None,
+                min_hot_rows: int = 100_000) -> DataFrame:
     """Next-step value of ``col`` as ``target`` (E6); rows without one are dropped.
     Hot keys are split like ``history_features`` (forward halo)."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -147,7 +151,7 @@ def lead_target(df: DataFrame, key: str | Sequence[str], order: Sequence[str], c
 
     if skew_safe and order and _is_time(df, order[0]):
         out = chunked_window(df, keys, list(order), make, back=0, fwd=steps,
-                             chunk_days=chunk_days, hot_share=hot_share)
+                             chunk_days=chunk_days, hot_share=hot_share, min_hot_rows=min_hot_rows)
     else:
         out = df.withColumns(make(Window.partitionBy(*keys).orderBy(*[F.col(o) for o in order])))
     return out.dropna(subset=[target]) if drop_last else out

@@ -37,7 +37,7 @@ def test_skew_safe_equals_plain_with_sparse_chunks(spark):
     df = spark.createDataFrame(rows, "k string, d date, t int, x double")
     args = dict(lags=(1, 7), mean_windows=(3, 7), std_window=7, max_window=7)
     plain = history_features(df, "k", ["d", "t"], ["x"], skew_safe=False, **args)
-    safe = history_features(df, "k", ["d", "t"], ["x"], skew_safe=True, hot_share=0.3, **args)
+    safe = history_features(df, "k", ["d", "t"], ["x"], skew_safe=True, hot_share=0.3, min_hot_rows=0, **args)
     cols = plain.columns
     a = sorted(tuple(r) for r in plain.select(*cols).collect())
     b = sorted(tuple(r) for r in safe.select(*cols).collect())
@@ -58,9 +58,10 @@ def test_skew_safe_lead_and_next_rows_equal_plain(spark):
     rows += [("c", base + dt.timedelta(days=i), 500 + i, float(i), 0) for i in range(0, 20, 4)]
     df = spark.createDataFrame(rows, "k string, d date, t int, x double, f int")
     a = sorted(tuple(r) for r in lead_target(df, "k", ["d", "t"], "x", "y", steps=2, skew_safe=False).collect())
-    b = sorted(tuple(r) for r in lead_target(df, "k", ["d", "t"], "x", "y", steps=2, hot_share=0.3).collect())
+    b = sorted(tuple(r) for r in lead_target(df, "k", ["d", "t"], "x", "y", steps=2, hot_share=0.3,
+                                              min_hot_rows=0).collect())
     assert a == b and len(a) == len(rows) - 4
     plain = df.withColumns({"_i": df.t})  # int order -> plain window path
     c = sorted(tuple(r) for r in label_next_rows(plain, "k", ["_i"], "f", 3).drop("_i").collect())
-    e = sorted(tuple(r) for r in label_next_rows(df, "k", ["d", "t"], "f", 3).collect())
+    e = sorted(tuple(r) for r in label_next_rows(df, "k", ["d", "t"], "f", 3, min_hot_rows=0).collect())
     assert c == e
