@@ -302,7 +302,7 @@ def _dbl(c):
     return f"CAST({c} AS DOUBLE)"
 
 
-@register("e1_e5_history_features", sql_with(["GP"], f"""
+ORACLE_E1_E5 = sql_with(["GP"], f"""
 , GPD AS (SELECT region, date, CAST(support_tickets AS DOUBLE) AS support_tickets, network_latency_ms,
                  capacity_used_pct, power_usage_mw, avg_rack_temperature_c, scheduled_maintenance FROM GP)
 SELECT region, CAST(date AS VARCHAR) AS date,
@@ -310,7 +310,10 @@ SELECT region, CAST(date AS VARCHAR) AS date,
   {r('(capacity_used_pct + network_latency_ms + avg_rack_temperature_c) / 3.0::DOUBLE')} AS infra_pressure,
   {r('scheduled_maintenance * network_latency_ms')} AS maintenance_latency_interaction,
   {r('capacity_used_pct * power_usage_mw')} AS capacity_power_interaction
-FROM GPD"""))
+FROM GPD""")
+
+
+@register("e1_e5_history_features", ORACLE_E1_E5)
 def e1_e5_history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     gp = A.group_day(Tables(spark, sf_dir)).withColumn("support_tickets", F.col("support_tickets").cast("double"))
     h = W.history_features(gp, "region", ["date"], HIST)
@@ -322,6 +325,23 @@ def e1_e5_history_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(*keep)
 
 
+def _e1_e5_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1-E5 with every panel group treated as hot (share 10 %, no size
+    floor): the chunk + halo path on the driver tables, checked against the
+    same oracle as the plain window."""
+    gp = A.group_day(Tables(spark, sf_dir)).withColumn("support_tickets", F.col("support_tickets").cast("double"))
+    h = W.history_features(gp, "region", ["date"], HIST, hot_share=0.1, min_hot_rows=0)
+    h = h.withColumns(R.region_interactions("capacity_used_pct", "network_latency_ms",
+                                            "avg_rack_temperature_c", "scheduled_maintenance",
+                                            "power_usage_mw"))
+    keep = ["region", "date"] + [c for c in h.columns if any(c.startswith(x + "_") for x in HIST)] + [
+        "infra_pressure", "maintenance_latency_interaction", "capacity_power_interaction"]
+    return h.select(*keep)
+
+
+register("e1_e5_history_chunked", ORACLE_E1_E5)(_e1_e5_chunked)
+
+
 # --- E6 lead target ---------------------------------------------------------------------------
 @register("e6_lead_target", sql_with(["GP"], """
 , L AS (SELECT region, date, support_tickets,
