@@ -47,7 +47,8 @@ def percentile(col: str, q: float, exact: bool = True, accuracy: int = 10000) ->
 
 def usage_profile(usage: DataFrame, key: str = "server_id", date_col: str = "date",
                   tiebreak: str = "event_id", exact_percentiles: bool = True,
-                  recent_rows: int = RECENT_ROWS, max_group_rows: int | None = None) -> DataFrame:
+                  recent_rows: int = RECENT_ROWS, max_group_rows: int | None = None,
+                  quantile_bucket_rows: int = 200_000) -> DataFrame:
     """Server usage profile: G1 (24 aggregates), G2 (p90 x9), G3 (recent-7 means), G4 (rates).
 
     ``usage`` needs the daily-usage columns.  The recent-N means use the
@@ -92,7 +93,8 @@ def usage_profile(usage: DataFrame, key: str = "server_id", date_col: str = "dat
     base = u.groupBy(key).agg(*aggs)
     if exact_percentiles:
         # exact p90s by rank (operators.quantiles): no per-group value map
-        p90 = quantile_columns(u, [key], USAGE_MEASURES, 0.9, "_p90", max_group_rows=max_group_rows)
+        p90 = quantile_columns(u, [key], USAGE_MEASURES, 0.9, "_p90", max_group_rows=max_group_rows,
+                               bucket_rows=quantile_bucket_rows, buckets=8 if quantile_bucket_rows < 1000 else 64)
         base = base.join(p90, key, "left")
     recent = top_k_per_group(
         u.select(key, date_col, tiebreak, *USAGE_MEASURES), [key],

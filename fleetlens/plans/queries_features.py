@@ -154,11 +154,22 @@ G AS (SELECT server_id,
     return base + ",\n".join(aggs) + "\nFROM RK GROUP BY server_id)\n"
 
 
-@register("g1_g4_usage_profile", sql_with(["U"], _usage_profile_sql() + "SELECT * EXCLUDE (_s_usage, _s_temp, _s_net) FROM G"))
+ORACLE_G1_G4 = sql_with(["U"], _usage_profile_sql() + "SELECT * EXCLUDE (_s_usage, _s_temp, _s_net) FROM G")
+
+
+@register("g1_g4_usage_profile", ORACLE_G1_G4)
 def g1_g4_usage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.usage_profile(A.usage(Tables(spark, sf_dir)))
 
 
+@register("g2_usage_profile_ranked", ORACLE_G1_G4)
+def g2_usage_profile_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1-G4 with every entity above the quantile size limit (10 rows), so the
+    p90s take the rank path (distinct values, bucketed ranges, running counts)
+    on the driver tables; same oracle as the aggregate path."""
+    return FT.usage_profile(A.usage(Tables(spark, sf_dir)), quantile_bucket_rows=10)
+
+
 # --- G5/G6 incident profile ------------------------------------------------------------
 INC_PROFILE_TMPL = """
 , REF AS (SELECT MAX(date) AS ref FROM E),
