@@ -15,7 +15,6 @@ from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import SPLIT_DATE
 from fleetlens.plans.base import r, register
-from fleetlens.session import scalars
 from fleetlens.sources.tables import Tables
 
 # Fixed values of the driver-table scorer: a linear risk score over usage
