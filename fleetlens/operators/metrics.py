@@ -239,12 +239,17 @@ def score_threshold(train: DataFrame, score: str, contamination_value: float) ->
     return exact_quantiles(train, [], [score], 1.0 - contamination_value).select("value").scalar()
 
 
-def anomaly_evaluation(train: DataFrame, test: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
+def anomaly_evaluation(train: DataFrame, test: DataFrame, score: str = "score", y: str = "y",
+                       contamination_value: float | None = None) -> DataFrame:
     """Threshold from the training quantile, then predicted rate, P/R/F1, AP, AUC.
 
+    ``contamination_value`` overrides the label rate of ``train`` (the
+    deployed model takes it from the whole training window while the
+    threshold comes from the fit rows' scores).
+
     Every part is a one-row aggregate; they are put side by side with scalar
     subqueries, not joins."""
-    cont = contamination(train, y)
+    cont = contamination(train, y) if contamination_value is None else float(contamination_value)
     thr_v = exact_quantiles(train, [], [score], 1.0 - cont).first()["value"]
     thr = F.lit(thr_v).cast("double")
     pred = test.withColumn("pred", _pred(score, thr))

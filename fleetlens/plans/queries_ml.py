@@ -285,6 +285,28 @@ def m12_r4_anomaly_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 MD_MAX_FIT = 30000
 
 
+@register("m12_v14_lof_evaluation")
+def m12_v14_lof_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deployed anomaly model's report: LOF (k=35) fitted on <= 30,000
+    normal training rows; threshold = quantile of the fit rows' own scores at
+    1 - contamination; test precision/recall/F1, AP and ROC-AUC (M12, G13,
+    G14, V14)."""
+    u = cut_lineage(_anomaly_frame(spark, sf_dir))
+    num, _ = TR.feature_columns(u, exclude=["event_id", "server_id", "label", "date", "ts"])
+    train, test = SP.temporal_split(u, "date", SPLIT_DATE)
+    normal = train.filter(F.col("label") == 0)
+    pre = TR.TabularPreprocessor(num).fit(normal)
+    vec = lambda d: pre.transform(d).withColumn("x", vector_to_array("features"))
+    cont = M.contamination(train, "label")
+    model = lof_fit(vec(normal), "x", k=35, contamination=cont, key="event_id")
+    fit_rows = SP.sample_n(normal, MD_MAX_FIT, "event_id")
+    tr_scores = model.score(vec(fit_rows), "x", ["event_id"]).join(fit_rows.select("event_id", "label"), "event_id")
+    te_scores = model.score(vec(test), "x", ["event_id"]).join(test.select("event_id", "label"), "event_id")
+    return M.anomaly_evaluation(tr_scores.select(F.col("anomaly_score").alias("score"), F.col("label").alias("y")),
+                                te_scores.select(F.col("anomaly_score").alias("score"), F.col("label").alias("y")),
+                                contamination_value=cont)
+
+
 @register("m11_isolation_forest")
 def m11_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = cut_lineage(_anomaly_frame(spark, sf_dir))
