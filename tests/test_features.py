@@ -68,3 +68,39 @@ def test_stratified_split_exact_counts(spark):
     assert got == {1: round(0.2 * n1), 0: round(0.2 * n0)}
     assert tr.count() + te.count() == len(rows)
     assert tr.join(te, "id").count() == 0
+
+
+def test_hash_splits_stable_under_repartition(spark):
+    from fleetlens.operators import splits as SP
+    df = spark.createDataFrame([(i, i % 3) for i in range(500)], "id long, y int")
+    a = sorted(r.id for r in SP.hash_split(df, "id", 0.2)[1].collect())
+    b = sorted(r.id for r in SP.hash_split(df.repartition(7), "id", 0.2)[1].collect())
+    assert a == b and 50 < len(a) < 150
+    assert SP.sample_n(df, 37, "id").count() == 37
+    assert sorted(sorted(r.id for r in SP.sample_n(df.repartition(5), 37, "id").collect())) == \
+        sorted(r.id for r in SP.sample_n(df, 37, "id").collect())
+    folds = {r.fold for r in SP.kfold(df, "id", 3).collect()}
+    assert folds == {0, 1, 2}
+
+
+def test_time_blocks_keep_dates_whole(spark):
+    from fleetlens.operators import splits as SP
+    df = spark.createDataFrame([(i, f"2024-01-{1 + i % 12:02d}") for i in range(120)], "id int, d string") \
+        .withColumn("date", F.to_date("d"))
+    b = SP.time_blocks(df, "date", 3)
+    per_date = b.groupBy("date").agg(F.countDistinct("block").alias("nb")).agg(F.max("nb")).first()[0]
+    assert per_date == 1
+    assert sorted(r.block for r in b.select("block").distinct().collect()) == [0, 1, 2, 3]
+    tr, te = SP.time_fold(b, 2)
+    assert tr.agg(F.max("date")).first()[0] < te.agg(F.min("date")).first()[0]
+
+
+def test_assemble_fact_keeps_fact_rows(spark):
+    from fleetlens.operators.joins import assemble_fact
+    fact = spark.createDataFrame([(1, 10), (2, 10), (3, 99)], "id int, d int")
+    dim = spark.createDataFrame([(10, "x")], "d int, name string")
+    out = assemble_fact(fact, [(dim, ["d"])])
+    assert out.count() == 3
+    dup = spark.createDataFrame([(10, "x"), (10, "y")], "d int, name string")
+    with pytest.raises(Exception):
+        assemble_fact(fact, [(dup, ["d"])]).count()
