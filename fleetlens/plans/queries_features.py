@@ -354,13 +354,16 @@ register("e1_e5_history_chunked", ORACLE_E1_E5)(_e1_e5_chunked)
 
 
 # --- E6 lead target ---------------------------------------------------------------------------
-@register("e6_lead_target", sql_with(["GP"], """
+ORACLE_E6 = sql_with(["GP"], """
 , L AS (SELECT region, date, support_tickets,
           LEAD(support_tickets, 1) OVER (PARTITION BY region ORDER BY date) AS support_tickets_next_1d,
           CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(day(date) AS INTEGER) AS day_of_month
         FROM GP)
 SELECT region, CAST(date AS VARCHAR) AS date, support_tickets, support_tickets_next_1d, day_of_week, day_of_month
-FROM L WHERE support_tickets_next_1d IS NOT NULL"""))
+FROM L WHERE support_tickets_next_1d IS NOT NULL""")
+
+
+@register("e6_lead_target", ORACLE_E6)
 def e6_lead_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     gp = A.group_day(Tables(spark, sf_dir))
     cal = R.calendar("date", "2024-01-01")
@@ -369,6 +372,32 @@ def e6_lead_target(spark: SparkSession, sf_dir: str) -> DataFrame:
                       cal["day_of_week"].alias("day_of_week"), cal["day_of_month"].alias("day_of_month"))
 
 
+def _e6_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E6 with every panel group treated as hot: the forward-halo chunk path,
+    same oracle as the plain lead."""
+    gp = A.group_day(Tables(spark, sf_dir))
+    cal = R.calendar("date", "2024-01-01")
+    out = W.lead_target(gp, "region", ["date"], "support_tickets", "support_tickets_next_1d",
+                        hot_share=0.1, min_hot_rows=0)
+    return out.select("region", "date", "support_tickets", "support_tickets_next_1d",
+                      cal["day_of_week"].alias("day_of_week"), cal["day_of_month"].alias("day_of_month"))
+
+
+register("e6_lead_target_chunked", ORACLE_E6)(_e6_chunked)
+
+
+@register("j6_label_next_rows", sql_with(["ED"], """
+SELECT server_id, CAST(date AS VARCHAR) AS date,
+  COALESCE(MAX(CASE WHEN n_error > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY server_id ORDER BY date
+           ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING), 0) AS label
+FROM ED"""))
+def j6_label_next_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observation-count wording of the label (next 7 observations of the
+    entity carry an error)."""
+    ed = A.entity_day(Tables(spark, sf_dir)).withColumn("has_error", R.flag(F.col("n_error") > 0))
+    return J.label_next_rows(ed, "server_id", ["date"], "has_error", 7).select("server_id", "date", "label")
+
+
 # --- J6 range label join -------------------------------------------------------------------------
 @register("j6_label_horizon", sql_with(["ED", "INC"], """
 SELECT o.server_id, CAST(o.date AS VARCHAR) AS date, o.n_obs,
