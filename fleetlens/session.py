@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,17 +44,39 @@ def get_spark(master: str | None = None, app: str = "fleetlens",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+#: sized for the cluster: what the cluster sets wins over the library's values
+CLUSTER_SIZED = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def apply_session_conf(spark: SparkSession) -> None:
-    """Set the SQL-level settings on an existing session (driver-made sessions)."""
+    """Prepare an existing session: SQL-level settings, and the package on the workers."""
+    given = spark.sparkContext.getConf()
     for k, v in BASE_CONF.items():
-        if k.startswith("spark.sql."):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # pragma: no cover - static conf on some builds
-                pass
+        if k.startswith("spark.sql.") and not (k in CLUSTER_SIZED and given.contains(k)):
+            spark.conf.set(k, v)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application: Python functions in
+    plans import it there, wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fleetlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="fleetlens-py-"))
+    path = os.path.join(folder, "fleetlens.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(here):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(top, name)
+                z.write(full, os.path.join("fleetlens", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._fleetlens_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
