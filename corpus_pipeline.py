@@ -11,7 +11,7 @@ from fleetlens.llm.cutting_stock import pack
 from fleetlens.llm.exact_dedup import keep_documents
 from fleetlens.llm.jaccard_groups import jaccard_components
 from fleetlens.llm.langid_ecoc import UNKNOWN, identify
-from fleetlens.llm.queries import tokenizer_path
+from fleetlens.llm.queries import RANKS, tokenizer_path
 
 #: word shingles and similarity (percent) of near duplicates
 WORDS, PERCENT = 5, 80
@@ -43,7 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), tokenizer_path(RANKS))
 
 
 STAGES = [("language", language), ("exact_duplicates", exact_duplicates),

@@ -10,7 +10,7 @@ from fleetlens.llm import (curriculum_mix, cutting_stock, deleted_interp, exact_
 from fleetlens.llm.common import crc_mod, documents
 from fleetlens.plans.base import half_away_round
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: verdict, host, path
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
              ("allow", "org", "/fr/"))
@@ -67,7 +67,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cutting_stock.pack(documents(spark, sf_dir), tokenizer_path())
+    return cutting_stock.pack(documents(spark, sf_dir), tokenizer_path(), tokenizer_path(RANKS))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

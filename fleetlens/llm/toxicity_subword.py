@@ -33,7 +33,7 @@ from fleetlens.llm.common import map_texts
 
 BUCKETS, DIM = 1 << 16, 8
 #: bounds of the training sample: documents of each class, characters of each class
-MAX_DOCS, MAX_CHARS = (3000, 1500), 12_000_000
+MAX_DOCS, MAX_CHARS = (3000, 1500), 6_000_000
 STEPS, RATE, INIT = 450, 0.05, 0.01
 #: neutral words that every average holds besides the text's own
 PRIOR = 20
