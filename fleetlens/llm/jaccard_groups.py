@@ -56,7 +56,8 @@ WORDS, PERCENT = 3, 90
 GROUP = 64
 #: share of the hash space whose shingles are counted for the order
 COUNTED = 0.3
-BLOCK_KEYS, KEYS_PER_RANGE, BLOOM_BITS = 1_000_000, 2_000_000, 1 << 23
+BLOCK_KEYS, KEYS_PER_RANGE, BLOOM_BITS = 500_000, 1_000_000, 1 << 23
+PAIRS_AT_ONCE = 500
 
 
 def shingle_sets(texts: list, words: int = WORDS) -> list[np.ndarray]:
@@ -191,18 +192,18 @@ def _prefixes(percent: int):
                 df = np.concatenate([stretch(a["n"], np.uint32) for a in row["answers"]])
                 if len(df) != len(keys):
                     raise ValueError("the sets read back differently; write them to a table first")
-                out, at = [], 0
+                cols, at = [[], [], [], []], 0
                 for rep, n, size in zip(row["reps"], row["ns"], row["lens"], strict=True):
                     own, held = flat[at:at + size], df[inverse[at:at + size]].astype(np.int64)
                     at += size
                     order = np.lexsort((own, np.where(own < edge, held, np.iinfo(np.int64).max)))
                     order = order[:prefix_length(n, percent)]
                     short = index_length(n, percent)
-                    out += [(int(own[k].astype(np.int64)), rep, n, place < short)
-                            for place, k in enumerate(order) if held[k] > 1]
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                    place = np.flatnonzero(held[order] > 1)
+                    for c, v in zip(cols, (own[order[place]].astype(np.int64), np.full(len(place), rep),
+                                           np.full(len(place), n), place < short), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols],
                                                  names=["token", "rep", "n", "indexed"])
     return run
 
@@ -257,16 +258,18 @@ def _tested(pairs: DataFrame, left: DataFrame, right: DataFrame, keep) -> DataFr
         .join(right.select(F.col("rep").alias("b"), F.col("keys").alias("kb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[bytes, np.ndarray] = {}  # a batch's arrays, unpacked once
-            ok = []
-            for pair in zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True):
-                for x in pair:
-                    if x not in known:
-                        known[x] = stretch_sorted(x)
-                ok.append(keep(known[pair[0]], known[pair[1]]))
-            out = batch.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                part = whole.slice(at, PAIRS_AT_ONCE)
+                known: dict[bytes, np.ndarray] = {}  # arrays unpacked once
+                ok = []
+                for pair in zip(part.column("ka").to_pylist(), part.column("kb").to_pylist(), strict=True):
+                    for x in pair:
+                        if x not in known:
+                            known[x] = stretch_sorted(x)
+                    ok.append(keep(known[pair[0]], known[pair[1]]))
+                out = part.filter(pa.array(ok, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], names=["a", "b"])
 
     return joined.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
