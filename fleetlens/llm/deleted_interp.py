@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import kept, mix64, squeeze, squeeze_sorted, stretch, stretch_sorted
 
-BLOCK_TOKENS, CHARS_PER_RANGE, FINE = 1_500_000, 12_000_000, 4
+BLOCK_TOKENS, CHARS_PER_RANGE, FINE = 800_000, 8_000_000, 4
 END, START = b"", b" "  # no word is empty or holds white space
 REQUEST = "block long, bucket int, words binary, word_n binary, pairs binary, pair_n binary"
 ANSWER = "block long, bucket int, words binary, pairs binary, types long"

@@ -11,16 +11,16 @@ what comes out are the links' components.
    sets at the threshold share a shingle among the first few of each (prefix
    filter), and the shorter one needs still fewer (its index prefix).
 3. Partition: a set is compared with the hub (smallest id) of each shared shingle
-   of its prefix; components of the links found are the groups of similar
-   documents, dealt into groups of about ``GROUP`` members.
-4. Matrix: (shingle, group) for the index prefixes of a group's members, and each
-   group's union of shingles.  A document probes the groups of other components
-   that share a prefix shingle and hold fitting lengths; the group is opened only
-   if the document's overlap with its union reaches the least overlap a link
-   needs.
+   of its prefix; documents of one component of the links found, or else of one
+   hub, are similar and are dealt into groups of about ``GROUP`` members.
+4. Matrix: (shingle, group) for the prefixes of a group's members.  Two groups
+   meet if they share a prefix shingle, hold fitting lengths and are not all one
+   component.  A document opens the other group only if its overlap with the
+   group's union of shingles reaches the least overlap a link needs.
 5. Opened groups are compared member by member, exactly.  Links inside a
    component cannot change the result, so a component of very many near copies
-   costs one comparison a member, not one a pair.
+   costs one comparison a member, not one a pair; documents that share much but
+   do not link are compared within pairs of groups, never as rows.
 
 Shingle counts go through hash ranges that sum and answer blocks of sorted
 hashes; only sets that share a prefix shingle are built a second time.  The
@@ -274,11 +274,42 @@ def _tested(pairs: DataFrame, left: DataFrame, right: DataFrame, keep) -> DataFr
     return joined.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = [squeeze_sorted(np.unique(np.concatenate([stretch_sorted(x) for x in xs])))
-                for xs in b.column("sets").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(keys, pa.binary())], names=["rep", "keys"])
+def _unpacked(sets: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    return (np.array([s["rep"] for s in sets]), np.array([s["component"] for s in sets]),
+            [stretch_sorted(s["keys"]) for s in sets])
+
+
+def group_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between two groups, one for each pair of components that any links."""
+    (ra, ca, ka), (rb, cb, kb) = one, two
+    union, spot = np.unique(np.concatenate(kb), return_inverse=True)
+    na, nb = np.array([len(k) for k in ka]), np.array([len(k) for k in kb])
+    # the bound: a document opens the group only if it shares enough with the group's union
+    inside = [k[np.isin(k, union, assume_unique=True)] for k in ka]
+    open_ = np.flatnonzero([len(k) >= least_overlap(n, percent) for k, n in zip(inside, na, strict=True)])
+    if not len(open_):
+        return []
+    owner = np.repeat(np.arange(len(kb)), nb)
+    out: dict[tuple, tuple[int, int]] = {}
+    for i in open_:
+        own = np.zeros(len(union), bool)
+        own[np.searchsorted(union, inside[i])] = True
+        same = np.bincount(owner, weights=own[spot], minlength=len(kb)).astype(np.int64)
+        hit = (100 * same >= percent * (na[i] + nb - same)) & (cb != ca[i])
+        for j in np.flatnonzero(hit):
+            out.setdefault((int(ca[i]), int(cb[j])), (int(ra[i]), int(rb[j])))
+    return list(out.values())
+
+
+def _group_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                got = group_links(_unpacked(row["sa"]), _unpacked(row["sb"]), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)],
+                                                 names=["a", "b"])
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -310,37 +341,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = kept(_tested(star, found, found, link), "jaccard-links")
     first = components(links)
 
-    # groups of similar documents, and their matrix
-    sized = first.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    # groups of similar documents: linked ones, or those that share a hub
+    near = entries.join(hubs, "token").groupBy("rep").agg(F.min("b").alias("home"))
     members = shared.select("rep", "n").distinct().join(first.withColumnRenamed("node", "rep"), "rep", "left") \
-        .withColumn("component", F.coalesce("component", "rep")).join(sized, "component", "left")
-    members = kept(members.withColumn("g", F.xxhash64("component", F.pmod(
-        F.xxhash64("rep"), F.ceil(F.coalesce("m", F.lit(1)) / GROUP)))).select("rep", "n", "component", "g"),
-        "jaccard-members")
+        .join(near, "rep").withColumn("home", F.coalesce("component", "home")) \
+        .withColumn("component", F.coalesce("component", "rep"))
+    sized = members.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
+    members = kept(members.join(sized, "home").select("rep", "n", "component", F.xxhash64("home", F.pmod(
+        F.xxhash64("rep"), F.ceil(F.col("m") / GROUP))).alias("g")), "jaccard-members")
     known = shared.drop("n").join(members, "rep")
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo < hi").select("token")
-    open_ = kept(known.join(mixed, "token", "left_semi"), "jaccard-open")
-    matrix = open_.where("indexed").groupBy("token", F.col("component").alias("gc"), F.col("g").alias("b")) \
-        .agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    probes = open_.join(matrix, "token").where(
-        (F.col("component") != F.col("gc")) & (F.col("n") >= F.col("least"))
-        & (F.col("n") * percent <= F.col("most") * 100)).select(F.col("rep").alias("a"), "b").distinct()
-    probes = kept(probes, "jaccard-probes")
-    inside = members.join(probes.select(F.col("b").alias("g")).distinct(), "g", "left_semi")
-    unions = inside.join(found, "rep").groupBy(F.col("g").alias("rep")).agg(
-        F.collect_list("keys").alias("sets")).mapInArrow(_unions, "rep long, keys binary")
-
-    def reaches(q, union):
-        return len(np.intersect1d(q, union, assume_unique=True)) >= least_overlap(len(q), percent)
-
-    opened = kept(_tested(probes, found, unions, reaches), "jaccard-opened")
-    q = members.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    pairs = opened.withColumnRenamed("b", "g").join(members, "g").join(q, "a") \
-        .where((F.col("component") != F.col("ca"))
-               & F.expr(f"100 * least(n, na) >= {percent} * greatest(n, na)")) \
-        .select("a", F.col("rep").alias("b")).distinct()
-    more = _tested(pairs, found, found, link)
+    matrix = kept(known.join(mixed, "token", "left_semi").groupBy("token", "g").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("indexed"),
+        F.min("component").alias("lo"), F.max("component").alias("hi")), "jaccard-matrix")
+    short = matrix.where("indexed").select("token", *[F.col(c).alias(f"_{c}") for c in ("g", "least", "most", "lo", "hi")])
+    # a longer set probes a shorter one's index prefix; groups that are one component need no test
+    pairs = matrix.join(short, "token").where(
+        (F.col("most") >= F.col("_least")) & (F.col("least") * percent <= F.col("_most") * 100)
+        & (F.least("lo", "_lo") < F.greatest("hi", "_hi"))) \
+        .select(F.least("g", "_g").alias("a"), F.greatest("g", "_g").alias("b")).distinct()
+    pairs = kept(pairs, "jaccard-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+    groups = kept(members.join(needed, "g").join(found, "rep").groupBy("g").agg(
+        F.collect_list(F.struct("rep", "component", "keys")).alias("sets")), "jaccard-groups")
+    more = pairs.join(groups.select(F.col("g").alias("a"), F.col("sets").alias("sa")), "a") \
+        .join(groups.select(F.col("g").alias("b"), F.col("sets").alias("sb")), "b") \
+        .select("sa", "sb").mapInArrow(_group_links(percent), "a long, b long")
     last = kept(more, "jaccard-more")
     final = first if last.isEmpty() else components(links.unionByName(last))
 
