@@ -51,16 +51,20 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q:
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = sizes.filter(F.col("_n") > F.lit(bucket_rows)).select(*keys)
+    if keys:
+        big = big.dropna(subset=keys)  # a NULL key matches no join and stays with the small groups
     if max_group_rows is not None and max_group_rows <= bucket_rows:
         return agg(df)
     if max_group_rows is None and big.limit(1).count() == 0:
         return agg(df)
     if not keys:
-        return _wide(_by_rank(_long(df, [], cols), ["measure"], [q], buckets, accuracy), [], cols, suffix)
+        one = _wide(_by_rank(_long(df, [], cols), ["measure"], [q], buckets, accuracy), [], cols, suffix)
+        return one.agg(*[F.max(f"{c}{suffix}").alias(f"{c}{suffix}") for c in cols])  # a row for no values too
     small = agg(df.join(big, keys, "left_anti"))
     ranked = _by_rank(_long(df.join(big, keys, "left_semi"), keys, cols), [*keys, "measure"], [q],
                       buckets, accuracy)
-    return small.unionByName(_wide(ranked, keys, cols, suffix))
+    # groups whose values are all NULL have no ranks but keep their row
+    return small.unionByName(big.join(_wide(ranked, keys, cols, suffix), keys, "left").select(*small.columns))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,

@@ -97,7 +97,10 @@ def stratified_split_exact(df: DataFrame, key, label: str, test_frac: float = 0.
               .withColumn("_k", F.round(F.col("_n") * F.lit(float(test_frac))).cast("long"))
               .withColumn("_prev", F.col("_cum") - F.col("_c")))
     # classes x 2^bits rows: bounded by the parameter, broadcast
-    d = d.join(F.broadcast(cnt.select(label, "_bk", "_prev", "_cum", "_k")), [label, "_bk"])
+    # NULL is a class of its own
+    cnt = cnt.select(F.col(label).alias("_class"), F.col("_bk").alias("_range"), "_prev", "_cum", "_k")
+    d = d.join(F.broadcast(cnt), F.col(label).eqNullSafe(F.col("_class")) & (F.col("_bk") == F.col("_range"))) \
+        .drop("_class", "_range")
     cut = (F.col("_prev") < F.col("_k")) & (F.col("_k") < F.col("_cum"))
     whole = d.filter(~cut).withColumn("_test", F.col("_cum") <= F.col("_k"))
     part = d.filter(cut)

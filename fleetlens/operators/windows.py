@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from fleetlens.operators.topk import top_k_per_group
 
 
+#: before every chunk of dated rows
+NO_DATE_CHUNK = -10 ** 12
+
+
 def _feature_columns(cols, lags, mean_windows, std_window, max_window, diff, w) -> dict[str, Column]:
     new: dict[str, Column] = {}
     for c in cols:
@@ -103,12 +107,14 @@ def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], mak
     hot = spark.createDataFrame(hot_rows_list, cnt.select(*keys).schema).withColumn("_hot", F.lit(True))
     d = df.join(F.broadcast(hot), keys, "left")
     day = F.datediff(F.to_date(F.col(order[0])), F.to_date(F.lit("1970-01-01")))
-    d = d.withColumn("_chunk", F.when(F.col("_hot"), F.floor(day / F.lit(chunk_days)))
-                     .otherwise(F.lit(-1)).cast("long"))
-    d = d.withColumn("_halo", F.lit(0)).drop("_hot")
+    # rows without a date sort first, so their chunk does too
+    d = d.withColumn("_hot", F.coalesce("_hot", F.lit(False))).withColumn("_chunk", F.when(
+        F.col("_hot"), F.coalesce(F.floor(day / F.lit(chunk_days)), F.lit(NO_DATE_CHUNK)))
+        .otherwise(F.lit(0)).cast("long"))
+    d = d.withColumn("_halo", F.lit(0))
     payload = [c for c in d.columns if c not in ("_chunk", "_halo")]
 
-    hot_rows = d.filter(F.col("_chunk") >= 0)
+    hot_rows = d.filter("_hot")
     # chunk table: hot keys only, one row per (key, chunk) -- bounded by
     # (number of hot keys) x (time span / chunk_days)
     tab = hot_rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_c"))
@@ -135,7 +141,7 @@ def chunked_window(df: DataFrame, keys: Sequence[str], order: Sequence[str], mak
     for p in parts[1:]:
         both = both.unionByName(p)
     w = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(o) for o in order])
-    return both.withColumns(make_cols(w)).filter(F.col("_halo") == 0).drop("_chunk", "_halo")
+    return both.withColumns(make_cols(w)).filter(F.col("_halo") == 0).drop("_chunk", "_halo", "_hot")
 
 
 def lead_target(df: DataFrame, key: str | Sequence[str], order: Sequence[str], col: str,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -43,6 +44,8 @@ def load_metadata(spark: SparkSession, path: str) -> dict:
     """The registry entry, or ``{}`` when it does not exist (A3)."""
     try:
         rows = spark.read.json(path).toJSON().take(1)
-    except Exception:  # noqa: BLE001 - missing path -> empty metadata
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return {}
     return json.loads(rows[0]) if rows else {}
