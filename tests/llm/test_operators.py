@@ -165,6 +165,13 @@ def test_mixing(spark, odd_texts):
     mixed = curriculum_mix.mix_documents(frame(spark, odd_texts))
     assert mixed.columns == frame(spark, odd_texts).columns
     assert mixed.count() == sum(len(r.positions) for r in rows)
+    # brute force: each whole row at its positions, in their order; a repeated row is a row of its own
+    docs = frame(spark, odd_texts).select("*", F.lit(1).alias("_row"), F.lit(2).alias("_pos"))
+    docs = docs.unionByName(docs.where("doc_id in (5, 6)"))
+    own = {r.doc_id: r for r in docs.collect()}
+    want = sorted((p, r.doc_id) for r in curriculum_mix.plan_mix(docs).collect() for p in r.positions)
+    assert curriculum_mix.mix_documents(docs).collect() == [own[i] for _, i in want]
+    assert curriculum_mix.mix_documents(docs.limit(0)).count() == 0
     assert curriculum_mix.plan_mix(frame(spark, odd_texts).limit(0)).count() == 0
 
 
