@@ -66,8 +66,10 @@ def features(text: str) -> tuple[np.ndarray, bool]:
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
-    x = np.sqrt(x)
-    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    """Rows of square roots with norm 1; in place, as the training rows are many."""
+    np.sqrt(x, out=x)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+    return x
 
 
 def codebook(n: int, seed: int = 7) -> np.ndarray:
@@ -93,8 +95,8 @@ def fit(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 150) -> dic
     if len(set(y[~hold])) < len(langs):
         hold[:] = False
     per = np.bincount(y[~hold], minlength=len(langs))
-    share = (1.0 / np.maximum(per, 1))[y[~hold]] / len(langs)
-    xs, t = x[~hold], code[y[~hold]]
+    share = ((1.0 / np.maximum(per, 1))[y[~hold]] / len(langs)).astype(np.float32)
+    xs, t = x[~hold], code[y[~hold]].astype(np.float32)  # all single: a double would copy xs each step
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     mom = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, b)]
     for i in range(1, steps + 1):
@@ -152,7 +154,7 @@ def train(docs: DataFrame, text_col: str, lang_col: str, id_col: str, learn: Col
     for k, (at, n) in enumerate(zip(pdf["at"], pdf["n"], strict=True)):
         x[k, at] = n
     y = pdf["l"].map({lang: k for k, lang in enumerate(langs)}).to_numpy()
-    return fit(scaled(x).astype(np.float32), y, langs) | {"langs": langs}
+    return fit(scaled(x), y, langs) | {"langs": langs}
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
