@@ -13,14 +13,16 @@ what comes out are the links' components.
 3. Partition: a set is compared with the hub (smallest id) of each shared shingle
    of its prefix; documents of one component of the links found, or else of one
    hub, are similar and are dealt into groups of about ``GROUP`` members.
+   Each group that is not one component is compared with itself first.
 4. Matrix: (shingle, group) for the prefixes of a group's members.  Two groups
    meet if they share a prefix shingle, hold fitting lengths and are not all one
    component.  A document opens the other group only if its overlap with the
    group's union of shingles reaches the least overlap a link needs.
-5. Opened groups are compared member by member, exactly.  Links inside a
-   component cannot change the result, so a component of very many near copies
-   costs one comparison a member, not one a pair; documents that share much but
-   do not link are compared within pairs of groups, never as rows.
+5. Opened groups are compared member by member, exactly, until all is one
+   component.  What comes out of a comparison are edges between components, fewer
+   than it has components, so very many near copies give few rows however many of
+   their pairs link; documents that share much but do not link are compared within
+   pairs of groups, never as rows.
 
 Shingle counts go through hash ranges that sum and answer blocks of sorted
 hashes; only sets that share a prefix shingle are built a second time.  The
@@ -274,31 +276,37 @@ def _tested(pairs: DataFrame, left: DataFrame, right: DataFrame, keep) -> DataFr
     return joined.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def _unpacked(sets: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    return (np.array([s["rep"] for s in sets]), np.array([s["component"] for s in sets]),
-            [stretch_sorted(s["keys"]) for s in sets])
+def _unpacked(sets: list[dict]) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.array([s["component"] for s in sets]), [stretch_sorted(s["keys"]) for s in sets]
 
 
 def group_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
-    """Links between two groups, one for each pair of components that any links."""
-    (ra, ca, ka), (rb, cb, kb) = one, two
+    """A spanning forest of the links between two groups, as edges between components."""
+    (ca, ka), (cb, kb) = one, two
     union, spot = np.unique(np.concatenate(kb), return_inverse=True)
     na, nb = np.array([len(k) for k in ka]), np.array([len(k) for k in kb])
     # the bound: a document opens the group only if it shares enough with the group's union
     inside = [k[np.isin(k, union, assume_unique=True)] for k in ka]
     open_ = np.flatnonzero([len(k) >= least_overlap(n, percent) for k, n in zip(inside, na, strict=True)])
-    if not len(open_):
-        return []
     owner = np.repeat(np.arange(len(kb)), nb)
-    out: dict[tuple, tuple[int, int]] = {}
+    # the component that each one has become part of, as a place in names
+    names, place = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    place_a, place_b = place[:len(ca)], place[len(ca):]
+    now = np.arange(len(names))
+    out = []
     for i in open_:
+        apart = now[place_b] != now[place_a[i]]
+        if not apart.any():
+            continue
         own = np.zeros(len(union), bool)
         own[np.searchsorted(union, inside[i])] = True
         same = np.bincount(owner, weights=own[spot], minlength=len(kb)).astype(np.int64)
-        hit = (100 * same >= percent * (na[i] + nb - same)) & (cb != ca[i])
-        for j in np.flatnonzero(hit):
-            out.setdefault((int(ca[i]), int(cb[j])), (int(ra[i]), int(rb[j])))
-    return list(out.values())
+        for j in np.flatnonzero(apart & (100 * same >= percent * (na[i] + nb - same))):
+            x, y = now[place_a[i]], now[place_b[j]]
+            if x != y:
+                now[now == y] = x
+                out.append((int(ca[i]), int(cb[j])))
+    return out
 
 
 def _group_links(percent: int):
@@ -306,12 +314,28 @@ def _group_links(percent: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                got = group_links(_unpacked(row["sa"]), _unpacked(row["sb"]), percent)
+                one = _unpacked(row["sa"])
+                got = group_links(one, _unpacked(row["sb"]) if "sb" in row else one, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)],
                                                  names=["a", "b"])
     return run
 
 
+def _gathered(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(g, sets): the sets of each group, at most a few times ``GROUP`` of them."""
+    return members.join(found, "rep").groupBy("g").agg(
+        F.collect_list(F.struct("component", "keys")).alias("sets"))
+
+
+def _joined(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The members after the components between which there are edges have become one."""
+    if edges.isEmpty():
+        return members
+    new = components(edges).select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    return members.join(new, "component", "left").select(
+        "rep", "n", F.coalesce("_new", "component").alias("component"), "g")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links)."""
@@ -349,6 +373,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = members.groupBy("home").agg(F.count(F.lit(1)).alias("m"))
     members = kept(members.join(sized, "home").select("rep", "n", "component", F.xxhash64("home", F.pmod(
         F.xxhash64("rep"), F.ceil(F.col("m") / GROUP))).alias("g")), "jaccard-members")
+    several = members.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .where("lo < hi").select("g")
+    inner = _gathered(members.join(several, "g", "left_semi"), found).select(F.col("sets").alias("sa"))
+    inner = kept(inner.mapInArrow(_group_links(percent), "a long, b long"), "jaccard-inner")
+    members = kept(_joined(members, inner), "jaccard-members")
     known = shared.drop("n").join(members, "rep")
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo < hi").select("token")
@@ -360,18 +389,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = matrix.join(short, "token").where(
         (F.col("most") >= F.col("_least")) & (F.col("least") * percent <= F.col("_most") * 100)
         & (F.least("lo", "_lo") < F.greatest("hi", "_hi"))) \
-        .select(F.least("g", "_g").alias("a"), F.greatest("g", "_g").alias("b")).distinct()
+        .select(F.least("g", "_g").alias("a"), F.greatest("g", "_g").alias("b")).where("a <> b").distinct()
     pairs = kept(pairs, "jaccard-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
-    groups = kept(members.join(needed, "g").join(found, "rep").groupBy("g").agg(
-        F.collect_list(F.struct("rep", "component", "keys")).alias("sets")), "jaccard-groups")
+    groups = kept(_gathered(members.join(needed, "g"), found), "jaccard-groups")
     more = pairs.join(groups.select(F.col("g").alias("a"), F.col("sets").alias("sa")), "a") \
         .join(groups.select(F.col("g").alias("b"), F.col("sets").alias("sb")), "b") \
         .select("sa", "sb").mapInArrow(_group_links(percent), "a long, b long")
     last = kept(more, "jaccard-more")
-    final = first if last.isEmpty() else components(links.unionByName(last))
+    final = _joined(members, last).select("rep", "component")
 
-    own = reps.select("fp", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left") \
+    own = reps.select("fp", "rep").join(final, "rep", "left") \
         .select("fp", F.coalesce("component", "rep").alias("component"))
     out = sets.select("_id", "n", "fp").join(own, "fp", "left")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),

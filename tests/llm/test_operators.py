@@ -95,6 +95,38 @@ def test_jaccard_components(spark, odd_texts, words, percent):
         assert (got[i].n_shingles, got[i].component_id) == (len(s), label[i])
 
 
+def test_jaccard_many_near_copies(spark, monkeypatch):
+    """More near copies than a group holds, some pairs linked and some not."""
+    monkeypatch.setattr(jaccard_groups, "GROUP", 8)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(f"x{rng.integers(40)}" if rng.random() < 0.04 else w for w in base) for _ in range(90)]
+    got = {r.doc_id: r.component_id for r in jaccard_groups.jaccard_components(
+        frame(spark, texts), words=3, percent=80).collect()}
+    sets = [set(zip(w, w[1:], w[2:])) for w in (t.split() for t in texts)]
+    near = {(i, j) for i in range(90) for j in range(90) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    label = list(range(90))
+    for _ in label:
+        label = [min(label[j] for j in range(90) if (i, j) in near) for i in range(90)]
+    assert [got[i] for i in range(90)] == label and 1 < len(set(label)) < 80
+
+
+def test_group_links_are_a_forest():
+    rng = np.random.default_rng(7)
+    keys = [np.sort(rng.choice(40, 28, replace=False)).astype(np.uint64) for _ in range(30)]
+    part = np.arange(30), keys
+    got = jaccard_groups.group_links(part, part, 60)
+    linked = {(i, j) for i in range(30) for j in range(30) if i != j and jaccard_groups.linked(keys[i], keys[j], 60)}
+    assert 0 < len(got) < 30 and set(got) <= linked and len(linked) > 60
+    label = {}
+    for name, edges in (("own", got), ("all", linked)):
+        label[name] = list(range(30))
+        for _ in range(30):
+            for i, j in edges:
+                label[name][i] = label[name][j] = min(label[name][i], label[name][j])
+    assert label["own"] == label["all"]
+
+
 def test_pii_patterns_and_model(spark):
     text = "mail a.b@c.example.org now, ip 10.0.0.300 or 10.0.0.3, card 4111 1111 1111 1111, call +1 (555) 555-0100 é"
     spans = pii_crf.base_spans(text)
