@@ -9,7 +9,7 @@ from fleetlens.llm.common import crc_mod, documents, kept
 from fleetlens.llm.curriculum_mix import mix_documents
 from fleetlens.llm.cutting_stock import pack
 from fleetlens.llm.exact_dedup import keep_documents
-from fleetlens.llm.jaccard_groups import jaccard_components
+from fleetlens.llm.jaccard_groups import surplus_rows, text_digest
 from fleetlens.llm.langid_ecoc import UNKNOWN, identify
 from fleetlens.llm.queries import RANKS, tokenizer_path
 
@@ -30,10 +30,11 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the smallest id."""
-    found = jaccard_components(docs, words=WORDS, percent=PERCENT)
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component of near duplicates: the smallest id (of rows that
+    repeat it, the smallest text digest); rows go by id and text, so an id's other texts stay."""
+    gone = surplus_rows(docs, words=WORDS, percent=PERCENT)
+    return docs.join(gone, (F.col("doc_id") == gone["_id"]) & (text_digest(F.col("text")) == gone["_d"]),
+                     "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

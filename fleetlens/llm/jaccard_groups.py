@@ -4,13 +4,14 @@ Links (set overlap of word shingles at or above a threshold) are found exactly;
 what comes out are the links' components.
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets collapse to one
-   representative.
+   representative, keyed by a hash of its fingerprint and its smallest id (salted
+   anew until no two keys are equal), so that an id may stand at several sets.
 2. Shingles are ordered by how many sets hold them, rarest first.  The order
    uses the shingles below a hash threshold (a fixed share of all, counted over
    all documents; the rest follow by hash), so one order holds everywhere.  Two
    sets at the threshold share a shingle among the first few of each (prefix
    filter), and the shorter one needs still fewer (its index prefix).
-3. Partition: a set is compared with the hub (smallest id) of each shared shingle
+3. Partition: a set is compared with the hub (smallest key) of each shared shingle
    of its prefix; documents of one component of the links found, or else of one
    hub, are similar and are dealt into groups of about ``GROUP`` members.
    Each group that is not one component is compared with itself first.
@@ -31,8 +32,9 @@ Bloom filter that selects them has a fixed size and only saves work.
 Defined cases: a text that is null or has no word has an empty set and links with
 nothing; with fewer words than a shingle has the whole sequence is the one
 shingle; a null id is a document that links with nothing and whose component is
-null; rows that repeat an id each get their own set's component (sets whose
-smallest id is the same count as linked); an empty table gives an empty result.
+null; rows that repeat an id each get their own set's component, and an id links
+nothing: unlinked components may have the same smallest id; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -40,19 +42,21 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.common import (kept, map_texts, mix64, squeeze, squeeze_sorted, stretch,
                                   stretch_sorted)
 from fleetlens.llm.components import components
+from fleetlens.llm.exact_dedup import md5_128
 
 WORDS, PERCENT = 3, 90
 GROUP = 64
@@ -104,6 +108,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same)
 
 
+def fingerprint(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def set_key(fp: Column, least_id: Column, salt: int) -> Column:
+    return F.xxhash64(fp, least_id, F.lit(salt))
+
+
 def _set_rows(words: int, percent: int):
     """Texts -> size, set fingerprint, the shingles that can enter the prefix (sorted)."""
     edge = np.uint64(int(COUNTED * 2 ** 64))
@@ -114,7 +126,7 @@ def _set_rows(words: int, percent: int):
             for s in shingle_sets(texts, words):
                 n = len(s)
                 sizes.append(n)
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
+                prints.append(fingerprint(s) if n else None)
                 upto = max(int(np.searchsorted(s, edge)), prefix_length(n, percent) if n else 0)
                 listed.append(squeeze_sorted(s[:upto]))  # sorted, so the counted ones come first
             return [sizes, prints, listed]
@@ -224,8 +236,8 @@ def prefix_entries(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of a fixed-size Bloom filter over ``rep`` (two positions an id)."""
-    spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("rep", F.lit(i)), F.lit(BLOOM_BITS))
+    """Bits of a fixed-size Bloom filter over ``_id`` (two positions an id)."""
+    spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("_id", F.lit(i)), F.lit(BLOOM_BITS))
                                            for i in range(2)])).alias("p"))
     words = spots.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toPandas()
@@ -234,8 +246,9 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, keys) for the wanted ids (and the few that the Bloom filter lets through)."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, salt: int) -> DataFrame:
+    """(rep, keys), once for each of the wanted (rep, fp, _id), and some others that the
+    Bloom filter over the ids lets through."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom(wanted)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +258,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             b = b.filter(pa.array(hit))
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                keys = [squeeze_sorted(s) for s in shingle_sets(part.column("_t").to_pylist(), words)]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(keys, pa.binary())],
-                                                 names=["rep", "keys"])
-
-    spot = [F.pmod(F.xxhash64("rep", F.lit(i)), F.lit(BLOOM_BITS)).alias(c) for i, c in enumerate(("_p", "_q"))]
-    return docs.where(F.col("_id").isNotNull()).select(F.col("_id").alias("rep"), "_t") \
-        .select("rep", "_t", *spot).mapInArrow(run, "rep long, keys binary")
+                sets = shingle_sets(part.column("_t").to_pylist(), words)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_id"), pa.array([fingerprint(s) for s in sets], pa.binary()),
+                     pa.array([squeeze_sorted(s) for s in sets], pa.binary())], names=["_id", "fp", "keys"])
+
+    spot = [F.pmod(F.xxhash64("_id", F.lit(i)), F.lit(BLOOM_BITS)).alias(c) for i, c in enumerate(("_p", "_q"))]
+    found = docs.where(F.col("_id").isNotNull()).select("_id", "_t", *spot) \
+        .mapInArrow(run, "_id long, fp binary, keys binary")
+    found = kept(found.select(set_key(F.col("fp"), F.col("_id"), salt).alias("rep"), "fp", "keys"), "jaccard-full")
+    # rows that repeat an id with its set, and others that fall on a wanted key
+    again = kept(found.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("rep"), "jaccard-again")
+    if again.isEmpty():
+        return found.select("rep", "keys")
+    once = found.join(again, "rep", "left_semi").groupBy("rep", "fp").agg(F.first("keys").alias("keys")) \
+        .join(wanted.select("rep", "fp"), ["rep", "fp"], "left_semi")
+    return kept(found.join(again, "rep", "left_anti").select("rep", "keys").unionByName(
+        once.select("rep", "keys")), "jaccard-full")
 
 
 def _tested(pairs: DataFrame, left: DataFrame, right: DataFrame, keep) -> DataFrame:
@@ -336,18 +359,20 @@ def _joined(members: DataFrame, edges: DataFrame) -> DataFrame:
         "rep", "n", F.coalesce("_new", "component").alias("component"), "g")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, n_shingles, component_id (the smallest id reachable by links)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
+def _linked_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(_id, _d, _t) rows -> _id, _d, n and their component's smallest (_id, _d) as ``top``."""
     sets = kept(map_texts(rows, "_t", [T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()),
                                        T.StructField("listed", T.BinaryType())],
                           _set_rows(words, percent)), "jaccard-sets")
     real = sets.where("fp is not null and _id is not null")
     size = F.greatest(F.ceil(F.col("n") * F.lit(COUNTED)), F.col("n") * F.lit(1 - percent / 100) + 1)
-    reps = kept(real.groupBy("fp").agg(F.min("_id").alias("rep"), F.first("n").alias("n"),
-                                       F.first("listed").alias("listed"))
-                .withColumn("listed_n", size.cast("long")), "jaccard-reps")
+    plain = kept(real.groupBy("fp").agg(F.min(F.struct("_id", "_d")).alias("top"), F.first("n").alias("n"),
+                                        F.first("listed").alias("listed"))
+                 .withColumn("listed_n", size.cast("long")), "jaccard-reps")
+    for salt in count():
+        reps = plain.withColumn("rep", set_key(F.col("fp"), F.col("top._id"), salt))
+        if reps.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").isEmpty():
+            break
     entries = kept(prefix_entries(reps, percent), "jaccard-entries")
 
     # partition: compare every set with the hubs of its prefix shingles
@@ -357,7 +382,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = kept(entries.join(hubs, "token").where((F.col("rep") != F.col("b")) & fits)
                 .select(F.col("rep").alias("a"), "b").distinct(), "jaccard-star")
     shared = entries.join(hubs.select("token"), "token", "left_semi")
-    found = kept(full_sets(rows, shared.select("rep").distinct(), words), "jaccard-full")
+    wanted = reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "fp", "top._id")
+    found = full_sets(rows, wanted, words, salt)
 
     def link(a, b):
         return linked(a, b, percent)
@@ -399,8 +425,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     last = kept(more, "jaccard-more")
     final = _joined(members, last).select("rep", "component")
 
-    own = reps.select("fp", "rep").join(final, "rep", "left") \
-        .select("fp", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("_id", "n", "fp").join(own, "fp", "left")
+    own = kept(final.join(reps.select("rep", "fp", "top"), "rep"), "jaccard-own")
+    tops = own.groupBy("component").agg(F.min("top").alias("_top"))
+    moved = own.join(tops, "component").select("fp", "_top")
+    own = reps.select("fp", "top").join(moved, "fp", "left").select("fp", F.coalesce("_top", "top").alias("top"))
+    return sets.select("_id", "_d", "n", "fp").join(own, "fp", "left").select("_id", "_d", "n", "top")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                       words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per document: id, n_shingles, component_id (the smallest id reachable by links)."""
+    out = _linked_rows(docs.select(F.col(id_col).cast("long").alias("_id"), F.lit(None).cast("binary").alias("_d"),
+                                   F.col(text_col).alias("_t")), words, percent)
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id"))
+                      F.when(F.col("_id").isNotNull(), F.coalesce("top._id", "_id")).alias("component_id"))
+
+
+def text_digest(text: Column) -> Column:
+    return md5_128(F.coalesce(text, F.lit("")))
+
+
+def surplus_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(_id, _d): id and text digest of all rows but the smallest of each component."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(F.col(text_col)).alias("_d"),
+                       F.col(text_col).alias("_t"))
+    return _linked_rows(rows, words, percent).where(
+        F.col("_id").isNotNull() & (F.struct("_id", "_d") != F.col("top"))).select("_id", "_d").distinct()
