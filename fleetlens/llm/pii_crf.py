@@ -7,6 +7,8 @@ negatives) and reads every region around a digit or an ``@`` of every text;
 all four kinds hold one of these.  A region is cut into overlapping windows,
 the windows' emissions are blended by distance from the window's edge, and one
 CRF pass decodes the whole region, so no span depends on where a window ends.
+Regions have no greatest length: a long one is decoded alone, in blocks that hand
+on their boundary scores, which gives what one pass gives.
 A decoded span is added when its posterior is at least ``CONFIDENCE`` at each
 character, it has the digits, checksum or parts of its kind, and it touches no
 pattern span.  Pattern spans always stay.
@@ -42,9 +44,14 @@ TRIGGER = re.compile("[0-9@]+")
 MARGIN, WINDOW, STRIDE = 24, 64, 32
 TRAIN_DOCS, TRAIN_REGIONS = 6000, 1500
 CONFIDENCE = 0.95
+#: characters that are decoded at once: of a group's windows, of a padded batch, of a long region's block
+GROUP_CHARS, BATCH_CHARS, BLOCK = 1 << 16, 1 << 15, 1 << 13
 HIDDEN, CHARS = 16, 130
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 
+#: emissions after a region's end: O
+END = np.array([0.0] + [-1e4] * (TAGS - 1))[None, None]
+
 Span = tuple[int, int, int]  # kind, start, end
 
 
@@ -105,7 +112,7 @@ def coded(s: str) -> np.ndarray:
     c = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     wide = np.flatnonzero(c > 126)
     c[wide] = [127 if s[i].isalpha() else 128 for i in wide]
-    return c
+    return c.astype(np.uint8)
 
 
 def windows(regions_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,29 +194,71 @@ def lse(a: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(a - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
-def crf(e: np.ndarray, move: np.ndarray):
-    """Forward and backward scores and the log normaliser of [T, B, TAGS] emissions."""
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[0] = e[0]
+def forward(e: np.ndarray, move: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Forward scores [T, B, TAGS]; ``before`` are those of the step ahead of the first."""
+    alpha = np.empty_like(e)
+    alpha[0] = e[0] if before is None else e[0] + lse(before[:, :, None] + move, 1)
     for t in range(1, len(e)):
         alpha[t] = e[t] + lse(alpha[t - 1][:, :, None] + move, 1)
+    return alpha
+
+
+def backward(e: np.ndarray, move: np.ndarray, after: np.ndarray | None = None) -> np.ndarray:
+    """Backward scores [T, B, TAGS]; ``after`` are emission plus score of the step behind the last."""
+    beta = np.zeros_like(e)
+    if after is not None:
+        beta[-1] = lse(move + after[:, None, :], 2)
     for t in range(len(e) - 2, -1, -1):
         beta[t] = lse(move + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-    return alpha, beta, lse(alpha[-1], 1)
+    return beta
 
 
-def viterbi(e: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Best tags [T, B]."""
-    best, back = e[0], np.empty(e.shape, np.int64)
-    for t in range(1, len(e)):
+def crf(e: np.ndarray, move: np.ndarray):
+    """Forward and backward scores and the log normaliser of [T, B, TAGS] emissions."""
+    alpha = forward(e, move)
+    return alpha, backward(e, move), lse(alpha[-1], 1)
+
+
+def best_paths(e: np.ndarray, move: np.ndarray, before: np.ndarray | None = None):
+    """Scores of the best paths' ends, and each step's best step before (uint8)."""
+    back = np.zeros(e.shape, np.uint8)
+    best = before
+    for t in range(len(e)):
+        if best is None:
+            best = e[t]
+            continue
         s = best[:, :, None] + move
         back[t] = s.argmax(1)
         best = e[t] + s.max(1)
-    tags = np.empty(e.shape[:2], np.int64)
-    tags[-1] = best.argmax(1)
-    for t in range(len(e) - 1, 0, -1):
-        tags[t - 1] = back[t][np.arange(e.shape[1]), tags[t]]
-    return tags
+    return best, back
+
+
+def decode_blocks(emitted, length: int, move: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best tags and their posteriors [T, B]; ``emitted(s, t)`` gives the emissions of [s, t).
+    One pass ahead keeps the scores at the blocks' ends, one back fills the blocks."""
+    starts = list(range(0, length, block))
+    alphas, bests = [None], [None]  # ahead of each block
+    for s in starts:
+        e = emitted(s, min(s + block, length))
+        alphas.append(forward(e, move, alphas[-1])[-1].copy())
+        bests.append(best_paths(e, move, bests[-1])[0])
+    z = lse(alphas[-1], 1)
+    last = bests[-1].argmax(1)
+    tags, sure = np.empty((length, len(last)), np.uint8), np.empty((length, len(last)))
+    rows, after = np.arange(len(last)), None
+    for n in range(len(starts) - 1, -1, -1):
+        s, t = starts[n], min(starts[n] + block, length)
+        if len(starts) > 1:
+            e = emitted(s, t)
+        alpha, beta = forward(e, move, alphas[n]), backward(e, move, after)
+        _, back = best_paths(e, move, bests[n])
+        for i in range(t - s - 1, -1, -1):
+            tags[s + i] = last
+            last = back[i][rows, last]
+        own = tags[s:t, :, None].astype(np.int64)
+        sure[s:t] = np.exp(np.take_along_axis(alpha + beta, own, 2)[:, :, 0] - z)
+        after = e[0] + beta[0]
+    return tags, sure
 
 
 def tags_of(length: int, spans: list[Span]) -> np.ndarray:
@@ -252,10 +301,9 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 25, batch: int = 64, seed: i
     return {k: v.astype(np.float32) for k, v in m.items()}
 
 
-def decode(m: dict, codes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Tags and their posteriors of each region, from blended windows and one CRF pass."""
+def blend(m: dict, codes: list[np.ndarray]) -> list[np.ndarray]:
+    """Emissions [T, TAGS] of each region, from its windows."""
     x, region, offset = windows(codes)
-    out: list = [None] * len(codes)
     blended = [np.zeros((len(c), TAGS)) for c in codes]
     weight = [np.zeros((len(c), 1)) for c in codes]
     ramp = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(float)[:, None]
@@ -266,21 +314,50 @@ def decode(m: dict, codes: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarra
             n = min(WINDOW, len(codes[i]) - o)
             blended[i][o:o + n] += ramp[:n] * e[:n, k]
             weight[i][o:o + n] += ramp[:n]
+    return [b / w for b, w in zip(blended, weight, strict=True)]
+
+
+def block_emissions(m: dict, code: np.ndarray):
+    """s, t -> emissions [t - s, 1, TAGS] of one region's characters, from the windows over them.
+    s is a multiple of STRIDE; the step behind the last character is the end."""
+    def emitted(s: int, t: int) -> np.ndarray:
+        if s == len(code):
+            return END
+        a = max(0, s - WINDOW + STRIDE)  # the first window that reaches s
+        # up to where the last window over t ends; the windows behind it do not reach t
+        b = min(len(code), -(-t // STRIDE) * STRIDE + WINDOW)
+        e = blend(m, [code[a:b]])[0][s - a:t - a, None]
+        return e if t <= len(code) else np.concatenate([e, END])
+    return emitted
+
+
+def decode(m: dict, codes: list[np.ndarray]):
+    """(region, tags, their posteriors) of each region, from blended windows and one CRF pass."""
     order = sorted(range(len(codes)), key=lambda i: len(codes[i]))
-    for a in range(0, len(order), 64):
-        pick = order[a:a + 64]
-        longest = len(codes[pick[-1]])
-        e = np.zeros((longest, len(pick), TAGS))
-        e[:, :, 1:] = -1e4  # after a region's end: O
-        for k, i in enumerate(pick):
-            e[:len(codes[i]), k] = blended[i] / weight[i]
-        alpha, beta, z = crf(e, m["move"])
-        tags = viterbi(e, m["move"])
-        for k, i in enumerate(pick):
-            t = tags[:len(codes[i]), k]
-            r = np.arange(len(t))
-            out[i] = (t, np.exp(alpha[r, k, t] + beta[r, k, t] - z[k]))
-    return out
+    short = [i for i in order if len(codes[i]) <= BLOCK]
+    at = 0
+    while at < len(short):
+        group, chars = [], 0
+        while at < len(short) and (not group or chars + len(codes[short[at]]) <= GROUP_CHARS):
+            group.append(short[at])
+            chars += len(codes[short[at]])
+            at += 1
+        blended = dict(zip(group, blend(m, [codes[i] for i in group]), strict=True))
+        while group:
+            n = 1
+            while n < min(64, len(group)) and (n + 1) * len(codes[group[n]]) <= BATCH_CHARS:
+                n += 1
+            pick, group = group[:n], group[n:]
+            longest = len(codes[pick[-1]]) + 1  # each has an end, so none depends on its batch
+            e = np.tile(END, (longest, n, 1))
+            for k, i in enumerate(pick):
+                e[:len(codes[i]), k] = blended[i]
+            tags, sure = decode_blocks(lambda s, t, e=e: e[s:t], longest, m["move"], longest)
+            for k, i in enumerate(pick):
+                yield i, tags[:len(codes[i]), k], sure[:len(codes[i]), k]
+    for i in order[len(short):]:
+        tags, sure = decode_blocks(block_emissions(m, codes[i]), len(codes[i]) + 1, m["move"], BLOCK)
+        yield i, tags[:-1, 0], sure[:-1, 0]
 
 
 def added_spans(text: str, at: int, tags: np.ndarray, sure: np.ndarray, base: list[Span]) -> list[Span]:
@@ -290,7 +367,7 @@ def added_spans(text: str, at: int, tags: np.ndarray, sure: np.ndarray, base: li
         if tags[i] == 0:
             i += 1
             continue
-        kind, j = (tags[i] - 1) // 2, i + 1
+        kind, j = (int(tags[i]) - 1) // 2, i + 1
         while j < len(tags) and tags[j] == 2 + 2 * kind:
             j += 1
         a, b = at + i, at + j
@@ -361,7 +438,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             where = [(i, a, b) for i, t in enumerate(texts) if t for a, b in regions(t)]
             if m is not None and where:
                 found = decode(m, [coded(texts[i][a:b]) for i, a, b in where])
-                for (i, a, _), (tags, sure) in zip(where, found, strict=True):
+                for r, tags, sure in found:
+                    i, a, _ = where[r]
                     every[i] += added_spans(texts[i], a, tags, sure, base[i])
             return [[[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(s)] for s in x]
                     for x in (base, every)]
