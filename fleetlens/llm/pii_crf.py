@@ -2,7 +2,7 @@
 
 Patterns find emails, IP addresses, card and phone numbers.  A character-level
 bidirectional LSTM with CRF transitions is trained in numpy on spans that the
-patterns label in a bounded sample of documents (failed candidates are its
+patterns label in a bounded sample of windows (failed candidates are its
 negatives) and reads every region around a digit or an ``@`` of every text;
 all four kinds hold one of these.  A region is cut into overlapping windows,
 the windows' emissions are blended by distance from the window's edge, and one
@@ -13,8 +13,10 @@ A decoded span is added when its posterior is at least ``CONFIDENCE`` at each
 character, it has the digits, checksum or parts of its kind, and it touches no
 pattern span.  Pattern spans always stay.
 
-The only bounded part is the training sample (``TRAIN_DOCS`` documents on
-average, by a hash of the id, ``TRAIN_REGIONS`` of their regions).
+The only bounded part is the training sample: ``TRAIN_REGIONS`` windows of all
+regions of all documents, half with a labelled character and half without (more
+of the one where there are few of the other), those with the smallest hashes of
+id, place and content.
 
 Defined cases: a null or empty text has no span; without any labelled span the
 patterns decide alone; repeated rows are read each; an empty table gives an
@@ -24,13 +26,16 @@ empty result.  Offsets are code points, the end is exclusive.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import map_texts
+from fleetlens.llm.common import kept, map_texts
 
 # ---- fixed values: kinds and patterns ----
 KINDS = ("email", "ip", "card", "phone")
@@ -42,7 +47,7 @@ EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 # ---- end of fixed values ----
 TRIGGER = re.compile("[0-9@]+")
 MARGIN, WINDOW, STRIDE = 24, 64, 32
-TRAIN_DOCS, TRAIN_REGIONS = 6000, 1500
+TRAIN_REGIONS = 1500
 CONFIDENCE = 0.95
 #: characters that are decoded at once: of a group's windows, of a padded batch, of a long region's block
 GROUP_CHARS, BATCH_CHARS, BLOCK = 1 << 16, 1 << 15, 1 << 13
@@ -382,45 +387,61 @@ def added_spans(text: str, at: int, tags: np.ndarray, sure: np.ndarray, base: li
     return out
 
 
-def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    xs, ys = [], []
-    for t in texts:
-        y = tags_of(len(t), base_spans(t))
-        for a, b in regions(t):
-            if sum(map(len, xs)) >= TRAIN_REGIONS:
-                break
-            x, _, offset = windows([coded(t[a:b])])
-            tags = np.zeros((len(x), WINDOW), np.int64)
-            for k, o in enumerate(offset):
-                part = y[a + o:min(a + o + WINDOW, b)]
-                tags[k, :len(part)] = part
-            xs.append(x)
-            ys.append(tags)
-    return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros((0, WINDOW)), np.zeros((0, WINDOW)))
+def training_windows(ident: str | None, text: str) -> Iterator[tuple[int, bool, bytes, bytes]]:
+    """(rank, labelled, characters, tags) of each window of a text's regions."""
+    found = regions(text)
+    y = tags_of(len(text), base_spans(text)) if found else None
+    for a, b in found:
+        x, _, offset = windows([coded(text[a:b])])
+        for k, o in enumerate(offset):
+            tags = np.zeros(WINDOW, np.uint8)
+            part = y[a + o:min(a + o + WINDOW, b)]
+            tags[:len(part)] = part
+            chars = x[k].astype(np.uint8).tobytes()
+            rank = xxhash.xxh64_intdigest(f"{ident}:{a + o}:".encode("utf-8", "surrogatepass") + chars)
+            yield rank - (1 << 63), bool(tags.any()), chars, tags.tobytes()
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``TRAIN_REGIONS`` windows of smallest rank of a task, with and without labels."""
+    best: dict[bool, set] = {True: set(), False: set()}
+    bound = {True: 1 << 63, False: 1 << 63}
+    for b in batches:
+        for ident, text in zip(b.column("_id").to_pylist(), b.column("_t").to_pylist(), strict=True):
+            for rank, labelled, chars, tags in training_windows(ident, text) if text else ():
+                if rank > bound[labelled]:
+                    continue
+                best[labelled].add((rank, chars, tags))
+                if len(best[labelled]) >= 4 * TRAIN_REGIONS:
+                    few = sorted(best[labelled])[:TRAIN_REGIONS]
+                    best[labelled], bound[labelled] = set(few), few[-1][0]
+    for labelled, rows in best.items():
+        few = sorted(rows)[:TRAIN_REGIONS]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in few], pa.int64()), pa.array([labelled] * len(few), pa.bool_()),
+             pa.array([r[1] for r in few], pa.binary()), pa.array([r[2] for r in few], pa.binary())],
+            names=["rank", "labelled", "x", "y"])
+
+
+def training_sample(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tags [N, WINDOW] of the sampled windows."""
+    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_t"))
+    ranked = kept(rows.mapInArrow(_ranked, "rank long, labelled boolean, x binary, y binary"), "pii-windows")
+    with_, without = (ranked.where(F.col("labelled") == labelled).select("rank", "x", "y").distinct()
+                      .orderBy("rank", "x").limit(TRAIN_REGIONS).toPandas() for labelled in (True, False))
+    n = min(len(with_), max(TRAIN_REGIONS // 2, TRAIN_REGIONS - len(without)))
+    parts = with_[:n], without[:TRAIN_REGIONS - n]
+    x, y = (np.frombuffer(b"".join(v for p in parts for v in p[c]), np.uint8).reshape(-1, WINDOW).astype(np.int64)
+            for c in ("x", "y"))
+    return x, y
 
 
 def train(docs: DataFrame, id_col: str, text_col: str) -> dict | None:
-    """Model from the regions of a bounded sample of documents."""
-    share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
-    rows = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1e6 * share) + 1) \
-        .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-
-    def make():
-        def run(texts: list) -> list:
-            out = []
-            for t in texts:  # only the regions travel, between marks that hold no trigger
-                found = regions(t) if t else []
-                out.append([t[a:b] for a, b in found])
-            return [out]
-        return run
-
-    pdf = map_texts(rows, "_t", [T.StructField("regions", T.ArrayType(T.StringType()))], make) \
-        .select("_id", F.explode("regions").alias("r")).orderBy("_id", "r").limit(2 * TRAIN_REGIONS).toPandas()
-    x, y = training_windows(pdf["r"].to_list())
+    """Model from a bounded sample of the regions' windows."""
+    x, y = training_sample(docs, id_col, text_col)
     return fit(x, y) if (y > 0).any() else None
 
 
-
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, base (pattern spans) and spans (all spans), each an array of
     struct(kind, start, end)."""
