@@ -22,7 +22,7 @@ from fleetlens.operators import splits as SP
 from fleetlens.operators import transforms as TR
 from fleetlens.operators import windows as W
 from fleetlens.operators.iforest import iforest_fit, iforest_score
-from fleetlens.operators.lof import lof_fit
+from fleetlens.operators.lof import lof_fit, lof_scores
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import SPLIT_DATE
@@ -247,9 +247,8 @@ def m12_lof_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LOF (k=10) fitted on the embeddings of labels != 0, every embedding
     scored in novelty mode; exact, so DuckDB reproduces it."""
     em = Tables(spark, sf_dir).embeddings
-    model = lof_fit(em.filter(F.col("label") != 0), "embedding", k=LOF_K_EMB,
-                    contamination=LOF_CONTAMINATION, key="vec_id")
-    return model.score(em, "embedding", ["vec_id"])
+    return lof_scores(em.filter(F.col("label") != 0), em, "embedding", ["vec_id"], k=LOF_K_EMB,
+                      contamination=LOF_CONTAMINATION)
 
 
 def _anomaly_frame(spark, sf_dir):
