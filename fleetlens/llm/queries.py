@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import (curriculum_mix, cutting_stock, deleted_interp, exact_dedup, host_reputation,
-                           jaccard_groups, langid_ecoc, pii_crf, topk_hist, toxicity_subword)
+from fleetlens.llm import (closed_syncmers, curriculum_mix, cutting_stock, deleted_interp, exact_dedup,
+                           host_reputation, jaccard_groups, jacobi_davidson, langid_ecoc, pii_crf, topk_hist,
+                           toxicity_subword, variable_grams)
 from fleetlens.llm.common import crc_mod, documents
 from fleetlens.plans.base import half_away_round
 
@@ -84,11 +85,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       half_away_round(F.get("positions", F.lit(0))).alias("position"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closed_syncmers.fingerprints(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variable_grams.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jacobi_davidson.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16)
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_top_k, op4_lm_score, op5_jaccard_join,
-                                   op6_pii, op7_url_filter, op8_packing, op9_toxicity, op10_mixing)}
+                                   op6_pii, op7_url_filter, op8_packing, op9_toxicity, op10_mixing,
+                                   op11_fingerprints, op12_spelling_variants, op13_whitening)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: one ASCII symbol for each letter beyond ASCII, so that distances in bytes are distances in letters
+_ONE_BYTE = "translate({}, '" + "".join(map(chr, range(0xC0, 0x100))) + "', '" \
+    + "".join(map(chr, range(33, 97))).replace("'", "''") + "')"
 
 ORACLE = {
     "op2_exact_dedup": """
@@ -179,4 +196,29 @@ ORACLE = {
                round(CASE WHEN slope = 0 OR u IS NULL THEN u ELSE least(greatest(
                    (sqrt((1 - slope) * (1 - slope) + 4 * slope * u) - (1 - slope)) / (2 * slope), 0), 1) END, 6) AS position
         FROM z""",
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run
+                             FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT id, {_LOWER.format("run")} AS run, count(*) AS c FROM r WHERE length(run) >= 5 GROUP BY ALL),
+        t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT] || range(8)::UBIGINT[],
+                (a, x) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) x(i))),
+        b AS (SELECT *, hex(encode(id || ':' || run)) AS hx FROM l),
+        h AS (SELECT run, c, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(hx), 2),
+                i -> ('0x' || substr(hx, i, 2))::UBIGINT), (a, x) -> xor(a >> 8, t[(xor(a, x) & 255) + 1])),
+                4294967295::UBIGINT) AS h FROM b, t),
+        w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                     ELSE run END AS word, c FROM h),
+        v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+        k AS (SELECT DISTINCT word, n, unnest([word] || list_transform(range(1, length(word) + 1),
+                i -> substr(word, 1, i - 1) || substr(word, i + 1))) AS k FROM v),
+        p AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM k a JOIN k b ON a.k = b.k AND a.word <> b.word
+              WHERE levenshtein({_ONE_BYTE.format("a.word")}, {_ONE_BYTE.format("b.word")}) = 1),
+        m AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word),
+        f AS (SELECT p.word, m.n_near, m.top, min(p.other) AS best FROM p JOIN m ON m.word = p.word AND m.top = p.n GROUP BY ALL),
+        o AS (SELECT v.word, v.n, coalesce(f.n_near, 0)::BIGINT AS n_near, CASE WHEN f.top >= 2 * v.n THEN f.best END AS form,
+                     CASE WHEN f.top >= 2 * v.n THEN f.top END AS form_n FROM v LEFT JOIN f ON f.word = v.word),
+        s AS (SELECT word, word AS root FROM o UNION ALL SELECT s.word, o.form FROM s JOIN o ON o.word = s.root
+              WHERE o.form IS NOT NULL)
+        SELECT o.word, o.form, s.root, o.n, o.n_near, o.form_n
+        FROM o JOIN s ON s.word = o.word JOIN o AS z ON z.word = s.root WHERE z.form IS NULL""",
 }
