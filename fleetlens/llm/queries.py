@@ -200,17 +200,17 @@ ORACLE = {
         WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run
                              FROM documents WHERE text IS NOT NULL),
         l AS (SELECT id, {_LOWER.format("run")} AS run, count(*) AS c FROM r WHERE length(run) >= 5 GROUP BY ALL),
-        t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i::UBIGINT] || range(8)::UBIGINT[],
-                (a, x) -> CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) x(i))),
+        crc AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce([i::UBIGINT] || range(8)::UBIGINT[],
+                lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) x(i))),
         b AS (SELECT *, hex(encode(id || ':' || run)) AS hx FROM l),
         h AS (SELECT run, c, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(hx), 2),
-                i -> ('0x' || substr(hx, i, 2))::UBIGINT), (a, x) -> xor(a >> 8, t[(xor(a, x) & 255) + 1])),
-                4294967295::UBIGINT) AS h FROM b, t),
+                lambda i: ('0x' || substr(hx, i, 2))::UBIGINT), lambda a, x: xor(a >> 8, steps[((xor(a, x) & 255) + 1)::BIGINT])),
+                4294967295::UBIGINT) AS h FROM b, crc),
         w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
                      ELSE run END AS word, c FROM h),
         v AS (SELECT word, sum(c)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
         k AS (SELECT DISTINCT word, n, unnest([word] || list_transform(range(1, length(word) + 1),
-                i -> substr(word, 1, i - 1) || substr(word, i + 1))) AS k FROM v),
+                lambda i: substr(word, 1, i - 1) || substr(word, i + 1))) AS k FROM v),
         p AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM k a JOIN k b ON a.k = b.k AND a.word <> b.word
               WHERE levenshtein({_ONE_BYTE.format("a.word")}, {_ONE_BYTE.format("b.word")}) = 1),
         m AS (SELECT word, count(*) AS n_near, max(n) AS top FROM p GROUP BY word),
