@@ -88,8 +88,10 @@ class Dictionary:
 
     def __init__(self, counts: dict[str, int]):
         self.grams = {g for g in counts if len(g) > Q_MIN}
-        self.begins = {(g[:k], len(g)) for g in self.grams for k in range(1, len(g))}
-        self.ends = {(g[-k:], len(g)) for g in self.grams for k in range(1, len(g))}
+        sizes = range(Q_MIN, Q_MAX + 1)
+        # what begins and what ends a gram of at most q symbols that is longer
+        self.begins = {q: {g[:k] for g in self.grams if len(g) <= q for k in range(1, len(g))} for q in sizes}
+        self.ends = {q: {g[-k:] for g in self.grams if len(g) <= q for k in range(1, len(g))} for q in sizes}
         # occurrences that do not go on in a longer gram
         net = dict(counts)
         for g in self.grams:
@@ -97,13 +99,6 @@ class Dictionary:
                 net[g[:-1]] -= counts[g]
         self.rank = {g: i for i, g in enumerate(sorted(net, key=lambda g: (net[g], g)))}
 
-    def begun(self, text: str, q: int) -> bool:
-        """Whether a longer gram of at most ``q`` symbols begins with ``text``."""
-        return any((text, k) in self.begins for k in range(len(text) + 1, q + 1))
-
-    def ended(self, text: str, q: int) -> bool:
-        return any((text, k) in self.ends for k in range(len(text) + 1, q + 1))
-
     def decompose(self, s: str, q: int) -> list[tuple[int, int]]:
         """(from, to) of the grams of the marked word ``s``."""
         out, covered = [], 0
@@ -114,21 +109,40 @@ class Dictionary:
                 covered = e
         return out
 
-    def affected(self, s: str, spans: list[tuple[int, int]], q: int, inserted: bool) -> int:
-        """Most grams that one edit may change: a replaced or deleted symbol, or an inserted one."""
-        most = 0
-        for i in range(1, len(s) if inserted else len(s) - 1):
-            behind = i if inserted else i + 1  # what stands behind the edit begins here
-            first = next((p for p in range(max(0, i - q + 1), i) if self.begun(s[p:i], q)), i)
-            last = next((e for e in range(min(len(s), behind + q - 1), behind, -1) if self.ended(s[behind:e], q)), behind)
-            # untouched: ends before the edit and begins before ``first``, or lies behind it and ends after ``last``
-            most = max(most, sum(not ((e <= i and p < first) or (p >= behind and e > last)) for p, e in spans))
-        return most
-
-    def rarest(self, s: str, spans: list[tuple[int, int]], n: int) -> list[tuple[str, int]]:
-        """The first ``n`` (gram, place) in the order of the lists."""
-        rows = [(self.rank.get(s[p:e], -1), s[p:e], p) for p, e in spans]
-        return [(g, p) for _, g, p in sorted(rows)[:n]]
+    def affected(self, s: str, spans: list[tuple[int, int]], q: int) -> tuple[int, int]:
+        """Most grams that one edit may change: a replaced or deleted symbol, an inserted one."""
+        begins, ends, size, total = self.begins[q], self.ends[q], len(s), len(spans)
+        # both ends of the grams rise, so those that begin (end) before a place come first
+        starting, ending = [0] * (size + 2), [0] * (size + 2)
+        for p, e in spans:
+            starting[p + 1] += 1
+            ending[e] += 1
+        for i in range(1, size + 2):
+            starting[i] += starting[i - 1]  # grams that begin before i
+            ending[i] += ending[i - 1]  # grams that end at i or before
+        before, behind = [0] * (size + 1), [0] * (size + 1)
+        for i in range(1, size):
+            # untouched before an edit at i: ended, and begun before all that could grow over it
+            first = i
+            for p in range(max(0, i - q + 1), i):
+                if s[p:i] in begins:
+                    first = p
+                    break
+            before[i] = min(ending[i], starting[first])
+            # untouched behind what stands from i on: begun, and ending after all that could cover it
+            last = i
+            for e in range(min(size, i + q - 1), i, -1):
+                if s[i:e] in ends:
+                    last = e
+                    break
+            behind[i] = total - max(starting[i], ending[last])
+        changed = total - min(before[i] + behind[i + 1] for i in range(1, size - 1))
+        return changed, total - min(before[i] + behind[i] for i in range(1, size))
+
+    def rarest(self, s: str, spans: list[tuple[int, int]]) -> list[tuple[str, int]]:
+        """(gram, place) in the order of the lists."""
+        rank = self.rank
+        return [(g, p) for _, g, p in sorted([(rank.get(s[p:e], -1), s[p:e], p) for p, e in spans])]
 
     def lists(self, word: str) -> Iterator[tuple[str, str]]:
         """(role, key) under which a word is listed: ``=`` with words of its length,
@@ -136,18 +150,29 @@ class Dictionary:
         s, n = HEAD + word + TAIL, len(word)
         q = longest(n)
         spans = self.decompose(s, q)
-        for g, p in self.rarest(s, spans, self.affected(s, spans, q, False) + 1):
+        changed, inserted = self.affected(s, spans, q)
+        order = self.rarest(s, spans)
+        for g, p in order[:changed + 1]:
             yield "=", f"{g}{p}:{n}"
-        for g, p in self.rarest(s, spans, self.affected(s, spans, q, True) + 1):
+        for g, p in order[:inserted + 1]:
             yield "<", f"{g}{p}:{n + 1}"
             yield "<", f"{g}{p + 1}:{n + 1}"
         if longest(n - 1) != q:
             q = longest(n - 1)
             spans = self.decompose(s, q)
-        for g, p in self.rarest(s, spans, self.affected(s, spans, q, False) + 1):
+            changed, order = self.affected(s, spans, q)[0], self.rarest(s, spans)
+        for g, p in order[:changed + 1]:
             yield ">", f"{g}{p}:{n}"
 
 
+def letters(word: str) -> int:
+    """Which of 63 classes of letters a word holds; one edit changes at most two of them."""
+    mask = 0
+    for c in word:
+        mask |= 1 << ord(c) % 63
+    return mask
+
+
 def dictionary(words: DataFrame) -> Dictionary:
     """At most ``GRAMS`` grams, and one for each two symbols, come to the driver."""
     counts = kept(gram_counts(words), "gram-counts")
@@ -158,7 +183,7 @@ def dictionary(words: DataFrame) -> Dictionary:
 
 
 def gram_lists(words: DataFrame, grams: Dictionary) -> DataFrame:
-    """role, key, word, n: every word under its first (bound + 1) grams, for each role."""
+    """role, key, word, n, mask: every word under its first (bound + 1) grams, for each role."""
     held = words.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,11 +191,11 @@ def gram_lists(words: DataFrame, grams: Dictionary) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, STEP):
                 part = whole.slice(a, STEP).to_pydict()
-                rows = [(*x, w, n) for w, n in zip(part["word"], part["n"]) for x in d.lists(w)]
-                yield pa.RecordBatch.from_pydict(dict(zip(("role", "key", "word", "n"), map(list, zip(*rows)))))
+                rows = [(*x, w, n, m) for w, n in zip(part["word"], part["n"]) for m in [letters(w)] for x in d.lists(w)]
+                yield pa.RecordBatch.from_pydict(dict(zip(("role", "key", "word", "n", "mask"), map(list, zip(*rows)))))
 
     return words.select("word", "n").where(F.char_length("word") >= 1) \
-        .mapInArrow(run, "role string, key string, word string, n long")
+        .mapInArrow(run, "role string, key string, word string, n long, mask long")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -180,9 +205,10 @@ def near_words(words: DataFrame) -> DataFrame:
     lists = kept(gram_lists(words, dictionary(words)), "gram-lists")
 
     def side(role: str, word: str, n: str) -> DataFrame:
-        return lists.where(F.col("role") == role).select("key", F.col("word").alias(word), F.col("n").alias(n))
+        return lists.where(F.col("role") == role).select("key", F.col("word").alias(word), F.col("n").alias(n), F.col("mask").alias(f"{word}_mask"))
 
-    one = F.levenshtein("word", "other", 1) == 1
+    # most pairs that meet differ in more letters than one edit can change, which is cheaper to see
+    one = (F.bit_count(F.col("word_mask").bitwiseXOR(F.col("other_mask"))) <= 2) & (F.levenshtein("word", "other", 1) == 1)
     same = side("=", "word", "n").join(side("=", "other", "other_n"), "key").where((F.col("word") < F.col("other")) & one)
     longer = side("<", "word", "n").join(side(">", "other", "other_n"), "key").where(one)
     pairs = same.unionByName(longer).select("word", "n", "other", "other_n").distinct()

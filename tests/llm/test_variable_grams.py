@@ -53,7 +53,21 @@ def test_the_bound_leaves_a_gram(words, least):
     for w in words:
         s, q = V.HEAD + w + V.TAIL, V.longest(len(w))
         spans = d.decompose(s, q)
-        assert d.affected(s, spans, q, False) < len(spans) and d.affected(s, spans, q, True) < len(spans)
+        assert max(d.affected(s, spans, q)) < len(spans)
+        # as the definition counts them, edit by edit
+        for inserted in (False, True):
+            most = 0
+            for i in range(1, len(s) if inserted else len(s) - 1):
+                behind = i if inserted else i + 1
+                first = next((p for p in range(max(0, i - q + 1), i) if s[p:i] in d.begins[q]), i)
+                last = next((e for e in range(min(len(s), behind + q - 1), behind, -1) if s[behind:e] in d.ends[q]), behind)
+                most = max(most, sum(not ((e <= i and p < first) or (p >= behind and e > last)) for p, e in spans))
+            assert d.affected(s, spans, q)[inserted] == most
+
+
+def test_one_edit_changes_two_letters_at_most():
+    for a, b in (("abcde", "abxde"), ("abcde", "abcdéf"[:5]), ("abcde", "abcdef"), ("abcde", "abde")):
+        assert bin(V.letters(a) ^ V.letters(b)).count("1") <= 2
 
 
 def test_near_words_by_brute_force(spark):
