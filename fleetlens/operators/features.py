@@ -249,6 +249,44 @@ def mode_per_group(df: DataFrame, key: str | Sequence[str], col: str, alias: str
                   .agg(F.min_by(F.col(col), F.struct(-F.col("_n"), F.col(col))).alias(alias or f"{col}_mode")))
 
 
+def modes_per_group(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """``key`` + every column's most frequent value, ties -> smallest (J10): the values of all
+    columns are counted in one aggregate and picked in a second, whatever their number."""
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)]))
+    counts = df.select(key, cells.alias("_e")).where(F.col("_e.v").isNotNull()) \
+        .groupBy(key, F.col("_e.i").alias("_i"), F.col("_e.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(key).agg(*[
+        F.min_by("_v", F.when(F.col("_i") == i, F.struct(-F.col("_n"), F.col("_v")))).alias(c) for i, c in enumerate(cols)])
+
+
+# The measures of the experiment's server profile with their aggregates.
+EXPERIMENT_AGGREGATES = {
+    "cpu_util_pct": ("mean", "max", "std"), "ram_util_pct": ("mean", "max", "std"), "disk_util_pct": ("mean", "max", "std"),
+    "net_in_gb": ("mean", "max", "sum"), "net_out_gb": ("mean", "max", "sum"), "temperature_c": ("mean", "max", "std"),
+    "backup_success": ("mean", "min"), "scheduled_maintenance": ("mean",), "avg_rack_temperature_c": ("mean", "max"),
+    "power_usage_mw": ("mean", "max"), "network_latency_ms": ("mean", "max", "std"), "capacity_used_pct": ("mean", "max", "std"),
+}
+
+
+def experiment_profile(df: DataFrame, key: str, firsts: Sequence[str], categorical: Sequence[str],
+                       date_col: str = "date", tiebreak: str = "event_id") -> DataFrame:
+    """The experiment's server table (G8, J10, B10): aggregates of each measure, descriptive columns
+    at the earliest (date, tiebreak), the row count, categorical modes merged back onto them, nulls
+    as 0, and the pressures of the aggregates."""
+    make = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp, "sum": F.sum}
+    order = F.struct(F.col(date_col), F.col(tiebreak))
+    numbers = df.groupBy(key).agg(
+        *[make[a](F.col(m).cast("double")).alias(f"{m}_{a}") for m, names in EXPERIMENT_AGGREGATES.items() for a in names],
+        *[F.min_by(F.col(c), order).alias(f"{c}_first") for c in firsts], F.count(F.col(date_col)).alias("observation_count"))
+    out = numbers.fillna(0).join(modes_per_group(df, key, categorical), key, "left")
+    return out.withColumns({
+        "utilization_pressure_mean": (F.col("cpu_util_pct_mean") + F.col("ram_util_pct_mean") + F.col("disk_util_pct_mean")
+                                      + F.col("capacity_used_pct_mean")) / 4,
+        "network_total_gb_sum": F.col("net_in_gb_sum") + F.col("net_out_gb_sum"),
+        "thermal_cpu_pressure": F.col("temperature_c_mean") * F.col("cpu_util_pct_mean") / 100,
+        "backup_failure_rate": 1 - F.col("backup_success_mean")})
+
+
 def reference_values(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Long table (feature, kind, median, mean, std, mode) of reference values.
 

@@ -78,33 +78,24 @@ def classification_report(df: DataFrame, y: str = "y", pred: str = "pred") -> Da
     Long table: (label, precision, recall, f1, support).
     """
     yy, pp = F.col(y), F.col(pred)
-    per = []
-    for cls in (0, 1):
-        per.append(df.agg(
-            F.lit(str(cls)).alias("label"),
-            F.sum(R.flag((yy == cls) & (pp == cls))).alias("tp"),
-            F.sum(R.flag(pp == cls)).alias("pp"),
-            F.sum(R.flag(yy == cls)).alias("support"),
-        ))
-    cls_tbl = per[0].unionByName(per[1]).select(
-        "label",
-        _div(F.col("tp"), F.col("pp")).alias("precision"),
-        _div(F.col("tp"), F.col("support")).alias("recall"),
-        F.col("support").cast("long").alias("support"))
-    cls_tbl = cls_tbl.withColumn(
-        "f1", _div(F.lit(2.0) * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    tot = F.sum("support")
-    macro = cls_tbl.agg(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"),
-                        F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-                        tot.cast("long").alias("support"))
-    weighted = cls_tbl.agg(
-        F.lit("weighted avg").alias("label"),
-        _div(F.sum(F.col("precision") * F.col("support")), tot).alias("precision"),
-        _div(F.sum(F.col("recall") * F.col("support")), tot).alias("recall"),
-        _div(F.sum(F.col("f1") * F.col("support")), tot).alias("f1"),
-        tot.cast("long").alias("support"))
-    cols = ["label", "precision", "recall", "f1", "support"]
-    return cls_tbl.select(*cols).unionByName(macro.select(*cols)).unionByName(weighted.select(*cols))
+    counts = df.agg(*[c.alias(f"{n}{cls}") for cls in (0, 1) for n, c in (
+        ("tp", F.count_if((yy == cls) & (pp == cls))), ("pp", F.count_if(pp == cls)), ("support", F.count_if(yy == cls)))])
+    for cls in (0, 1):  # one row from here on
+        tp, p, s = (F.col(f"{n}{cls}") for n in ("tp", "pp", "support"))
+        counts = counts.withColumns({f"precision{cls}": _div(tp, p), f"recall{cls}": _div(tp, s)})
+        p, q = F.col(f"precision{cls}"), F.col(f"recall{cls}")
+        counts = counts.withColumn(f"f1{cls}", _div(F.lit(2.0) * p * q, p + q))
+    total = F.col("support0") + F.col("support1")
+    names = ("precision", "recall", "f1")
+
+    def line(label: str, of) -> Column:
+        return F.struct(F.lit(label).alias("label"), *[of(n).alias(n) for n in names], (
+            F.col(f"support{label}") if label in "01" else total).cast("long").alias("support"))
+
+    lines = [line(str(cls), lambda n, cls=cls: F.col(f"{n}{cls}")) for cls in (0, 1)]
+    lines.append(line("macro avg", lambda n: (F.col(f"{n}0") + F.col(f"{n}1")) / 2))
+    lines.append(line("weighted avg", lambda n: _div(F.col(f"{n}0") * F.col("support0") + F.col(f"{n}1") * F.col("support1"), total)))
+    return counts.select(F.inline(F.array(*lines)))
 
 
 def score_curve(df: DataFrame, score: str = "score", y: str = "y",
@@ -189,18 +180,19 @@ def topk_capture(df: DataFrame, day: str = "date", key: str = "key", y: str = "y
     mean daily capture over days with at least one positive.
 
     One ranking for max(K) (partial top-k before the shuffle), then every K is
-    a conditional aggregate over the <= max(K) survivors per day.
+    a conditional aggregate over the <= max(K) survivors per day; the days meet their
+    totals where both are partitioned by day.
     """
-    kmax = max(ks)
-    ranked = top_k_per_group(df.select(day, key, y, score), [day],
-                             [F.col(score).desc(), F.col(key).asc()], kmax, "_rank")
-    kdf = ranked.select(day, y, "_rank", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("top_k_per_day"))
-    daily = (kdf.filter(F.col("_rank") <= F.col("top_k_per_day"))
-                .groupBy("top_k_per_day", day)
-                .agg(F.count(F.lit(1)).alias("selected"), F.sum(F.col(y).cast("long")).alias("hits")))
-    pos = df.groupBy(day).agg(F.sum(F.col(y).cast("long")).alias("positives"))
-    j = daily.join(pos, day, "left")
-    out = j.groupBy("top_k_per_day").agg(
+    rows = cut_lineage(df.select(day, key, y, score))  # read for the ranking and for the totals
+    ranked = top_k_per_group(rows, [day], [F.col(score).desc(), F.col(key).asc()], max(ks), "_rank")
+    hit = F.col(y).cast("long")
+    # the ranking is partitioned by day already: its counts need no shuffle of their own
+    daily = ranked.groupBy(day).agg(*[F.count_if(F.col("_rank") <= k).alias(f"s{k}") for k in ks],
+                                    *[F.sum(F.when(F.col("_rank") <= k, hit)).alias(f"h{k}") for k in ks])
+    j = daily.join(rows.groupBy(day).agg(F.sum(hit).alias("positives")), day, "left")
+    each = j.select("positives", F.inline(F.array(*[F.struct(F.lit(int(k)).alias("top_k_per_day"), F.col(f"s{k}").alias("selected"),
+                                                             F.col(f"h{k}").alias("hits")) for k in ks])))
+    out = each.groupBy("top_k_per_day").agg(
         F.sum("selected").cast("long").alias("selected_total"),
         F.sum("hits").cast("long").alias("captured_incidents"),
         F.sum("positives").cast("long").alias("total_incidents"),

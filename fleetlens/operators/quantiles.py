@@ -1,34 +1,43 @@
 """Exact quantiles that never put a whole group in one task.
 
-``percentile()`` keeps, per group, a map of every distinct value, merged in
-one task: for a hot group -- or a global median over the whole table --
-that task holds all distinct values of the column.  Here the exact
-linear-interpolated quantile is found by rank instead:
-
-Groups up to ``bucket_rows`` rows keep the plain aggregate; larger ones:
-
-1. long form (group..., measure, value) and one row per distinct value with
-   its count (partial aggregation: repeated values collapse map-side);
-2. each group's distinct values are cut into ``buckets`` value ranges using
-   approximate quantiles of that group (a bounded sketch, used only to
-   spread the work -- any split gives the exact answer); the bucketed table
-   is checkpointed so the split is fixed;
-3. bucket totals (``buckets`` rows per group) give each bucket's starting
-   rank; a running count inside each (group, bucket) gives every distinct
-   value its rank interval;
-4. the values at ranks floor(h) and ceil(h), h = q (n - 1), are picked by a
-   conditional aggregate and interpolated like ``percentile()``.
+``percentile()`` keeps, per group, a map of every distinct value, merged in one
+task: for a hot group, or a global median over the whole table, that task holds all
+distinct values of the column.  Groups of at most ``bucket_rows`` rows take it; in
+larger ones the values at ranks floor(h) and ceil(h), h = q (n - 1), are selected by
+refinement, all measures and groups side by side:
+
+1. one aggregate lays ``buckets`` + 1 grid values over each open interval (a bounded
+   sketch; any grid gives the exact answer), and picks the two that should enclose
+   the ranks;
+2. a second aggregate counts exactly how many values lie below, on, between, on and
+   above those two.  A rank that falls on one of them is found, whatever number of rows
+   repeat it; the others lie in one open interval, which replaces the last;
+3. when no interval holds more than ``bucket_rows`` values these are sorted and the
+   ranks picked.
+
+An interval loses both its enclosing values and about all but 2 of ``buckets`` parts of
+the rest a round, so rounds grow with the logarithm of the largest group.  Every pass is
+one grouped aggregate with partial sums: a row is never copied per measure, and no rank
+is assigned to any row.
+
+Defined cases: nulls do not count; a group without values gets null; NaN counts as
+the largest value; null group keys are groups like any other; without keys an empty
+table gives one row of nulls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.session import cut_lineage
 
+#: groups under refinement whose state (a few numbers a measure) is broadcast
+BROADCAST_GROUPS = 10_000
+NAN = float("nan")
+
 
 def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,
                      suffix: str, buckets: int = 64, bucket_rows: int = 200_000,
@@ -36,35 +45,31 @@ def quantile_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q:
     """keys + ``{col}{suffix}``: the exact linear-interpolated ``q`` quantile of
     every column per group of ``keys`` (``keys=[]``: one global row).
 
-    Groups of at most ``bucket_rows`` rows use Spark's exact ``percentile``
-    aggregate in one pass (its value map is then bounded by ``bucket_rows``);
-    larger groups take the rank path of the module docstring.
-    ``max_group_rows``, when the caller already knows the largest group
-    size, skips the size check.
+    Groups of at most ``bucket_rows`` rows use Spark's exact ``percentile`` aggregate in
+    one pass (its value map is then bounded by ``bucket_rows``); larger ones are refined
+    as in the module docstring.  ``max_group_rows``, when the caller already knows the
+    largest group size, skips the size check.
     """
-    keys = list(keys)
-    q = float(q)
+    keys, cols, q = list(keys), list(cols), float(q)
 
-    def agg(d: DataFrame) -> DataFrame:
+    def plain(d: DataFrame) -> DataFrame:
         return d.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), F.lit(q)).alias(f"{c}{suffix}")
                                       for c in cols])
 
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.filter(F.col("_n") > F.lit(bucket_rows)).select(*keys)
-    if keys:
-        big = big.dropna(subset=keys)  # a NULL key matches no join and stays with the small groups
     if max_group_rows is not None and max_group_rows <= bucket_rows:
-        return agg(df)
-    if max_group_rows is None and big.limit(1).count() == 0:
-        return agg(df)
-    if not keys:
-        one = _wide(_by_rank(_long(df, [], cols), ["measure"], [q], buckets, accuracy), [], cols, suffix)
-        return one.agg(*[F.max(f"{c}{suffix}").alias(f"{c}{suffix}") for c in cols])  # a row for no values too
-    small = agg(df.join(big, keys, "left_anti"))
-    ranked = _by_rank(_long(df.join(big, keys, "left_semi"), keys, cols), [*keys, "measure"], [q],
-                      buckets, accuracy)
-    # groups whose values are all NULL have no ranks but keep their row
-    return small.unionByName(big.join(_wide(ranked, keys, cols, suffix), keys, "left").select(*small.columns))
+        return plain(df)
+    groups = [F.col(f"`{k}`") for k in keys] or [F.lit(0)]  # names of its own, which clash with no key
+    cells = df.select(*[g.alias(f"_g{i}") for i, g in enumerate(groups)],
+                      *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    ids = [f"_g{i}" for i in range(len(groups))]
+    big = cut_lineage(cells.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows).select(*ids))
+    n = big.count()
+    if not n:
+        return plain(df)
+    found = _Selection(cells, ids, len(cols), q, buckets, bucket_rows, accuracy, big, n).run()
+    out = found.select(*[F.col(g).alias(k) for g, k in zip(ids, keys)],
+                       *[F.col(f"q{i}").alias(f"{c}{suffix}") for i, c in enumerate(cols)])
+    return plain(_matched(df, big, keys, n, "left_anti")).unionByName(out) if keys else out
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q: float,
@@ -76,43 +81,129 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], q:
     return wide.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(cols)}, {stack}) AS (measure, value)")
 
 
-def _long(df: DataFrame, keys: list[str], cols: Sequence[str]) -> DataFrame:
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v"))
-                                for c in cols])).alias("_e")
-    return df.select(*keys, cells).select(*keys, "_e.measure", "_e.v").filter(F.col("v").isNotNull())
-
-
-def _wide(long: DataFrame, keys: list[str], cols: Sequence[str], suffix: str) -> DataFrame:
-    w = long.groupBy(*keys).pivot("measure", list(cols)).agg(F.first("value"))
-    return w.select(*keys, *[F.col(c).alias(f"{c}{suffix}") for c in cols])
-
-
-def _by_rank(long: DataFrame, g: list[str], qs: list[float], buckets: int, accuracy: int) -> DataFrame:
-    distinct = long.groupBy(*g, "v").agg(F.count(F.lit(1)).alias("c"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = distinct.groupBy(*g).agg(
-        F.percentile_approx("v", F.array(*[F.lit(x) for x in cuts]), accuracy).alias("_bd"),
-        F.sum("c").alias("n"))
-    tagged = distinct.join(bounds, g).select(*g, "v", "c", "n", F.size(F.filter("_bd", lambda b: b < F.col("v"))).alias("_b"))
-    # the split comes from a sketch: fix it before two branches read it
-    tagged = cut_lineage(tagged)
-    tot = tagged.groupBy(*g, "_b").agg(F.sum("c").alias("_bc"))
-    before = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_off", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-    run = Window.partitionBy(*g, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (tagged.join(tot.select(*g, "_b", "_off"), [*g, "_b"])
-                    .withColumn("_end", F.col("_off") + F.sum("c").over(run))
-                    .withColumn("_start", F.col("_end") - F.col("c")))
-    qarr = F.explode(F.array(*[F.lit(q) for q in qs])).alias("q")
-    picks = ranked.select(*g, "v", "n", "_start", "_end", qarr)
-    h = (F.col("n") - F.lit(1)).cast("double") * F.col("q")
-    lo, hi = F.floor(h), F.ceil(h)
-    picks = picks.withColumns({"_h": h, "_lo": lo, "_hi": hi})
-    within = lambda p: (F.col("_start") <= p) & (p < F.col("_end"))
-    agg = picks.groupBy(*g, "q").agg(
-        F.max(F.when(within(F.col("_lo")), F.col("v"))).alias("_vlo"),
-        F.max(F.when(within(F.col("_hi")), F.col("v"))).alias("_vhi"),
-        F.first("_h").alias("_h"), F.first("_lo").alias("_l"), F.first("_hi").alias("_u"))
-    value = F.when(F.col("_l") == F.col("_u"), F.col("_vlo")).otherwise(
-        (F.col("_u") - F.col("_h")) * F.col("_vlo") + (F.col("_h") - F.col("_l")) * F.col("_vhi"))
-    return agg.select(*g, value.alias("value"))
+def _matched(left: DataFrame, right: DataFrame, keys: list[str], groups: int, how: str) -> DataFrame:
+    """Equi-join that also matches null keys; ``right`` has one row for each of ``groups``."""
+    named = right.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(right.columns[:len(keys)])})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    side = F.broadcast(named) if groups <= BROADCAST_GROUPS else named
+    return left.join(side, on, how).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+class _Selection:
+    """Ranks of every (group, measure).  State columns of measure i: ``n`` values, ``lo`` and ``hi``
+    the ranks, ``lov`` and ``hiv`` their values once found, ``a`` and ``b`` the open interval that
+    holds the others (null: no bound), ``under`` the values not above ``a``, ``mid`` those inside."""
+
+    def __init__(self, cells: DataFrame, keys: list[str], width: int, q: float, buckets: int, most: int,
+                 accuracy: int, big: DataFrame, groups: int):
+        self.keys, self.width, self.q, self.groups = keys, width, q, groups
+        self.buckets, self.most, self.accuracy = max(2, buckets), max(1, most), accuracy
+        # read twice a round
+        self.cells = cut_lineage(_matched(cells, big, keys, groups, "left_semi"))
+
+    def each(self, make) -> dict[str, Column]:
+        return {f"{name}{i}": c for i in range(self.width) for name, c in make(i).items()}
+
+    def with_state(self, state: DataFrame, names: Sequence[str]) -> DataFrame:
+        cols = [f"{n}{i}" for i in range(self.width) for n in names]
+        return _matched(self.cells, state.select(*self.keys, *cols), self.keys, self.groups, "inner")
+
+    def gathered(self, cells: DataFrame, make) -> DataFrame:
+        return cells.groupBy(*self.keys).agg(*[c.alias(n) for n, c in self.each(make).items()])
+
+    def joined(self, state: DataFrame, more: DataFrame) -> DataFrame:
+        return _matched(state, more, self.keys, self.groups, "inner")
+
+    @staticmethod
+    def inside(i: int) -> Column:
+        v, a, b = (F.col(f"{c}{i}") for c in "vab")
+        return v.isNotNull() & ~F.isnan(v) & F.coalesce(v > a, F.lit(True)) & F.coalesce(v < b, F.lit(True)) & (F.col(f"mid{i}") > 0)
+
+    def start(self) -> DataFrame:
+        sizes = self.gathered(self.cells, lambda i: {"n": F.count(f"v{i}"), "nan": F.count(F.when(F.isnan(f"v{i}"), 1))})
+
+        def ranks(i: int) -> dict[str, Column]:
+            h = (F.col(f"n{i}") - 1) * F.lit(self.q)
+            return {"h": h, "lo": F.floor(h), "hi": F.ceil(h)}
+
+        def state(i: int) -> dict[str, Column]:
+            real, none = F.col(f"n{i}") - F.col(f"nan{i}"), F.lit(None).cast("double")
+            value = lambda rank: F.when((F.col(f"n{i}") > 0) & (F.col(f"{rank}{i}") >= real), F.lit(NAN))  # noqa: E731  NaN sorts last
+            return {"lov": value("lo"), "hiv": value("hi"), "a": none, "b": none, "under": F.lit(0).cast("long"),
+                    "mid": F.when(F.col(f"lo{i}") < real, real).otherwise(0).cast("long")}
+
+        return cut_lineage(sizes.withColumns(self.each(ranks)).withColumns(self.each(state)))
+
+    def enclosed(self, state: DataFrame) -> DataFrame:
+        """``x`` and ``y``: two values of the interval that should enclose the ranks."""
+        grid = F.array(*[F.lit(j / self.buckets) for j in range(self.buckets + 1)])
+        wide = self.with_state(state, ("a", "b", "mid"))
+        grids = self.gathered(wide, lambda i: {"g": F.percentile_approx(F.when(self.inside(i), F.col(f"v{i}")), grid, self.accuracy)})
+
+        def pick(i: int) -> dict[str, Column]:
+            low, high = F.coalesce(F.col(f"lov{i}").isNull().cast("int"), F.lit(0)), F.col(f"hiv{i}").isNull()
+            first = F.when(low == 1, F.col(f"lo{i}")).otherwise(F.col(f"hi{i}")) - F.col(f"under{i}")
+            last = F.when(high, F.col(f"hi{i}")).otherwise(F.col(f"lo{i}")) - F.col(f"under{i}")
+            share = lambda rank: rank * self.buckets / F.greatest(F.col(f"mid{i}"), F.lit(1))
+            return {"x": F.get(f"g{i}", F.greatest(F.floor(share(first)), F.lit(0)).cast("int")),
+                    "y": F.get(f"g{i}", F.least(F.ceil(share(last + 1)), F.lit(self.buckets)).cast("int"))}
+
+        return cut_lineage(self.joined(state, grids).withColumns(self.each(pick)).drop(*[f"g{i}" for i in range(self.width)]))
+
+    def refined(self, state: DataFrame) -> DataFrame:
+        state = self.enclosed(state)
+        wide = self.with_state(state, ("a", "b", "mid", "x", "y"))
+
+        def zones(i: int) -> dict[str, Column]:
+            v, x, y, here = F.col(f"v{i}"), F.col(f"x{i}"), F.col(f"y{i}"), self.inside(i)
+            return {"c1": F.count_if(here & (v < x)), "c2": F.count_if(here & (v == x)),
+                    "c3": F.count_if(here & (v > x) & (v < y)), "c4": F.count_if(here & (v == y) & (x < y)),
+                    "c5": F.count_if(here & (v > y))}
+
+        counted = self.joined(state, self.gathered(wide, zones))
+
+        def after(i: int) -> dict[str, Column]:
+            """Ranks at which each zone ends."""
+            out, end = {}, F.col(f"under{i}")
+            for z in ("c1", "c2", "c3", "c4", "c5"):
+                end = end + F.col(f"{z}{i}")
+                out[f"e{z[1]}"] = end
+            return out
+
+        def moved(i: int) -> dict[str, Column]:
+            e1, e2, e3, e4, e5 = (F.col(f"e{z}{i}") for z in range(1, 6))
+            x, y, under, busy = F.col(f"x{i}"), F.col(f"y{i}"), F.col(f"under{i}"), F.col(f"mid{i}") > 0
+
+            def value(rank: str) -> Column:
+                r = F.col(f"{rank}{i}")
+                return F.coalesce(F.col(f"{rank}v{i}"), F.when(busy & (r >= e1) & (r < e2), x),
+                                  F.when(busy & (r >= e3) & (r < e4), y))
+
+            lov, hiv = value("lo"), value("hi")
+            rank = F.when(lov.isNull(), F.col(f"lo{i}")).when(hiv.isNull(), F.col(f"hi{i}"))  # what is still sought
+            zone = lambda one, three, five: F.when(rank < e1, one).when(rank < e3, three).otherwise(five)
+            return {"lov": lov, "hiv": hiv, "a": zone(F.col(f"a{i}"), x, y), "b": zone(x, y, F.col(f"b{i}")),
+                    "under": zone(under, e2, e4),
+                    "mid": F.when(busy & rank.isNotNull(), zone(e1 - under, e3 - e2, e5 - e4)).otherwise(0).cast("long")}
+
+        spent = [f"{c}{i}" for i in range(self.width) for c in ("x", "y", *[f"{z}{k}" for z in "ce" for k in range(1, 6)])]
+        return cut_lineage(counted.withColumns(self.each(after)).withColumns(self.each(moved)).drop(*spent))
+
+    def run(self) -> DataFrame:
+        state = self.start()
+        largest = F.max(F.greatest(F.lit(0), *[F.col(f"mid{i}") for i in range(self.width)]))
+        while (state.agg(largest).first()[0] or 0) > self.most:
+            state = self.refined(state)
+        rest = self.gathered(self.with_state(state, ("a", "b", "mid")),
+                             lambda i: {"s": F.sort_array(F.collect_list(F.when(self.inside(i), F.col(f"v{i}"))))})
+
+        def value(i: int) -> dict[str, Column]:
+            at = lambda rank: F.coalesce(F.col(f"{rank}v{i}"), F.get(
+                f"s{i}", (F.col(f"{rank}{i}") - F.col(f"under{i}")).cast("int")))
+            h, low, high = F.col(f"h{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")
+            return {"q": F.when(low == high, at("lo")).otherwise((high - h) * at("lo") + (h - low) * at("hi"))}
+
+        return self.joined(state, rest).withColumns(self.each(value)).select(
+            *self.keys, *[f"q{i}" for i in range(self.width)])

@@ -49,6 +49,22 @@ def prioritize(candidates: DataFrame, n: int = DEFAULT_TOP_N, key: str = "server
     return rank_enumerate(top_n(scored, order, n), order)
 
 
+def prioritize_scored(scored: DataFrame, anomaly_threshold: float, n: int = DEFAULT_TOP_N, key: str = "server_id",
+                      date: str = "date") -> DataFrame:
+    """The response of a prioritisation from three models (R5, J9): rows that carry
+    incident_probability, anomaly_score, segment_cluster and segment_profile beside the inputs of
+    the business value.  Ties in priority go to the smaller key; a negative ``n`` or no rows give none."""
+    value = R.business_value("monthly_spend_eur", "support_plan", "has_gpu", "is_managed", "capacity_used_pct")
+    rows = scored.select(
+        key, date, F.col("incident_probability"), value.alias("business_value"), "anomaly_score",
+        (F.col("anomaly_score") >= F.lit(anomaly_threshold)).alias("is_anomaly"),
+        R.anomaly_multiplier("anomaly_score", anomaly_threshold).alias("anomaly_context_multiplier"),
+        "segment_cluster", "segment_profile", R.segment_multiplier("segment_profile").alias("segmentation_context_multiplier"))
+    rows = rows.withColumn("priority_score", F.col("incident_probability") * F.col("business_value"))
+    order = [F.col("priority_score").desc(), F.col(key).asc()]
+    return rank_enumerate(top_n(rows, order, n), order)
+
+
 def latest_rows(df: DataFrame, n: int, date_col: str = "date",
                 tiebreak: Sequence[str] = ("server_id",)) -> DataFrame:
     """The n most recent rows, ties by the tiebreak columns."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import clustering as CL
 from fleetlens.operators import features as FT
 from fleetlens.operators.joins import profile_lookup
+from fleetlens.operators.silhouette import silhouette_euclidean
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.queries_features import server_features_cte
@@ -101,6 +102,19 @@ def v10_silhouette_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CL.silhouette_sq(em, "embedding", "cluster").select(half_away_round(F.col("silhouette"), 4).alias("silhouette"))
 
 
+@register("v10_silhouette_euclidean", sql_with([], f"""
+, EMV AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label AS cluster FROM embeddings),
+PD AS (SELECT p.vec_id, p.cluster AS own, q.cluster, SUM(list_distance(p.x, q.x)) AS d, COUNT(*) AS n
+       FROM EMV p, EMV q GROUP BY p.vec_id, p.cluster, q.cluster),
+AB AS (SELECT vec_id, MAX(CASE WHEN cluster = own THEN n END) AS n,
+              MAX(CASE WHEN cluster = own THEN d / GREATEST(n - 1, 1) END) AS a, MIN(CASE WHEN cluster <> own THEN d / n END) AS b
+       FROM PD GROUP BY vec_id)
+SELECT {r('AVG(CASE WHEN n <= 1 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END)', 5)} AS silhouette FROM AB"""))
+def v10_silhouette_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    em = A.vectors(Tables(spark, sf_dir))
+    return silhouette_euclidean(em, "embedding", "cluster").select(half_away_round(F.col("silhouette"), 5).alias("silhouette"))
+
+
 @register("v11_v13_cluster_indices", sql_with([], EMV_SQL + f"""
 , CEN AS (SELECT cluster, pos, s / (SELECT n FROM CN WHERE CN.cluster = CS.cluster) AS c FROM CS),
 DPT AS (SELECT PX.vec_id, PX.cluster, SQRT(SUM((PX.v - CEN.c) * (PX.v - CEN.c))) AS d

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import rules as R
-from fleetlens.operators import explain as X
+from fleetlens.operators import completion as CP
+from fleetlens.operators import rowexplain as RX
 from fleetlens.operators import windows as W
+from fleetlens.operators.features import mode_per_group
 from fleetlens.operators.metrics import regression_metrics
 from fleetlens.operators.quantiles import quantile_columns
 from fleetlens.plans import analogs as A
@@ -60,8 +62,13 @@ FROM RK WHERE rank <= {top_n}"""
 @register("r6_zero_perturbation", sql_with(["U"], _explain_sql({f: "0.0" for f in FEATS}, False,
                                                               "permutation_fallback", False)))
 def r6_zero_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = A.usage(Tables(spark, sf_dir))
-    return X.perturbation_explain(u, ["event_id"], FEATS, X.linear_scorer(WEIGHTS, BIAS))
+    return RX.one_row_each(_zero_explained(A.usage(Tables(spark, sf_dir))), ["event_id"])
+
+
+def _zero_explained(u: DataFrame) -> DataFrame:
+    """Every measure set to 0 in turn, inside the row."""
+    factors = [RX.Factor(f, 0.0) for f in FEATS]
+    return RX.explained(RX.column_scores(u, factors, RX.linear(WEIGHTS, BIAS)), factors)
 
 
 def _medians(u: DataFrame) -> dict:
@@ -77,8 +84,69 @@ MED_SQL = f", MED AS (SELECT {', '.join(f'QUANTILE_CONT(CAST({f} AS DOUBLE), 0.5
     {f: f"(SELECT m_{f} FROM MED)" for f in FEATS}, True, "reference_perturbation", True)))
 def r7_reference_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = A.usage(Tables(spark, sf_dir))
-    return X.perturbation_explain(u, ["event_id"], FEATS, X.linear_scorer(WEIGHTS, BIAS), reference=_medians(u),
-                                  positive_only=True, method="reference_perturbation", numeric_direction=True)
+    factors = [RX.Factor(f, m) for f, m in _medians(u).items()]
+    scored = RX.column_scores(u, factors, RX.linear(WEIGHTS, BIAS))
+    return RX.one_row_each(RX.explained(scored, factors, positive_only=True, value_directions=True,
+                                        method="reference_perturbation"), ["event_id"])
+
+
+# Fixed values of the driver-table scorer: weights of the one categorical input.
+EVENT_WEIGHTS = {"error": 0.3, "click": 0.04, "purchase": -0.02}
+
+
+def _mixed_explained(u: DataFrame) -> DataFrame:
+    """Numeric measures against their training medians and the event type against its training
+    mode, all inside the row; only factors that raise the score (R7 over both kinds)."""
+    train = u.where(F.col("date") < F.to_date(F.lit(SPLIT_DATE)))
+    usual = mode_per_group(train.withColumn("_all", F.lit(0)), "_all", "event_type").first()["event_type_mode"]
+    factors = [*[RX.Factor(f, m) for f, m in _medians(u).items()], RX.Factor("event_type", usual, RX.CATEGORY)]
+    scored = RX.column_scores(u, factors, RX.linear({**WEIGHTS, "event_type": EVENT_WEIGHTS}, BIAS))
+    return RX.explained(scored, factors, positive_only=True, value_directions=True, method="reference_perturbation")
+
+
+def _mixed_sql() -> str:
+    """EX: the ranked factors of both kinds."""
+    def total(sub: dict[str, str]) -> str:
+        event = sub.get("event_type", "event_type")
+        cases = " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in EVENT_WEIGHTS.items())
+        return f"({_score_sql(sub)} + (CASE {event} {cases} ELSE 0.0::DOUBLE END))"
+
+    refs = {f: f"(SELECT m_{f} FROM MED)" for f in FEATS}
+    usual = "(SELECT event_type FROM USUAL)"
+    parts = [f"""SELECT event_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS number, CAST({refs[f]} AS DOUBLE) AS reference_number,
+        NULL::VARCHAR AS category, NULL::VARCHAR AS usual, {total({})} - {total({f: refs[f]})} AS impact FROM U""" for f in FEATS]
+    parts.append(f"""SELECT event_id, 'event_type', NULL::DOUBLE, NULL::DOUBLE, event_type, {usual},
+        {total({})} - {total({"event_type": usual})} FROM U""")
+    return MED_SQL + f""", USUAL AS (SELECT event_type FROM U WHERE date < DATE '{SPLIT_DATE}' GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1),
+IM AS ({' UNION ALL '.join(parts)}),
+EX AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY impact DESC, feature) AS rank FROM IM WHERE impact > 0)
+"""
+
+
+@register("r7_mixed_factors", sql_with(["U"], _mixed_sql() + f"""
+SELECT event_id, rank, feature, {LABEL_SQL} AS label, {r('number')} AS number, {r('reference_number')} AS reference_number,
+  category, usual, {r('impact')} AS impact,
+  CASE WHEN category = usual THEN 'usual_category' WHEN category IS NOT NULL THEN 'unusual_category'
+       WHEN number > reference_number THEN 'above_normal' WHEN number < reference_number THEN 'below_normal'
+       ELSE 'near_normal' END AS direction
+FROM EX WHERE rank <= 5"""))
+def r7_mixed_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _mixed_explained(A.usage(Tables(spark, sf_dir)))
+    e = top.select("event_id", F.posexplode("top_explanations").alias("_p", "_e"))
+    kind = lambda c: F.when(F.col("_e.number").isNull(), F.col(c))
+    return e.select("event_id", (F.col("_p") + 1).alias("rank"), "_e.feature", "_e.label", "_e.number", "_e.reference_number",
+                    kind("_e.value").alias("category"), kind("_e.reference").alias("usual"), "_e.impact", "_e.direction")
+
+
+@register("b28_anomaly_sentence", sql_with(["U"], _mixed_sql() + f"""
+, LB AS (SELECT event_id, string_agg({LABEL_SQL}, ', ' ORDER BY rank) AS drivers FROM EX WHERE rank <= 3 GROUP BY event_id)
+SELECT U.event_id, CASE WHEN drivers IS NULL
+  THEN 'No single feature dominates this anomaly score; the alert comes from the combined server profile.'
+  ELSE 'This server is flagged mainly because these signals differ from normal behavior: ' || drivers || '.' END AS human_explanation
+FROM U LEFT JOIN LB ON U.event_id = LB.event_id"""))
+def b28_anomaly_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _mixed_explained(A.usage(Tables(spark, sf_dir)))
+    return top.select("event_id", R.anomaly_sentence(RX.labels()).alias("human_explanation"))
 
 
 @register("b28_incident_sentence", sql_with(["U"], _explain_sql({f: "0.0" for f in FEATS}, False,
@@ -92,13 +160,9 @@ SELECT PB.event_id, {r('PB.probability')} AS probability,
                    PB.probability * 100.0, LB.drivers) END AS human_explanation
 FROM PB LEFT JOIN LB ON PB.event_id = LB.event_id"""))
 def b28_incident_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = A.usage(Tables(spark, sf_dir))
-    ex = X.perturbation_explain(u, ["event_id"], FEATS, X.linear_scorer(WEIGHTS, BIAS))
-    labels = X.top_labels(ex, ["event_id"], 3)
-    prob = X.linear_scorer(WEIGHTS, BIAS)(u).select(
-        "event_id", F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)).alias("probability"))
-    j = prob.join(labels, "event_id", "left")
-    return j.select("event_id", "probability", R.incident_sentence("labels", "probability").alias("human_explanation"))
+    top = _zero_explained(A.usage(Tables(spark, sf_dir))).withColumn(
+        "probability", F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))
+    return top.select("event_id", "probability", R.incident_sentence(RX.labels(), "probability").alias("human_explanation"))
 
 
 # --- B29 fingerprint -----------------------------------------------------------------------------
@@ -148,6 +212,79 @@ def b16_complete_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.greatest(F.coalesce(F.col("agg_incident_count"), F.lit(1)), F.lit(1)).alias("observation_count"))
 
 
+# --- B16 the whole server profile, with nulls in every position ------------------------------------
+def _partial_inputs() -> dict[str, str]:
+    """Each input column of the profile from an event, null for every seventh to eleventh of them."""
+    out = {}
+    for i, name in enumerate(CP.server_profile_spec()):
+        if i % 4 == 3:
+            continue  # a column that the caller never gives
+        given = f"(k + {i}) % 12" if name == "observation_count" else f"(value * {i + 1}.0) % 90.0"
+        out[name] = f"CASE WHEN event_id % {7 + i % 5} = {i % 7} THEN NULL ELSE {given} END"
+    return out
+
+
+def _completed_sql() -> str:
+    ctes, known = [], {}
+    raw = ", ".join(f"CAST({e} AS {'INTEGER' if n == 'observation_count' else 'DOUBLE'}) AS {n}" for n, e in _partial_inputs().items())
+    ctes.append(f"L0 AS (SELECT event_id, {raw} FROM E)")
+    given = set(_partial_inputs())
+    spec = dict(CP.server_profile_spec())
+    for i, level in enumerate(CP.dependency_levels(spec), start=1):
+        cols = []
+        for n in level:
+            if n == "observation_count":
+                cols.append("CAST(GREATEST(COALESCE(observation_count, 1), 1) AS DOUBLE) AS observation_count")
+            else:
+                cols.append(f"CAST(COALESCE({n + ', ' if n in given else ''}{spec[n]}) AS DOUBLE) AS {n}")
+        rest = [n for n in {**{g: 0 for g in given}, **known} if n not in level]
+        ctes.append(f"L{i} AS (SELECT event_id, {', '.join([*cols, *rest])} FROM L{i - 1})")
+        known.update({n: 0 for n in level})
+    return ",\n".join(["", *ctes]) + "\nSELECT event_id, " + ", ".join(f"{r(n)} AS {n}" for n in spec) + f" FROM L{i}"
+
+
+@register("b16_server_profile", sql_with(["E"], _completed_sql()))
+def b16_server_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of the profile from partial inputs, computed fallbacks in dependency order."""
+    e = A.observations(Tables(spark, sf_dir))
+    given = e.select("event_id", *[F.expr(x).cast("int" if n == "observation_count" else "double").alias(n)
+                                   for n, x in _partial_inputs().items()])
+    return CP.complete_server_profile(given).select("event_id", *CP.server_profile_spec())
+
+
+# --- B17 all five measures, B15 with the caller's calendar ------------------------------------------
+def _forecast_sql() -> str:
+    cols = []
+    for m in CP.FORECAST_MEASURES:
+        x = f"CAST({m} AS DOUBLE)"
+        past = {"lag1": f"LAG({x}, 1) OVER w", "lag7": f"LAG({x}, 7) OVER w", "diff1": f"{x} - LAG({x}, 1) OVER w",
+                "rolling_mean_3": f"AVG({x}) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)",
+                "rolling_mean_7": f"AVG({x}) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
+                "rolling_std_7": f"STDDEV_SAMP({x}) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
+                "rolling_max_7": f"MAX({x}) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"}
+        cols += [f"{r(f'COALESCE({e}, ' + ('0.0' if a in ('diff1', 'rolling_std_7') else x) + ')')} AS {m}_{a}" for a, e in past.items()]
+    return f"""
+SELECT region, CAST(date AS VARCHAR) AS date, {', '.join(cols)},
+  {r('(capacity_used_pct + network_latency_ms + avg_rack_temperature_c) / 3')} AS infra_pressure,
+  {r('scheduled_maintenance * network_latency_ms')} AS maintenance_latency_interaction,
+  {r('capacity_used_pct * power_usage_mw')} AS capacity_power_interaction,
+  CASE WHEN day(date) % 3 = 0 THEN 9 ELSE CAST(isodow(date) - 1 AS INTEGER) END AS day_of_week,
+  CAST(day(date) AS INTEGER) AS day_of_month, CAST(date_diff('day', DATE '2024-01-01', date) AS INTEGER) AS days_since_start
+FROM GP WINDOW w AS (PARTITION BY region ORDER BY date)"""
+
+
+@register("b17_forecast_completion", sql_with(["GP"], _forecast_sql()))
+def b17_forecast_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five measures' history with the point-in-time fallback, the interactions, and calendar
+    columns of which the caller gave some (every third day a value of its own)."""
+    gp = A.group_day(Tables(spark, sf_dir)).withColumn("support_tickets", F.col("support_tickets").cast("double"))
+    h = W.history_features(gp, "region", ["date"], list(CP.FORECAST_MEASURES), lags=(1, 7), mean_windows=(3, 7), std_window=7, max_window=7)
+    h = h.withColumn("day_of_week", F.when(F.day("date") % 3 == 0, F.lit(9)))
+    out = CP.complete(CP.complete(h, CP.forecast_spec()), CP.calendar_spec("date", "2024-01-01"), "int")
+    names = [*CP.forecast_spec(), *CP.calendar_spec("date", "2024-01-01")]
+    return out.select("region", "date", *names)
+
+
 # --- B17 forecast features with point-in-time fallback -------------------------------------------
 @register("b17_forecast_fallback", sql_with(["GP"], f"""
 , H AS (SELECT region, date, CAST(support_tickets AS DOUBLE) AS v,

@@ -3,6 +3,8 @@ windows and joins (A1, A5, A6, B2-B15, G1-G12, E1-E6, J1-J7)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from fleetlens.operators.splits import temporal_split
 from fleetlens.plans import analogs as A
 from fleetlens.plans.oracle_views import sql_with
 from fleetlens.plans.base import r, register
+from fleetlens.session import checkpoint_dir
+from fleetlens.sources import io as IO
 from fleetlens.sources.requests import parse_requests
 from fleetlens.sources.tables import Tables
 
@@ -98,6 +102,18 @@ def b9_b15_observation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("event_id", "server_id", *[v.alias(k) for k, v in cols.items()])
 
 
+# --- A1 strict CSV scan, A2 sink -------------------------------------------------------------------
+@register("a1_a2_csv_scan", sql_with(["E"], """
+SELECT event_id, server_id, CAST(date AS VARCHAR) AS date, event_type, ROUND(value, 6) AS value, k FROM E"""))
+def a1_a2_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations written as CSV files partitioned by type, then read back with an explicit schema
+    in which a malformed row ends the job."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-csv-{uuid.uuid4().hex}"
+    e = A.observations(Tables(spark, sf_dir)).select("event_id", "server_id", "date", "event_type", "value", "k")
+    IO.write_table(e, path, "csv", partition_by=["event_type"])
+    return IO.read_table(spark, path, "event_id long, server_id long, date date, value double, k int, event_type string", "csv")
+
+
 # --- B25 business value ------------------------------------------------------------
 def _bv_sql():
     from fleetlens.plans.queries_core import BV_SQL
@@ -265,6 +281,44 @@ def g8_alt_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FT.alt_profile(u, "server_id", ["cpu_util_pct", "net_in_gb"], ["event_type"])
 
 
+# --- G8 + J10 + B10: the whole experiment profile -------------------------------------------------
+EXPERIMENT_FIRSTS = ("has_gpu", "is_managed", "monthly_spend_eur")
+EXPERIMENT_CATEGORIES = ("region", "country", "segment", "support_plan", "event_type")
+
+
+def _experiment_sql() -> str:
+    agg = {"mean": "AVG", "max": "MAX", "min": "MIN", "std": "STDDEV_SAMP", "sum": "SUM"}
+    cols = [f"COALESCE({agg[a]}(CAST({m} AS DOUBLE)), 0) AS {m}_{a}" for m, names in FT.EXPERIMENT_AGGREGATES.items() for a in names]
+    firsts = [f"COALESCE(ARG_MIN({c}, (date, event_id)), 0) AS {c}_first" for c in EXPERIMENT_FIRSTS]
+    modes = [f"""(SELECT server_id, {c} FROM (SELECT server_id, {c}, ROW_NUMBER() OVER (PARTITION BY server_id ORDER BY COUNT(*) DESC, {c}) AS rn
+                  FROM FA WHERE {c} IS NOT NULL GROUP BY server_id, {c}) WHERE rn = 1) AS M_{c}""" for c in EXPERIMENT_CATEGORIES]
+    joins = " ".join(f"LEFT JOIN {m} ON M_{c}.server_id = N.server_id" for c, m in zip(EXPERIMENT_CATEGORIES, modes))
+    names = [f"{m}_{a}" for m, group in FT.EXPERIMENT_AGGREGATES.items() for a in group]
+    return f"""
+, FA AS (SELECT U.* EXCLUDE (capacity_used_pct), GP.scheduled_maintenance, GP.avg_rack_temperature_c, GP.power_usage_mw,
+                GP.network_latency_ms, GP.capacity_used_pct, S.region, S.country, S.segment, S.support_plan, S.has_gpu, S.is_managed, S.monthly_spend_eur
+         FROM U LEFT JOIN GP ON U.event_type = GP.region AND U.date = GP.date LEFT JOIN SRV S ON U.server_id = S.server_id),
+N AS (SELECT server_id, {', '.join([*cols, *firsts])}, COUNT(date) AS observation_count FROM FA GROUP BY server_id)
+SELECT N.server_id, {', '.join(f'{r(n)} AS {n}' for n in names)}, {', '.join(f'{c}_first' for c in EXPERIMENT_FIRSTS)}, observation_count,
+  {', '.join(f'M_{c}.{c}' for c in EXPERIMENT_CATEGORIES)},
+  {r('(cpu_util_pct_mean + ram_util_pct_mean + disk_util_pct_mean + capacity_used_pct_mean) / 4')} AS utilization_pressure_mean,
+  {r('net_in_gb_sum + net_out_gb_sum')} AS network_total_gb_sum, {r('temperature_c_mean * cpu_util_pct_mean / 100')} AS thermal_cpu_pressure,
+  {r('1 - backup_success_mean')} AS backup_failure_rate
+FROM N {joins}"""
+
+
+@register("g8_j10_experiment_profile", sql_with(["U", "GP", "SRV"], _experiment_sql()))
+def g8_j10_experiment_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage days with the metrics of their group and the attributes of their server, as the
+    experiment's server table."""
+    t = Tables(spark, sf_dir)
+    gp = A.group_day(t).select(F.col("region").alias("event_type"), "date", "scheduled_maintenance", "avg_rack_temperature_c",
+                               "power_usage_mw", "network_latency_ms", "capacity_used_pct")
+    srv = A.servers(t).drop("customer_id", "capacity_used_pct")
+    fact = A.usage(t).drop("capacity_used_pct").join(gp, ["event_type", "date"], "left").join(srv, "server_id", "left")
+    return FT.experiment_profile(fact, "server_id", EXPERIMENT_FIRSTS, EXPERIMENT_CATEGORIES)
+
+
 # --- G9 mode per group ----------------------------------------------------------------------
 @register("g9_mode_per_group", sql_with(["E"], """
 , C AS (SELECT server_id, event_type, COUNT(*) AS n FROM E GROUP BY server_id, event_type),

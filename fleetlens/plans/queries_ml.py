@@ -18,9 +18,11 @@ from fleetlens.operators import features as FT
 from fleetlens.operators import joins as J
 from fleetlens.operators import metrics as M
 from fleetlens.operators import models as MD
+from fleetlens.operators import search as SE
 from fleetlens.operators import splits as SP
 from fleetlens.operators import transforms as TR
 from fleetlens.operators import windows as W
+from fleetlens.operators.extratrees import ExtraTrees
 from fleetlens.operators.iforest import iforest_fit, iforest_score
 from fleetlens.operators.lof import lof_fit, lof_scores
 from fleetlens.plans import analogs as A
@@ -99,14 +101,6 @@ def m1_m5_model_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.leaderboard(rows, "average_precision", "roc_auc", secondary_desc=True)
 
 
-@register("m13_random_search")
-def m13_random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, _, _ = _prepared(spark, sf_dir)
-    blocks = SP.time_blocks(train, "date", 2)
-    space = {"maxIter": [10, 20], "maxDepth": [2, 3, 4], "stepSize": [0.05, 0.1]}
-    return MD.random_search(spark, "gradient_boosting", blocks, space, n_iter=2, n_folds=2)
-
-
 # ---------------------------------------------------------------------------
 # segmentation
 # ---------------------------------------------------------------------------
@@ -143,40 +137,27 @@ def m9_m14_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("m10_gmm_criteria")
 def m10_gmm_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaussian mixtures for k = 3..8 (M10, M14), restarted, with likelihood, BIC and AIC (V13) and
+    the silhouette; smallest BIC first."""
     _, x = _segmentation_input(spark, sf_dir)
     n = x.count()
-    out = []
-    for k in (3, 5):
-        g = MD.gaussian_mixture(k).fit(x)
+
+    def one(k: int) -> tuple:
+        g = MD.Restarted(lambda seed: MD.gaussian_mixture(k, max_iter=100, seed=seed), 2).fit(x)
         c = MD.mixture_criteria(g, n)
-        out.append((k, float(c["bic"]), float(c["aic"]), float(c["log_likelihood"])))
-    return spark.createDataFrame(out, "k int, bic double, aic double, log_likelihood double")
-
-
-@register("r3_segmentation_scoring")
-def r3_segmentation_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K-means (k=5, restarts) assignments + named profiles (R10/J8) + mixture
-    membership probabilities as a map (R3)."""
-    ft, x = _segmentation_input(spark, sf_dir)
-    km = MD.kmeans_restarts(x, 5, restarts=2)
-    assign = km.transform(x).select("server_id", "features", F.col("prediction").alias("cluster"))
-    prof = CL.cluster_profile(assign.join(ft, "server_id"))
-    names = CL.name_profiles(prof)
-    g = MD.gaussian_mixture(5).fit(x)
-    probs = g.transform(x).select("server_id", vector_to_array("probability").alias("_p"))
-    out = J.profile_lookup(assign, names, "cluster").join(probs, "server_id")
-    return out.select("server_id", "cluster", "profile_name", "profile_driver",
-                      F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: i.cast("string")),
-                                        "_p").alias("probabilities"))
+        return k, float(c["bic"]), float(c["aic"]), float(c["log_likelihood"]), SE.silhouette(g.transform(x))
+
+    rows = MD.run_parallel([lambda k=k: one(k) for k in range(3, 9)], parallelism=6)
+    return spark.createDataFrame(rows, "k int, bic double, aic double, log_likelihood double, silhouette double").orderBy("bic")
 
 
 @register("f9_f10_pca")
 def f9_f10_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PCA: smallest k reaching 90 % variance (F9) and the 2-D coordinates."""
+    """PCA: smallest k reaching 90 % and 95 % of the variance (F9) and the 2-D coordinates."""
     _, x = _segmentation_input(spark, sf_dir)
-    _, k90 = TR.pca_by_variance(x, 0.90)
+    (_, k90), (_, k95) = TR.pca_by_variance(x, 0.90), TR.pca_by_variance(x, 0.95)
     coords = TR.pca_coordinates(x.withColumn("cluster", F.col("segment")), "server_id", "cluster")
-    return coords.withColumn("k_for_90pct", F.lit(k90))
+    return coords.withColumns({"k_for_90pct": F.lit(k90), "k_for_95pct": F.lit(k95)})
 
 
 @register("f4_f8_encoding_selection")
@@ -198,28 +179,55 @@ def f4_f8_encoding_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # support forecast
 # ---------------------------------------------------------------------------
-@register("m8_r2_support_forecast")
-def m8_r2_support_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extra-trees substitute regressor on region-day history features (E1-E6,
-    B12, B15), temporal split; test predictions clipped/rounded with a
-    +-MAE range (R2, B19, B20)."""
+def _support_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region-day history, interactions, calendar and next-day label; the last day of a region keeps
+    its row, with a null label."""
     gp = A.group_day(Tables(spark, sf_dir)).withColumn("support_tickets", F.col("support_tickets").cast("double"))
     h = W.history_features(gp, "region", ["date"], ["support_tickets", "network_latency_ms", "capacity_used_pct"])
     h = h.withColumns(R.region_interactions("capacity_used_pct", "network_latency_ms", "avg_rack_temperature_c",
                                             "scheduled_maintenance", "power_usage_mw"))
-    h = h.withColumns(R.calendar("date", "2024-01-01"))
-    h = cut_lineage(W.lead_target(h, "region", ["date"], "support_tickets", "label"))
-    num, cat = TR.feature_columns(h, exclude=["label", "date"])
-    train, test = SP.temporal_split(h, "date", SPLIT_DATE)
+    h = cut_lineage(h.withColumns(R.calendar("date", "2024-01-01")))
+    labelled = W.lead_target(h, "region", ["date"], "support_tickets", "label").select("region", "date", "label")
+    return cut_lineage(h.join(labelled, ["region", "date"], "left"))
+
+
+def _support_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = _support_panel(spark, sf_dir)
+    num, cat = TR.feature_columns(panel, exclude=["label", "date"])
+    train, test = SP.temporal_split(panel, "date", SPLIT_DATE)
+    train = train.where(F.col("label").isNotNull())
     pre = TR.TabularPreprocessor(num, cat).fit(train)
-    model = MD.regressor("extra_trees", {"numTrees": 100}).fit(pre.transform(train))
+    model = ExtraTrees(n_trees=400, max_depth=5, feature_share=0.6, min_leaf=10).fit(pre.transform(train))
     pred = cut_lineage(model.transform(pre.transform(test)).select("region", "date", "label", "prediction"))
     clipped, rounded = R.clip_round("prediction")
     pred = pred.withColumn("prediction", clipped).withColumn("rounded_prediction", rounded)
-    mae = M.regression_metrics(pred, "label", "prediction").select("mae").scalar()
-    lo, hi = R.prediction_interval("prediction", mae)
+    # the error of the days whose label is known
+    mae = M.regression_metrics(pred.where(F.col("label").isNotNull()), "label", "prediction").select("mae").first()[0]
+    lo, hi = R.prediction_interval("prediction", F.lit(mae))
     return pred.select("region", "date", "label", "prediction", "rounded_prediction",
-                       lo.alias("expected_range_low"), hi.alias("expected_range_high"))
+                       lo.alias("expected_range_low"), hi.alias("expected_range_high"), F.lit(mae).alias("error_margin_mae"))
+
+
+@register("m8_r2_support_forecast")
+def m8_r2_support_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """400 extremely randomised trees on region-day history features (E1-E6, B12, B15), temporal
+    split; every test day forecast, the last one (without a label) too, clipped and rounded, with a
+    +-MAE range (R2, B19, B20)."""
+    return _support_forecast(spark, sf_dir)
+
+
+@register("m8_forecast_invariants", sql_with(["GP"], f"""
+SELECT COUNT(*) AS rows, COUNT(DISTINCT region) AS without_label, CAST(MAX(date) AS VARCHAR) AS last_day, 0 AS bad_predictions,
+       0 AS bad_rounding, 0 AS bad_ranges FROM GP WHERE date >= DATE '{SPLIT_DATE}'"""))
+def m8_forecast_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any forecast: every test day of every region, the unlabelled one too."""
+    s = _support_forecast(spark, sf_dir)
+    bad = lambda c: F.count_if(~F.coalesce(c, F.lit(False))).cast("int")
+    p, e = F.col("prediction"), F.col("error_margin_mae")
+    return s.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label").isNull()).alias("without_label"), F.max("date").alias("last_day"),
+                 bad(p >= 0).alias("bad_predictions"), bad(F.abs(F.col("rounded_prediction") - p) <= 0.5).alias("bad_rounding"),
+                 bad((F.abs(F.col("expected_range_high") - p - e) < 1e-9)
+                     & (F.abs(F.col("expected_range_low") - F.greatest(p - e, F.lit(0.0))) < 1e-9)).alias("bad_ranges"))
 
 
 # ---------------------------------------------------------------------------
@@ -227,6 +235,7 @@ def m8_r2_support_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 LOF_K_EMB = 10
 LOF_CONTAMINATION = 0.1
+MD_MAX_FIT = 30000  # fit rows of the deployed model, a parameter of it
 
 
 @register("m12_lof_embeddings", sql_with([], f"""
@@ -271,7 +280,7 @@ def m12_r4_anomaly_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     normal = train.filter(F.col("label") == 0)
     pre = TR.TabularPreprocessor(num).fit(normal)
     vec = lambda d: pre.transform(d).withColumn("x", vector_to_array("features"))
-    model = lof_fit(vec(normal), "x", k=35, contamination=cont, key="event_id")
+    model = lof_fit(vec(normal), "x", k=35, contamination=cont, max_fit_rows=MD_MAX_FIT, key="event_id")
     fit_scores = model.score(vec(SP.sample_n(normal, MD_MAX_FIT, "event_id")), "x", ["event_id"])
     thr = M.score_threshold(fit_scores, "anomaly_score", cont)
     scored = model.score(vec(test), "x", ["event_id"]).join(test.select("event_id", "date", "label"), "event_id")
@@ -281,9 +290,6 @@ def m12_r4_anomaly_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(thr).alias("threshold"))
 
 
-MD_MAX_FIT = 30000
-
-
 @register("m12_v14_lof_evaluation")
 def m12_v14_lof_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deployed anomaly model's report: LOF (k=35) fitted on <= 30,000
@@ -297,7 +303,7 @@ def m12_v14_lof_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pre = TR.TabularPreprocessor(num).fit(normal)
     vec = lambda d: pre.transform(d).withColumn("x", vector_to_array("features"))
     cont = M.contamination(train, "label")
-    model = lof_fit(vec(normal), "x", k=35, contamination=cont, key="event_id")
+    model = lof_fit(vec(normal), "x", k=35, contamination=cont, max_fit_rows=MD_MAX_FIT, key="event_id")
     fit_rows = SP.sample_n(normal, MD_MAX_FIT, "event_id")
     tr_scores = model.score(vec(fit_rows), "x", ["event_id"]).join(fit_rows.select("event_id", "label"), "event_id")
     te_scores = model.score(vec(test), "x", ["event_id"]).join(test.select("event_id", "label"), "event_id")
@@ -306,13 +312,41 @@ def m12_v14_lof_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 contamination_value=cont)
 
 
-@register("m11_isolation_forest")
-def m11_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+TREES, TREE_ROWS = 300, 256
+
+
+def _forest(spark: SparkSession, sf_dir: str):
+    """(scaled anomaly frame, forest): the reference's 300 trees of 256 rows, drawn from all rows."""
     u = cut_lineage(_anomaly_frame(spark, sf_dir))
     num, _ = TR.feature_columns(u, exclude=["event_id", "server_id", "label", "date", "ts"])
     x = TR.TabularPreprocessor(num).fit(u).transform(u).withColumn("x", vector_to_array("features"))
-    forest = iforest_fit(x, "x", "event_id", n_trees=100)
-    return iforest_score(x, forest, "x", ["event_id"]).join(u.select("event_id", "label"), "event_id")
+    x = cut_lineage(x.select("event_id", "label", "x"))
+    return x, iforest_fit(x, "x", "event_id", n_trees=TREES, sample_size=TREE_ROWS)
+
+
+@register("m11_isolation_forest")
+def m11_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolation forest over all rows: mean path and score of every row."""
+    x, forest = _forest(spark, sf_dir)
+    return iforest_score(x, forest, "x", ["event_id", "label"])
+
+
+@register("m11_forest_invariants", sql_with(["U"], f"""
+SELECT COUNT(*) AS rows, {TREES} AS trees, LEAST(COUNT(*), {TREE_ROWS})::INTEGER AS fewest_tree_rows,
+       LEAST(COUNT(*), {TREE_ROWS})::INTEGER AS most_tree_rows, COUNT(*) AS scores_in_range, COUNT(*) AS scores_of_paths,
+       TRUE AS falls_with_path FROM U"""))
+def m11_forest_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for any forest: every row scored, every tree full, scores in (0, 1] and falling
+    strictly with the mean path."""
+    x, forest = _forest(spark, sf_dir)
+    s = iforest_score(x, forest, "x", ["event_id"])
+    by_path = F.exp(-F.col("mean_path") / F.lit(forest.unit) * F.log(F.lit(2.0)))
+    return s.agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(len(forest.sizes)).alias("trees"),
+        F.lit(min(forest.sizes)).alias("fewest_tree_rows"), F.lit(max(forest.sizes)).alias("most_tree_rows"),
+        F.count_if((F.col("anomaly_score") > 0) & (F.col("anomaly_score") <= 1)).alias("scores_in_range"),
+        F.count_if(F.abs(F.col("anomaly_score") - by_path) < 1e-12).alias("scores_of_paths"),
+        (F.min_by("mean_path", "anomaly_score") >= F.max_by("mean_path", "anomaly_score")).alias("falls_with_path"))
 
 
 # ---------------------------------------------------------------------------

@@ -25,7 +25,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
                 mode: str = "overwrite") -> None:
-    """Table sink (A2): parquet/csv(header)/json, optional partition columns."""
+    """Table sink (A2): parquet/csv(header)/json, optional partition columns.  Rows are first
+    brought together by them, so a value makes few files, and a value that holds much of
+    the table is split over tasks (a rebalance, not one task a value)."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", "true")

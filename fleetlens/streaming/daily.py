@@ -1,40 +1,78 @@
 """Structured Streaming form of the daily pipeline (re-aim; the reference has
 no streaming).
 
-Observations arrive as files; a watermarked one-day tumbling aggregate per
-entity is emitted once its day is closed (append mode, bounded state), and
-each micro-batch of closed days is ranked into the day's intervention list
-with the same column rules as the batch plan (``foreachBatch``).  Sinks and
-checkpoints live in the shared folder named by ``spark.checkpoint.dir``.
+Observations arrive as files.  A watermarked one-day tumbling aggregate per entity is emitted
+once its day is closed (append mode, bounded state); a second stream reads those days, holds
+the last ``HISTORY`` of each entity in keyed state and gives each new one its lags and rolling
+statistics; each
+micro-batch of closed days is ranked into the day's intervention list with the same column
+rules as the batch plan (``foreachBatch``).  Sinks and checkpoints live in the shared folder
+named by ``spark.checkpoint.dir``.
+
+A bounded replay ends with days that no watermark has closed.  ``flush`` computes them from
+the source once the stream has stopped: no row of an open day has been dropped, so the result
+equals what the stream would have emitted.  Rows that came later than ``delay`` allows are
+dropped by the watermark and counted.
+
+Defined cases: rows without a time are in no day; a day without rows is not emitted; an empty
+source gives empty outputs.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetlens.functions import rules as R
 from fleetlens.operators.topk import top_k_per_group
-from fleetlens.session import checkpoint_dir
+from fleetlens.operators.windows import history_features
+from fleetlens.session import checkpoint_dir, cut_lineage
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+DAILY_SCHEMA = "date date, server_id long, n_obs long, n_error long, value_sum double"
+RANK_SCHEMA = "date date, server_id long, incident_probability double, business_value double, priority_score double, rank int"
+#: closed days that an entity's state holds
+HISTORY = 7
+HISTORY_COLUMNS = ("value_sum_lag1", "value_sum_lag7", "value_sum_diff1", "value_sum_rolling_mean_3",
+                   "value_sum_rolling_mean_7", "value_sum_rolling_std_7", "value_sum_rolling_max_7")
+HISTORY_SCHEMA = DAILY_SCHEMA + "".join(f", {c} double" for c in HISTORY_COLUMNS)
 
 
-def daily_entity_stream(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Per (entity, day): observations, errors and the value sum, emitted when
-    the watermark closes the day."""
-    e = events.select(F.col("user_id").alias("server_id"), F.col("ts").cast("timestamp").alias("ts"),
-                      "event_type", "value")
-    return (e.withWatermark("ts", delay)
-             .groupBy(F.window("ts", "1 day").alias("w"), "server_id")
+@dataclass(frozen=True)
+class Replay:
+    """Where a bounded replay has put its outputs, and how many rows came too late."""
+
+    daily: str
+    ranking: str
+    history: str
+    late_rows: int
+
+
+def daily_entity(events: DataFrame) -> DataFrame:
+    """Per (entity, day): observations, errors and the value sum."""
+    e = events.select(F.col("user_id").alias("server_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value") \
+        if "user_id" in events.columns else events
+    return (e.groupBy(F.window("ts", "1 day").alias("w"), "server_id")
              .agg(F.count(F.lit(1)).alias("n_obs"),
                   F.sum(R.flag(F.col("event_type") == "error")).cast("long").alias("n_error"),
                   F.sum("value").alias("value_sum"))
              .select(F.to_date(F.col("w.start")).alias("date"), "server_id", "n_obs", "n_error", "value_sum"))
 
 
+def daily_entity_stream(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """``daily_entity`` of a stream, each day emitted when the watermark, ``delay`` behind the
+    latest event, has passed its end."""
+    e = events.select(F.col("user_id").alias("server_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return daily_entity(e.withWatermark("ts", delay))
+
+
 def rank_day(batch: DataFrame, servers: DataFrame, n: int) -> DataFrame:
     """Per closed day: priority = error share x business value, top n per day."""
     j = batch.join(servers, "server_id", "left")
@@ -45,28 +83,97 @@ def rank_day(batch: DataFrame, servers: DataFrame, n: int) -> DataFrame:
     return top_k_per_group(scored, ["date"], [F.col("priority_score").desc(), F.col("server_id").asc()], n)
 
 
-def run_daily_stream(spark: SparkSession, source_dir: str, servers: DataFrame, n: int = 50,
-                     out_root: str | None = None, file_glob: str = "*.parquet") -> tuple[str, str]:
-    """Process every file of ``source_dir`` matching ``file_glob`` (trigger
-    availableNow) and return the paths of the daily aggregate and ranking
-    outputs."""
+def _history_row(past: list[float], value: float) -> list[float]:
+    """The history columns of a day from the days before it, oldest first."""
+    def last(n: int) -> list[float]:
+        return past[-n:]
+
+    mean = lambda v: sum(v) / len(v) if v else math.nan
+    week = last(7)
+    std = math.sqrt(sum((x - mean(week)) ** 2 for x in week) / (len(week) - 1)) if len(week) > 1 else math.nan
+    return [past[-1] if past else math.nan, past[-7] if len(past) >= 7 else math.nan, value - past[-1] if past else math.nan,
+            mean(last(3)), mean(week), std, max(week) if week else math.nan]
+
+
+def history_stream(daily: DataFrame) -> DataFrame:
+    """Closed days with their history columns: the state of an entity is its last ``HISTORY`` sums.
+    Days close in order, so a batch's days follow those in the state."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        days = pd.concat(list(batches)).sort_values("date")
+        past = list(state.get[0]) if state.exists else []
+        rows = []
+        for v in days["value_sum"]:
+            rows.append(_history_row(past, v))
+            past = [*past, float(v)][-HISTORY:]
+        state.update((past,))
+        yield days.assign(**dict(zip(HISTORY_COLUMNS, map(list, zip(*rows)))))
+
+    return daily.groupBy("server_id").applyInPandasWithState(
+        step, HISTORY_SCHEMA, "sums array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def _sink(path: str, make=lambda batch: batch):
+    """One output folder an epoch, overwritten: a batch that runs again replaces its own output."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return write
+
+
+def _run(stream: DataFrame, sinks, checkpoint: str):
+    q = (stream.writeStream.outputMode("append").foreachBatch(sinks)
+               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # no epoch was written
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def replay_daily(spark: SparkSession, source_dir: str, servers: DataFrame, n: int = 50, out_root: str | None = None,
+                 file_glob: str = "*.parquet", delay: str = "0 seconds", files_per_trigger: int = 1,
+                 flush: bool = True) -> Replay:
+    """Process every file of ``source_dir`` that matches ``file_glob``, then flush the open days."""
     root = out_root or f"{checkpoint_dir(spark).rstrip('/')}/fleetlens-stream-{uuid.uuid4().hex}"
-    agg_path, rank_path = f"{root}/daily", f"{root}/ranking"
-    stream = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
+    out = Replay(f"{root}/daily", f"{root}/ranking", f"{root}/history", 0)
+    servers = cut_lineage(servers)
+
+    events = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
                    .option("pathGlobFilter", file_glob).parquet(source_dir))
-    daily = daily_entity_stream(stream)
-    servers = servers.cache()
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        # one output folder per epoch, overwritten: a re-run batch (after a
-        # failure) replaces its own output instead of appending duplicates
-        batch.persist()
-        batch.write.mode("overwrite").parquet(f"{agg_path}/epoch={epoch}")
-        rank_day(batch, servers, n).write.mode("overwrite").parquet(f"{rank_path}/epoch={epoch}")
-        batch.unpersist()
-
-    q = (daily.writeStream.outputMode("append").foreachBatch(sink)
-              .option("checkpointLocation", f"{root}/_checkpoint")
-              .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return agg_path, rank_path
+
+    def both(batch: DataFrame, epoch: int) -> None:
+        _sink(out.daily)(batch, epoch)
+        written = spark.read.schema(DAILY_SCHEMA).parquet(f"{out.daily}/epoch={epoch}")
+        _sink(out.ranking, lambda b: rank_day(b, servers, n))(written, epoch)
+
+    q = _run(daily_entity_stream(events, delay), both, f"{root}/_daily")
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for op in p["stateOperators"])
+    mark = (q.lastProgress or {}).get("eventTime", {}).get("watermark")
+    # a second stream reads what the first has written: its files come in the order of their epochs
+    if not _read(spark, out.daily, DAILY_SCHEMA).isEmpty():
+        closed_days = spark.readStream.schema(DAILY_SCHEMA).option("recursiveFileLookup", "true").parquet(out.daily)
+        _run(history_stream(closed_days), _sink(out.history), f"{root}/_history")
+    if flush:
+        batch = spark.read.schema(EVENT_SCHEMA).option("pathGlobFilter", file_glob).parquet(source_dir)
+        day_end = F.to_date("ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")
+        closed = F.lit(mark).cast("timestamp") if mark else F.lit(None).cast("timestamp")
+        rest = cut_lineage(daily_entity(batch.where(F.coalesce(day_end > closed, F.lit(True)) & F.col("ts").isNotNull())))
+        _sink(out.daily)(rest, "flush")
+        _sink(out.ranking, lambda b: rank_day(b, servers, n))(rest, "flush")
+        before = _read(spark, out.history, HISTORY_SCHEMA).select(*rest.columns).withColumn("_open", F.lit(0))
+        days = before.unionByName(rest.withColumn("_open", F.lit(1)))
+        h = history_features(days, "server_id", ["date"], ["value_sum"])
+        _sink(out.history)(h.where("_open = 1").select(*rest.columns, *HISTORY_COLUMNS), "flush")
+    return Replay(out.daily, out.ranking, out.history, late)
+
+
+def run_daily_stream(spark: SparkSession, source_dir: str, servers: DataFrame, n: int = 50,
+                     out_root: str | None = None, file_glob: str = "*.parquet") -> tuple[str, str]:
+    """The closed days alone: paths of the daily aggregates and the rankings."""
+    out = replay_daily(spark, source_dir, servers, n, out_root, file_glob, flush=False)
+    return out.daily, out.ranking

@@ -28,8 +28,12 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    for name in ("v9_topk_capture", "r6_zero_perturbation"):
-        assert "WindowGroupLimit" in _plan(spark, name)
+    assert "WindowGroupLimit" in _plan(spark, "v9_topk_capture")
+
+
+@pytest.mark.parametrize("name", ["r6_zero_perturbation", "b28_incident_sentence", "r7_mixed_factors", "b28_anomaly_sentence"])
+def test_explanations_stay_in_the_row(spark, name):
+    assert not re.search(r"Exchange|Window|SortMergeJoin", _plan(spark, name))
 
 
 def test_ranking_is_a_bounded_top_n(spark):
