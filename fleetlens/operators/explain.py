@@ -1,4 +1,4 @@
-"""Perturbation explanations.
+"""Perturbation of any fitted scorer (R8), in long form; ``rowexplain`` keeps scores inside the row.
 
 One Spark job per explanation, never a loop of jobs: every row is expanded
 against its feature list (``explode`` of literals: a fixed factor, the number
@@ -83,21 +83,3 @@ def perturbation_explain(df: DataFrame, keys: Sequence[str], features: Sequence[
     return ranked.select(*keys, "rank", "feature", R.readable_label("feature").alias("label"),
                          "value", "reference", "impact", "abs_impact", direction.alias("direction"),
                          F.lit(method).alias("method"))
-
-
-def top_labels(expl: DataFrame, keys: Sequence[str], n: int = 3) -> DataFrame:
-    """Per row, the labels of the n best-ranked factors in rank order (S5 for
-    the sentence).  A row's group has at most ``top_n`` entries."""
-    keys = list(keys)
-    g = expl.filter(F.col("rank") <= n).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("rank", "label"))).alias("_l"))
-    return g.select(*keys, F.transform("_l", lambda e: e["label"]).alias("labels"))
-
-
-def explanation_array(expl: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nested response form: ARRAY<STRUCT<feature, label, value, reference,
-    impact, abs_impact, direction, method>> ordered by rank."""
-    keys = list(keys)
-    g = expl.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
-        "rank", "feature", "label", "value", "reference", "impact", "abs_impact", "direction", "method"))).alias("_e"))
-    return g.select(*keys, F.transform("_e", lambda e: e.dropFields("rank")).alias("top_explanations"))

@@ -166,11 +166,6 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def join_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Left join that fails on a duplicated right key."""
-    return left.join(assert_unique(right, [key]), key, "left")
-
-
 def server_feature_table(servers: DataFrame, usage: DataFrame, incidents: DataFrame,
                          key: str = "server_id", reference_date=None,
                          exact_percentiles: bool = True) -> DataFrame:

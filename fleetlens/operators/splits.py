@@ -67,11 +67,12 @@ def time_blocks(df: DataFrame, date_col: str = "date", k: int = 3, block_col: st
     tests on block i (i = 1..k).  Whole dates stay in one block.
 
     The distinct-date table is one row per calendar day, so ranking it in
-    one task and broadcasting it back is bounded by the time span.
+    one task is bounded by the time span; whether it is broadcast back is
+    left to its measured size.
     """
     dates = df.select(date_col).distinct()
     blocks = dates.withColumn(block_col, F.ntile(k + 1).over(Window.orderBy(date_col)) - 1)
-    return df.join(F.broadcast(blocks), date_col)
+    return df.join(blocks, date_col)
 
 
 def time_fold(df_blocks: DataFrame, i: int, block_col: str = "block") -> tuple[DataFrame, DataFrame]:

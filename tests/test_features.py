@@ -104,3 +104,10 @@ def test_assemble_fact_keeps_fact_rows(spark):
     dup = spark.createDataFrame([(10, "x"), (10, "y")], "d int, name string")
     with pytest.raises(Exception):
         assemble_fact(fact, [(dup, ["d"])]).count()
+
+
+def test_modes_of_several_columns(spark):
+    from fleetlens.operators.features import modes_per_group
+    df = spark.createDataFrame([(1, "b", 3), (1, "a", 3), (1, None, 1), (2, None, 9), (1, "a", None)], "k int, s string, n int")
+    out = {r.k: (r.s, r.n) for r in modes_per_group(df, "k", ["s", "n"]).collect()}
+    assert out == {1: ("a", "3"), 2: (None, "9")}

@@ -49,3 +49,13 @@ def test_missing_model_raises(spark):
     from fleetlens.operators.models import load_model
     with pytest.raises(Exception):
         load_model(os.path.join(tempfile.mkdtemp(prefix="fleetlens-io-"), "absent"))
+
+
+def test_partitioned_sink_makes_few_files_a_value(spark, tmp_path):
+    import glob
+
+    from fleetlens.sources.io import read_table, write_table
+    df = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 'hot' else concat('d', id % 5) end as d").repartition(8)
+    write_table(df, str(tmp_path / "t"), partition_by=["d"])
+    assert all(len(glob.glob(f"{v}/*.parquet")) <= 2 for v in glob.glob(str(tmp_path / "t" / "d=*")))
+    assert read_table(spark, str(tmp_path / "t")).groupBy("d").count().count() == df.select("d").distinct().count()

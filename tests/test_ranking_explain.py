@@ -37,3 +37,19 @@ def test_reference_perturbation_positive_only(spark):
     out = X.perturbation_explain(df, ["id"], ["a", "b"], sc, reference={"a": 0.0, "b": 0.0},
                                  positive_only=True, numeric_direction=True).collect()
     assert [(r.feature, r.impact, r.direction) for r in out] == [("a", 2.0, "above_normal")]
+
+
+def test_prioritisation_from_scored_rows(spark):
+    import datetime
+
+    from fleetlens.operators.ranking import prioritize_scored
+    day = datetime.date(2024, 1, 30)
+    rows = [(1, day, 0.5, 100.0, "basic", 0, 0, 0.0, 0.4, 2, "serveurs standard"), (2, day, 0.5, 100.0, "premium", 0, 0, 0.0, 0.1, 0, "stress temperature"),
+            (3, day, 0.5, 100.0, "basic", 0, 0, 0.0, 0.31, 1, "serveurs stockage")]
+    df = spark.createDataFrame(rows, "server_id int, date date, incident_probability double, monthly_spend_eur double, support_plan string, "
+                                     "has_gpu int, is_managed int, capacity_used_pct double, anomaly_score double, segment_cluster int, segment_profile string")
+    out = prioritize_scored(df, 0.3, 2).collect()
+    assert [(r.server_id, r["rank"], r.date) for r in out] == [(2, 1, day), (1, 2, day)]  # 3 ties with 1, the smaller key stays
+    assert (out[0].is_anomaly, out[0].anomaly_context_multiplier, out[0].segmentation_context_multiplier) == (False, 1.0, 1.25)
+    assert (out[1].is_anomaly, out[1].segment_cluster) == (True, 2) and out[1].anomaly_context_multiplier > 1
+    assert prioritize_scored(df.where("false"), 0.3).collect() == [] and prioritize_scored(df, 0.3, -1).collect() == []
