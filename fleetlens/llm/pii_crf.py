@@ -43,8 +43,12 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
+LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # ---- end of fixed values ----
+#: what follows an address's ``@``
+DOMAIN = re.compile(EMAIL.pattern.split("@")[1])
+#: a match can start at the first digit of a run only: where that fails, the run's other digits fail too
+IP_START = re.compile("(?<![0-9])" + IP.pattern)
 TRIGGER = re.compile("[0-9@]+")
 MARGIN, WINDOW, STRIDE = 24, 64, 32
 TRAIN_REGIONS = 1500
@@ -78,24 +82,26 @@ def valid(kind: int, s: str) -> bool:
 
 
 def emails(text: str) -> list[Span]:
-    """Matches lie within runs of the pattern's characters, so only runs that hold
-    an ``@`` are searched."""
-    out, at = [], text.find("@")
+    """The pattern's matches, looked for from each ``@``: the local part reaches back to the
+    first character after the match before, the ``@`` before or any other character, so each
+    character is passed once however long its run is."""
+    out, end, at = [], 0, text.find("@")
     while at >= 0:
-        a = b = at
-        while a > 0 and text[a - 1] in EMAIL_CHARS:
+        a = at
+        while a > end and text[a - 1] in LOCAL_CHARS:
             a -= 1
-        while b < len(text) and text[b] in EMAIL_CHARS:
-            b += 1
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text, a, b)]
-        at = text.find("@", b)
+        domain = DOMAIN.match(text, at + 1) if a < at else None
+        if domain:
+            out.append((0, a, domain.end()))
+            end = domain.end()
+        at = text.find("@", max(at + 1, end))
     return out
 
 
 def base_spans(text: str) -> list[Span]:
     """Pattern spans by kind, then start."""
     out = emails(text)
-    for kind, pattern in ((1, IP), (2, CARD), (3, PHONE)):
+    for kind, pattern in ((1, IP_START), (2, CARD), (3, PHONE)):
         out += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if valid(kind, m.group())]
     return out
 
