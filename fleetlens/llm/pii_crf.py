@@ -1,20 +1,24 @@
 """Personal data: exact patterns, plus a character BiLSTM with a CRF.
 
 Patterns find emails, IP addresses, card and phone numbers.  A character-level
-bidirectional LSTM with CRF transitions is trained in numpy on spans that the
-patterns label in a bounded sample of windows (failed candidates are its
-negatives) and reads every region around a digit or an ``@`` of every text;
-all four kinds hold one of these.  A region is cut into overlapping windows,
+bidirectional LSTM with CRF transitions is trained in numpy on a bounded sample of
+windows: on spans that the patterns label, and on the same spans rewritten into forms
+that the patterns miss (``altered``: letters beyond ASCII in addresses, other separators,
+phone prefixes dropped or bracketed), in the text around them.  Failed candidates are its
+negatives, unless they are such a form themselves.  It reads every region around a digit
+or an ``@`` of every text; all four kinds hold one of these.  A region is cut into overlapping windows,
 the windows' emissions are blended by distance from the window's edge, and one
 CRF pass decodes the whole region, so no span depends on where a window ends.
 Regions have no greatest length: a long one is decoded alone, in blocks that hand
 on their boundary scores, which gives what one pass gives.
-A decoded span is added when its posterior is at least ``CONFIDENCE`` at each
-character, it has the digits, checksum or parts of its kind, and it touches no
+A decoded span is added when its posterior is at least the model's confidence at each
+character (the least of ``CONFIDENCES`` at which ``PRECISION`` of such spans are right
+on every fifth window, which the fit that sets it leaves out; none reaches it: nothing is
+added), it has the digits, checksum or parts of its kind, and it touches no
 pattern span.  Pattern spans always stay.
 
 The only bounded part is the training sample: ``TRAIN_REGIONS`` windows of all
-regions of all documents, half with a labelled character and half without (more
+regions of all documents, half with a labelled character, a fifth with a rewritten span, the rest without (more
 of the one where there are few of the other), those with the smallest hashes of
 id, place and content.
 
@@ -52,7 +56,8 @@ IP_START = re.compile("(?<![0-9])" + IP.pattern)
 TRIGGER = re.compile("[0-9@]+")
 MARGIN, WINDOW, STRIDE = 24, 64, 32
 TRAIN_REGIONS = 1500
-CONFIDENCE = 0.95
+#: posteriors to choose from, and the share of right spans that the chosen one needs
+CONFIDENCES, PRECISION = (0.8, 0.9, 0.95, 0.98, 0.99), 0.95
 #: characters that are decoded at once: of a group's windows, of a padded batch, of a long region's block
 GROUP_CHARS, BATCH_CHARS, BLOCK = 1 << 16, 1 << 15, 1 << 13
 HIDDEN, CHARS = 16, 130
@@ -61,6 +66,13 @@ TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
 #: emissions after a region's end: O
 END = np.array([0.0] + [-1e4] * (TAGS - 1))[None, None]
 
+#: forms that the patterns miss: put into addresses, between the parts of IP addresses and of card numbers
+WIDE, IP_FORMS, CARD_FORMS = "éüñøßçåё", ("[.]", " . ", "(.)"), (".", "/", "  ", "\u00a0")
+#: such forms as they stand in texts, by kind
+HIDDEN_FORMS = tuple(map(re.compile, (
+    r"[\w.%+-]{1,64}@[\w-]{1,64}\.[\w.-]{1,64}", r"[0-9]{1,3}(?:[^0-9A-Za-z]{1,3}[0-9]{1,3}){3}",
+    r"[0-9]{4}(?:[^0-9A-Za-z]{1,2}[0-9]{1,4}){2,4}", r"(?:\(|\b00\x20?)[0-9][\x20().0-9-]{6,24}[0-9]")))
+
 Span = tuple[int, int, int]  # kind, start, end
 
 
@@ -371,9 +383,11 @@ def decode(m: dict, codes: list[np.ndarray]):
         yield i, tags[:-1, 0], sure[:-1, 0]
 
 
-def added_spans(text: str, at: int, tags: np.ndarray, sure: np.ndarray, base: list[Span]) -> list[Span]:
-    """Spans that a region's decoding adds to the pattern spans."""
+def new_spans(text: str, at: int, tags: np.ndarray, sure: np.ndarray,
+              base: list[Span]) -> list[tuple[float, Span]]:
+    """Spans of a region's decoding that are whole and touch no pattern span, with their least posterior."""
     out, i = [], 0
+    base = [b for b in base if b[1] < at + len(tags) and b[2] > at]
     while i < len(tags):
         if tags[i] == 0:
             i += 1
@@ -386,66 +400,146 @@ def added_spans(text: str, at: int, tags: np.ndarray, sure: np.ndarray, base: li
             a += 1
         while b > a and text[b - 1].isspace():
             b -= 1
-        if sure[i:j].min() >= CONFIDENCE and valid(kind, text[a:b]) and not any(
-                s < b and a < e for _, s, e in base):
-            out.append((int(kind), a, b))
+        if valid(kind, text[a:b]) and not any(s < b and a < e for _, s, e in base):
+            out.append((float(sure[i:j].min()), (int(kind), a, b)))
         i = j
     return out
 
 
-def training_windows(ident: str | None, text: str) -> Iterator[tuple[int, bool, bytes, bytes]]:
-    """(rank, labelled, characters, tags) of each window of a text's regions."""
-    found = regions(text)
-    y = tags_of(len(text), base_spans(text)) if found else None
-    for a, b in found:
-        x, _, offset = windows([coded(text[a:b])])
-        for k, o in enumerate(offset):
-            tags = np.zeros(WINDOW, np.uint8)
-            part = y[a + o:min(a + o + WINDOW, b)]
-            tags[:len(part)] = part
-            chars = x[k].astype(np.uint8).tobytes()
-            rank = xxhash.xxh64_intdigest(f"{ident}:{a + o}:".encode("utf-8", "surrogatepass") + chars)
-            yield rank - (1 << 63), bool(tags.any()), chars, tags.tobytes()
+def rewritten(kind: int, s: str, pick: int) -> str:
+    """A pattern span in a form that its pattern misses; ``pick`` chooses the form."""
+    if kind == 0:  # beside the @, so that no shorter address is left for the pattern
+        local, domain = s.split("@", 1)
+        wide = WIDE[pick // 2 % len(WIDE)]
+        return f"{local}{wide}@{domain}" if pick % 2 else f"{local}@{domain[0]}{wide}{domain[1:]}"
+    if kind == 1:
+        return s.replace(".", IP_FORMS[pick % len(IP_FORMS)])
+    if kind == 2:
+        digits = re.sub("[^0-9]", "", s)
+        parts = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+        return CARD_FORMS[pick % len(CARD_FORMS)].join(parts)
+    rest = s[1:].lstrip()
+    first = re.match("[0-9]{1,3}", rest).group()
+    return (f"00{rest}", f"({first}) {rest[len(first):].lstrip(' ().-')}", f"00 {rest}")[pick % 3]
+
+
+def altered(ident: str | None, text: str, base: list[Span]) -> tuple[str, list[Span], list[Span]]:
+    """The text with its pattern spans rewritten, its spans, and those among them that no pattern finds.
+    Rewritten spans that a pattern touches all the same are left to the pattern."""
+    parts, put, at, size = [], [], 0, 0
+    for n, (kind, a, b) in enumerate(sorted(base, key=lambda s: s[1])):
+        if a < at:
+            continue
+        pick = xxhash.xxh32_intdigest(f"{ident}:{n}:{text[a:b]}".encode("utf-8", "surrogatepass"))
+        new = rewritten(kind, text[a:b], pick)
+        put.append((kind, size + a - at, size + a - at + len(new)))
+        parts += [text[at:a], new]
+        size, at = size + a - at + len(new), b
+    new_text = "".join([*parts, text[at:]])
+    found = base_spans(new_text)
+    taken = np.zeros(len(new_text), bool)
+    for _, a, b in found:
+        taken[a:b] = True
+    own = [(k, a, b) for k, a, b in put if not taken[a:b].any() and valid(k, new_text[a:b])]
+    return new_text, found + own, own
+
+
+def hidden_form(s: str) -> bool:
+    """Does a text hold a form that the patterns miss, so that it is no example of clean text?"""
+    return any(3 <= len(m.group()) <= 200 and valid(kind, m.group())
+               for kind, form in enumerate(HIDDEN_FORMS) for m in form.finditer(s))
+
+
+def training_windows(ident: str | None, text: str) -> Iterator[tuple[int, bool, bytes, bytes, int]]:
+    """(rank, labelled, characters, tags, version) of each window of a text's regions, and of each window
+    with a rewritten span of its altered text."""
+    base = base_spans(text)
+    for version, t, spans, own in ((0, text, base, None), (1, *altered(ident, text, base))) if base else (
+            (0, text, base, None),):
+        found = regions(t) if own is None or own else []
+        y = tags_of(len(t), spans) if found else None
+        new = tags_of(len(t), own) if found and own else None
+        for a, b in found:
+            if new is not None and not new[a:b].any():
+                continue
+            x, _, offset = windows([coded(t[a:b])])
+            for k, o in enumerate(offset):
+                end = min(a + o + WINDOW, b)
+                if new is not None and not new[a + o:end].any():
+                    continue
+                tags = np.zeros(WINDOW, np.uint8)
+                tags[:end - a - o] = y[a + o:end]
+                if not tags.any() and hidden_form(t[a + o:end]):
+                    continue
+                chars = x[k].astype(np.uint8).tobytes()
+                key = f"{ident}:{version}:{a + o}:".encode("utf-8", "surrogatepass")
+                yield xxhash.xxh64_intdigest(key + chars) - (1 << 63), bool(tags.any()), chars, tags.tobytes(), version
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ``TRAIN_REGIONS`` windows of smallest rank of a task, with and without labels."""
-    best: dict[bool, set] = {True: set(), False: set()}
-    bound = {True: 1 << 63, False: 1 << 63}
+    """The ``TRAIN_REGIONS`` windows of smallest rank of a task: clean ones (0), labelled ones (1),
+    ones with rewritten spans (2)."""
+    best: dict[int, set] = {sort: set() for sort in range(3)}
+    bound = dict.fromkeys(best, 1 << 63)
     for b in batches:
         for ident, text in zip(b.column("_id").to_pylist(), b.column("_t").to_pylist(), strict=True):
-            for rank, labelled, chars, tags in training_windows(ident, text) if text else ():
-                if rank > bound[labelled]:
+            for rank, labelled, chars, tags, version in training_windows(ident, text) if text else ():
+                sort = 2 if version else int(labelled)
+                if rank > bound[sort]:
                     continue
-                best[labelled].add((rank, chars, tags))
-                if len(best[labelled]) >= 4 * TRAIN_REGIONS:
-                    few = sorted(best[labelled])[:TRAIN_REGIONS]
-                    best[labelled], bound[labelled] = set(few), few[-1][0]
-    for labelled, rows in best.items():
+                best[sort].add((rank, chars, tags))
+                if len(best[sort]) >= 4 * TRAIN_REGIONS:
+                    few = sorted(best[sort])[:TRAIN_REGIONS]
+                    best[sort], bound[sort] = set(few), few[-1][0]
+    for sort, rows in best.items():
         few = sorted(rows)[:TRAIN_REGIONS]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in few], pa.int64()), pa.array([labelled] * len(few), pa.bool_()),
+            [pa.array([r[0] for r in few], pa.int64()), pa.array([sort] * len(few), pa.int32()),
              pa.array([r[1] for r in few], pa.binary()), pa.array([r[2] for r in few], pa.binary())],
-            names=["rank", "labelled", "x", "y"])
+            names=["rank", "sort", "x", "y"])
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Characters and tags [N, WINDOW] of the sampled windows."""
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_t"))
-    ranked = kept(rows.mapInArrow(_ranked, "rank long, labelled boolean, x binary, y binary"), "pii-windows")
-    with_, without = (ranked.where(F.col("labelled") == labelled).select("rank", "x", "y").distinct()
-                      .orderBy("rank", "x").limit(TRAIN_REGIONS).toPandas() for labelled in (True, False))
-    n = min(len(with_), max(TRAIN_REGIONS // 2, TRAIN_REGIONS - len(without)))
-    parts = with_[:n], without[:TRAIN_REGIONS - n]
+    ranked = kept(rows.mapInArrow(_ranked, "rank long, sort int, x binary, y binary"), "pii-windows")
+    clean, labelled, new = (ranked.where(F.col("sort") == sort).select("rank", "x", "y").distinct()
+                            .orderBy("rank", "x").limit(TRAIN_REGIONS).toPandas() for sort in range(3))
+    n_new = min(len(new), max(TRAIN_REGIONS // 5, TRAIN_REGIONS - len(labelled) - len(clean)))
+    n = min(len(labelled), max(TRAIN_REGIONS // 2, TRAIN_REGIONS - n_new - len(clean)))
+    parts = labelled[:n], new[:n_new], clean[:TRAIN_REGIONS - n - n_new]
     x, y = (np.frombuffer(b"".join(v for p in parts for v in p[c]), np.uint8).reshape(-1, WINDOW).astype(np.int64)
             for c in ("x", "y"))
     return x, y
 
 
+def confidence(m: dict, x: np.ndarray, y: np.ndarray) -> float:
+    """The least posterior at which ``PRECISION`` of the added spans of held-out windows are right;
+    2 (nothing is added) where none is enough.  Spans that a window cuts do not count."""
+    seen = []
+    for k, tags, sure in decode(m, [w[w < CHARS - 1].astype(np.uint8) for w in x]):
+        text = "".join(map(chr, x[k][:len(tags)]))
+        for p, (kind, a, b) in new_spans(text, 0, tags, sure, base_spans(text)):
+            if 0 < a and b < min(len(tags), WINDOW):
+                want = np.r_[1 + 2 * kind, np.full(b - a - 1, 2 + 2 * kind)]
+                whole = b == len(tags) or y[k, b] != 2 + 2 * kind
+                seen.append((p, bool((y[k, a:b] == want).all() and whole)))
+    for least in CONFIDENCES:
+        right = [ok for p, ok in seen if p >= least]
+        if right and np.mean(right) >= PRECISION:
+            return least
+    return 2.0
+
+
 def train(docs: DataFrame, id_col: str, text_col: str) -> dict | None:
-    """Model from a bounded sample of the regions' windows."""
+    """Model from a bounded sample of the regions' windows: one fit on all of them, with the
+    confidence of a fit that leaves every fifth window out."""
     x, y = training_sample(docs, id_col, text_col)
-    return fit(x, y) if (y > 0).any() else None
+    if not (y > 0).any():
+        return None
+    held = np.arange(len(x)) % 5 == 0
+    least = confidence(fit(x[~held], y[~held]), x[held], y[held]) if (y[~held] > 0).any() else 2.0
+    return fit(x, y) | {"confidence": least}
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -467,7 +561,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 found = decode(m, [coded(texts[i][a:b]) for i, a, b in where])
                 for r, tags, sure in found:
                     i, a, _ = where[r]
-                    every[i] += added_spans(texts[i], a, tags, sure, base[i])
+                    every[i] += [s for p, s in new_spans(texts[i], a, tags, sure, base[i]) if p >= m["confidence"]]
             return [[[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in sorted(s)] for s in x]
                     for x in (base, every)]
         return run
