@@ -10,7 +10,7 @@ from fleetlens.llm.curriculum_mix import mix_documents
 from fleetlens.llm.cutting_stock import pack
 from fleetlens.llm.exact_dedup import keep_documents
 from fleetlens.llm.jaccard_groups import surplus_rows, text_digest
-from fleetlens.llm.langid_ecoc import UNKNOWN, identify
+from fleetlens.llm.langid_ecoc import identify
 from fleetlens.llm.queries import RANKS, tokenizer_path
 
 #: word shingles and similarity (percent) of near duplicates
@@ -20,8 +20,8 @@ WORDS, PERCENT = 5, 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter are rejected."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    out = identify(docs, learn=crc_mod("doc_id", 5) != 0, carry=rest)
-    return out.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    out = identify(docs, learn=crc_mod("doc_id", 5) != 0, carry=rest, known_only=True)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeat it, the smallest text digest); rows go by id and text, so an id's other texts stay."""
     gone = surplus_rows(docs, words=WORDS, percent=PERCENT)
     return docs.join(gone, (F.col("doc_id") == gone["_id"]) & (text_digest(F.col("text")) == gone["_d"]),
-                     "left_anti").select(*docs.columns)
+                     "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
