@@ -9,15 +9,19 @@ An unseen misspelling shares most of its n-grams with the word it bends.
 At scoring time a word's contribution is one number, so a batch of documents is
 its distinct words, scored once, averaged by document.  Whole texts are read.
 
-The only bounded part is the training sample: on average at most
-``MAX_DOCS`` documents and ``MAX_CHARS`` characters of each class, chosen by a
-hash of the id (and twice ``MAX_DOCS`` in all, whatever the hash does).
+The only bounded part is the training sample: of each class the documents with
+the smallest hashes of id and content, at most ``MAX_DOCS`` documents and
+``MAX_CHARS`` characters.  A document brings its distinct words, at most
+``DOC_CHARS`` characters of them, again by hash.  ``FOLD`` fits, each without one
+part of the documents, set how far the scores are moved: the cut with the largest
+F-measure on the parts left out (``BETA`` below 1: clean documents left alone count more than toxic ones
+caught), at the classes' sizes before sampling, becomes ``CUT``.
 
 Defined cases: a null or empty text has the score of a document without words
 (the classifier's bias); without labels of both classes every score is the
 share of label 1 (0 without any label); a null label is no label; a document
-with several label rows counts once for each; repeated rows are scored each; an
-empty table gives an empty result.
+with both labels counts once for each; repeated rows are scored each and learned
+from once; an empty table gives an empty result.  Null ids have no label.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +37,9 @@ from fleetlens.llm.common import map_texts
 
 BUCKETS, DIM = 1 << 16, 8
 #: bounds of the training sample: documents of each class, characters of each class
-MAX_DOCS, MAX_CHARS = (3000, 1500), 6_000_000
+MAX_DOCS, MAX_CHARS, DOC_CHARS = (3000, 1500), 6_000_000, 100_000
+#: parts that are left out in turn; the score that the best cut moves to; its F-measure
+FOLD, CUT, BETA = 4, 0.7, 0.5
 STEPS, RATE, INIT = 450, 0.05, 0.01
 #: neutral words that every average holds besides the text's own
 PRIOR = 20
@@ -143,24 +149,76 @@ def scores(model: dict, texts: list) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def logit(p: np.ndarray | float):
+    return np.log(p) - np.log1p(-p)
+
+
+def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The logit, midway between two rows, at which the F-measure of "at least" is largest (the middle of ties)."""
+    order = np.argsort(-z, kind="stable")
+    z, hit, w = z[order], (y * weight)[order], weight[order]
+    f = (1 + BETA ** 2) * np.cumsum(hit) / (np.cumsum(w) + BETA ** 2 * hit.sum())
+    f[:-1][z[:-1] == z[1:]] = -1  # a cut cannot part equal scores
+    best = np.flatnonzero(f >= f.max() - 1e-12)
+    k = best[len(best) // 2]
+    return float(z[k] if k + 1 == len(z) else (z[k] + z[k + 1]) / 2)
+
+
+def fit_moved(texts: list[str], y: np.ndarray, n: dict[int, int]) -> dict:
+    """A fit on all documents, its scores moved as fits without each part ask for; ``n``: the
+    classes' sizes before sampling, so that the cut is that of all rows."""
+    model, fold, z = fit(texts, y), np.arange(len(y)) % FOLD, np.zeros(len(y))
+    for f in range(FOLD):
+        held, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        if not len(held) or len(set(y[rest])) < 2:
+            return model
+        p = scores(fit([texts[i] for i in rest], y[rest]), [texts[i] for i in held])
+        z[held] = logit(np.clip(p, 1e-12, 1 - 1e-12))
+    weight = np.array([n[k] / (y == k).sum() for k in (0, 1)])[y]
+    return model | {"bias": model["bias"] + float(logit(CUT)) - best_cut(z, y, weight)}
+
+
+def some_words(text: str) -> str:
+    """The distinct words of a text, where they are too long in all those with the smallest checksums."""
+    words = list(dict.fromkeys(text.lower().split()))
+    if sum(map(len, words)) + len(words) <= DOC_CHARS:
+        return " ".join(words)
+    out, room = set(), DOC_CHARS
+    for k in sorted(range(len(words)), key=lambda i: (zlib.crc32(words[i].encode("utf-8", "surrogatepass")), i)):
+        if len(words[k]) < room:
+            out.add(k)
+            room -= len(words[k]) + 1
+    return " ".join(words[k] for k in sorted(out))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
           learn: Column) -> dict:
-    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
-    rows = docs.where(learn & F.col(text_col).isNotNull())
-    sizes = rows.select(F.col(id_col).alias("i"), F.length(text_col).alias("c")).join(marks, "i")
-    size = {r.y: (r.n, r.c) for r in sizes.groupBy("y").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
+    marks = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")) \
+        .where("y in (0, 1)").distinct()
+    rows = docs.where(learn & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("i"), F.col(text_col).alias("t"),
+        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
+    sizes = rows.select("i", "h", F.least(F.length("t"), F.lit(DOC_CHARS)).alias("c")).join(marks, "i")
+    size = {r.y: (r.n, r.d) for r in sizes.groupBy("y").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("d")).collect()}
     if len(size) < 2:
         return {"flat": float(1 in size)}
-    cut = F.lit(0)
-    for k, (n, chars) in size.items():
-        part = min(1.0, MAX_DOCS[k] / n, MAX_CHARS / max(chars, 1))
-        cut = F.when(F.col("y") == k, int(1e6 * part) + 1).otherwise(cut)
-    chosen = sizes.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1_000_000)) < cut) \
-        .orderBy("i").select("i", "y").limit(2 * sum(MAX_DOCS))  # so the broadcast is bounded
-    pdf = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i") \
-        .toPandas().sort_values(["i", "y"], kind="stable")
-    return fit(pdf["t"].to_list(), pdf["y"].to_numpy())
+    # a first cut leaves about twice the wanted documents, the second counts them and their characters
+    span, cut = float(1 << 63), F.lit(0).cast("long")
+    for k, (_, d) in size.items():
+        at = 2 * span * (min(1.0, 2 * (MAX_DOCS[k] + 20) / max(d, 1)) - 0.5)
+        cut = F.when(F.col("y") == k, F.lit(int(max(-span, min(span - 1024, at))))).otherwise(cut)
+    by_hash = Window.partitionBy("y").orderBy("h", "i")
+    chosen = sizes.where(F.col("h") <= cut).distinct() \
+        .withColumn("r", F.row_number().over(by_hash)).where(
+            F.when(F.col("y") == 1, MAX_DOCS[1]).otherwise(MAX_DOCS[0]) >= F.col("r")) \
+        .withColumn("s", F.sum("c").over(by_hash)).where((F.col("s") <= MAX_CHARS) | (F.col("r") == 1)) \
+        .select("i", "h", "y")  # at most MAX_DOCS rows of each class: small enough to broadcast
+    shorter = F.pandas_udf(lambda t: t.map(some_words), "string")
+    pdf = rows.join(F.broadcast(chosen), ["i", "h"]).groupBy("i", "h", "y").agg(F.min("t").alias("t")) \
+        .select("h", "i", "y", shorter("t").alias("t")).toPandas() \
+        .sort_values(["h", "i", "y"], kind="stable")
+    return fit_moved(pdf["t"].to_list(), pdf["y"].to_numpy(), {k: n for k, (n, _) in size.items()})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
