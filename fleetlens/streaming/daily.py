@@ -20,11 +20,11 @@ source gives empty outputs.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +38,10 @@ from fleetlens.session import checkpoint_dir, cut_lineage
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 DAILY_SCHEMA = "date date, server_id long, n_obs long, n_error long, value_sum double"
 RANK_SCHEMA = "date date, server_id long, incident_probability double, business_value double, priority_score double, rank int"
-#: closed days that an entity's state holds
+#: closed days of an entity that the state holds
 HISTORY = 7
+#: groups of entities with one state each: a fixed number, as states outlive a batch
+HISTORY_GROUPS = 512
 HISTORY_COLUMNS = ("value_sum_lag1", "value_sum_lag7", "value_sum_diff1", "value_sum_rolling_mean_3",
                    "value_sum_rolling_mean_7", "value_sum_rolling_std_7", "value_sum_rolling_max_7")
 HISTORY_SCHEMA = DAILY_SCHEMA + "".join(f", {c} double" for c in HISTORY_COLUMNS)
@@ -83,33 +85,56 @@ def rank_day(batch: DataFrame, servers: DataFrame, n: int) -> DataFrame:
     return top_k_per_group(scored, ["date"], [F.col("priority_score").desc(), F.col("server_id").asc()], n)
 
 
-def _history_row(past: list[float], value: float) -> list[float]:
-    """The history columns of a day from the days before it, oldest first."""
-    def last(n: int) -> list[float]:
-        return past[-n:]
+def _history_rows(values: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """The history columns of days that lie by entity and date; ``place``: how many days of its entity lie before a day."""
+    back, known = np.zeros((HISTORY, len(values))), np.zeros((HISTORY, len(values)), bool)  # oldest first
+    for n in range(1, HISTORY + 1):
+        known[-n] = place >= n
+        back[-n, n:] = values[:-n]
+    back[~known] = 0.0
 
-    mean = lambda v: sum(v) / len(v) if v else math.nan
-    week = last(7)
-    std = math.sqrt(sum((x - mean(week)) ** 2 for x in week) / (len(week) - 1)) if len(week) > 1 else math.nan
-    return [past[-1] if past else math.nan, past[-7] if len(past) >= 7 else math.nan, value - past[-1] if past else math.nan,
-            mean(last(3)), mean(week), std, max(week) if week else math.nan]
+    def mean(n: int) -> np.ndarray:
+        days = known[-n:].sum(0)
+        return np.where(days > 0, back[-n:].sum(0) / np.maximum(days, 1), np.nan)
+
+    days, week = known.sum(0), mean(HISTORY)
+    gaps = np.where(known, (back - week) ** 2, 0.0).sum(0)
+    first = back[HISTORY - np.maximum(days, 1), np.arange(len(values))]
+    largest = np.fmax.reduce(np.where(known, back, -np.inf))
+    lag1 = np.where(known[-1], back[-1], np.nan)
+    columns = (lag1, np.where(known[-7], back[-7], np.nan), values - lag1, mean(3), week,
+               np.where(days > 1, np.sqrt(gaps / np.maximum(days - 1, 1)), np.nan),
+               np.where((days > 0) & ~np.isnan(first), largest, np.nan))
+    return dict(zip(HISTORY_COLUMNS, columns))
 
 
 def history_stream(daily: DataFrame) -> DataFrame:
-    """Closed days with their history columns: the state of an entity is its last ``HISTORY`` sums.
-    Days close in order, so a batch's days follow those in the state."""
+    """Closed days with their history columns: the state holds the last ``HISTORY`` sums of each entity.
+    Days close in order, so a batch's days follow those in the state.  A state is that of a group of
+    entities, computed side by side: a call for every entity costs more than its days."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        days = pd.concat(list(batches)).sort_values("date")
-        past = list(state.get[0]) if state.exists else []
-        rows = []
-        for v in days["value_sum"]:
-            rows.append(_history_row(past, v))
-            past = [*past, float(v)][-HISTORY:]
-        state.update((past,))
-        yield days.assign(**dict(zip(HISTORY_COLUMNS, map(list, zip(*rows)))))
-
-    return daily.groupBy("server_id").applyInPandasWithState(
-        step, HISTORY_SCHEMA, "sums array<double>", "append", GroupStateTimeout.NoTimeout)
+        days = pd.concat(list(batches))
+        ids, sums = (np.asarray(v, t) for v, t in zip(state.get, (np.int64, float))) if state.exists else (np.zeros(0, np.int64), np.zeros(0))
+        # the days in the state lie by entity and date, before those of the batch
+        days = days.sort_values("date", kind="stable")
+        entity = np.concatenate([ids, days["server_id"].to_numpy(np.int64)])
+        values = np.concatenate([sums, days["value_sum"].to_numpy(float)])
+        order = np.argsort(entity, kind="stable")
+        entity, values = entity[order], values[order]
+        place = np.arange(len(entity)) - np.searchsorted(entity, entity)
+        after = np.searchsorted(entity, entity, side="right") - np.arange(len(entity))
+        last = after <= HISTORY
+        state.update((entity[last].tolist(), values[last].tolist()))
+        new = order >= len(ids)
+        rows = {c: v[new] for c, v in _history_rows(values, place).items()}
+        yield days.iloc[order[new] - len(ids)].drop(columns="_group").assign(**rows, _none=key[0] < 0)
+
+    none = F.col("server_id").isNull()
+    grouped = daily.withColumns({"_group": F.when(none, F.lit(-1)).otherwise(F.pmod(F.xxhash64("server_id"), F.lit(HISTORY_GROUPS)).cast("int")),
+                                 "server_id": F.coalesce("server_id", F.lit(0).cast("long"))})
+    rows = grouped.groupBy("_group").applyInPandasWithState(
+        step, HISTORY_SCHEMA + ", _none boolean", "ids array<long>, sums array<double>", "append", GroupStateTimeout.NoTimeout)
+    return rows.withColumn("server_id", F.when(~F.col("_none"), F.col("server_id"))).drop("_none")
 
 
 def _sink(path: str, make=lambda batch: batch):
@@ -165,7 +190,9 @@ def replay_daily(spark: SparkSession, source_dir: str, servers: DataFrame, n: in
         rest = cut_lineage(daily_entity(batch.where(F.coalesce(day_end > closed, F.lit(True)) & F.col("ts").isNotNull())))
         _sink(out.daily)(rest, "flush")
         _sink(out.ranking, lambda b: rank_day(b, servers, n))(rest, "flush")
-        before = _read(spark, out.history, HISTORY_SCHEMA).select(*rest.columns).withColumn("_open", F.lit(0))
+        # no open day looks further back than the last closed days of its entity
+        before = top_k_per_group(_read(spark, out.history, HISTORY_SCHEMA).select(*rest.columns), ["server_id"],
+                                 [F.col("date").desc()], HISTORY).drop("rank").withColumn("_open", F.lit(0))
         days = before.unionByName(rest.withColumn("_open", F.lit(1)))
         h = history_features(days, "server_id", ["date"], ["value_sum"])
         _sink(out.history)(h.where("_open = 1").select(*rest.columns, *HISTORY_COLUMNS), "flush")

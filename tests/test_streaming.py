@@ -50,3 +50,22 @@ def test_late_rows_over_several_files_flush_and_history(spark):
     assert h[5, 7].value_sum_lag1 == 104.0 and abs(h[5, 7].value_sum_rolling_mean_3 - 109.0 / 3) < 1e-12
     assert h[9, 7].value_sum_rolling_max_7 == 104.0 and h[9, 7].value_sum_diff1 == 4.0
     assert spark.read.parquet(out.ranking).where("date = '2024-01-09'").count() == 1
+
+
+def test_entities_share_the_states_of_their_groups(spark, monkeypatch):
+    """Two groups for six entities, one of them null, over several batches: each keeps its own days."""
+    from fleetlens.operators.windows import history_features
+    from fleetlens.streaming import daily as D
+    monkeypatch.setattr(D, "HISTORY_GROUPS", 2)
+    src = os.path.join(tempfile.mkdtemp(prefix="fleetlens-src-"), "events")
+    for first in (1, 6, 11):
+        _file(spark, src, [(d * 10 + i, f"2024-01-{d:02d} 01:00:00", u, "view", float(d * d + i)) for d in range(first, first + 5)
+                           for i, u in enumerate((1, 2, 3, 4, 5, None)) if (d + i) % 4])
+    servers = spark.createDataFrame([(1, 100.0, "basic", 0, 0, 0.0)], "server_id long, monthly_spend_eur double, "
+                                    "support_plan string, has_gpu int, is_managed int, capacity_used_pct double")
+    out = replay_daily(spark, src, servers, out_root=tempfile.mkdtemp(prefix="fleetlens-out-"))
+    assert out.late_rows == 0
+    rows = lambda df: {(r.date.day, r.server_id): [round(r[c], 9) if r[c] is not None and r[c] == r[c] else None for c in D.HISTORY_COLUMNS]
+                       for r in df.collect()}
+    want = rows(history_features(D.daily_entity(spark.read.parquet(src)), "server_id", ["date"], ["value_sum"]))
+    assert rows(spark.read.schema(D.HISTORY_SCHEMA).parquet(out.history)) == want and len(want) > 60
