@@ -58,3 +58,24 @@ def test_keys_that_look_like_state(spark):
     df = spark.createDataFrame([("a", i % 3, float(i)) for i in range(100)], "x0 string, v0 int, n0 double")
     got = quantile_columns(df, ["x0", "v0"], ["n0"], 0.5, "_q", bucket_rows=5)
     _same(_plain(df, ["x0", "v0"], ["n0"], 0.5), got, ["x0", "v0"])
+
+
+def test_many_groups_are_dealt_out_once_a_pass(spark, monkeypatch):
+    """Past the broadcast limit rows go to their group's task and are aggregated there; large groups stay apart."""
+    from fleetlens.operators import quantiles as Q
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 3)
+    monkeypatch.setattr(Q, "HOT_ROWS", 100)
+    passes = []
+    gathered = Q._Selection.gathered
+    monkeypatch.setattr(Q._Selection, "gathered", lambda self, cells, make: passes.append((self.groups, gathered(self, cells, make))) or passes[-1][1])
+    rows = [(i % 9 if i % 9 else None, float(i * 37 % 501)) for i in range(450)] + [(1, float(i % 13)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(5)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _same(_plain(df, ["k"], ["x"], 0.9), quantile_columns(df, ["k"], ["x"], 0.9, "_q", buckets=4, bucket_rows=10), ["k"])
+        plans = {n: d._jdf.queryExecution().executedPlan().toString() for n, d in passes if "Join" in d._jdf.queryExecution().executedPlan().toString()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plans.keys() == {1, 8}  # the large group, and the others
+    assert "SortMergeJoin" in plans[8] and plans[8].count("Exchange hashpartitioning") == 2  # the two sides of the join
