@@ -11,7 +11,7 @@ class Drawn(Exception):
     pass
 
 
-@pytest.mark.parametrize("name", ["m13_segmentation_search"])
+@pytest.mark.parametrize("name", ["m13_segmentation_search", "r3_segmentation_scoring"])
 def test_every_draw_of_a_family_is_made(spark, monkeypatch, name):
     def stop(space, n_iter, seed=42):
         raise Drawn(n_iter)
