@@ -74,6 +74,7 @@ def shingle_sets(texts: list, words: int = WORDS) -> list[np.ndarray]:
     for t in texts:
         w = (t or "").encode("utf-8", "surrogatepass").lower().split()
         seqs.append(np.fromiter(map(vocab.__getitem__, w), np.int64, len(w)))
+    vocab.default_factory = None  # it holds the vocabulary: a cycle that stays until the collector runs
     keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocab), np.uint64, len(vocab))
     out = []
     for seq in seqs:
@@ -157,15 +158,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
         yield close()
 
 
-def _ask(ranges: int):
+def range_edges(ranges: int, percent: int) -> np.ndarray:
+    """Where hash ranges begin: ``ranges`` over the share of the hash space that is listed of every set
+    and as many over the rest, where only the prefixes of short sets lie."""
+    low = int(min(max(COUNTED, 1 - percent / 100), 0.9) * 2 ** 64)
+    return np.array([i * low // ranges for i in range(ranges)]
+                    + [low + i * (2 ** 64 - low) // ranges for i in range(ranges)], np.uint64)
+
+
+def _ask(ranges: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+        edges = range_edges(ranges, percent)
         for number, _, flat, _ in _blocks(batches):
             keys, n = np.unique(flat, return_counts=True)
             cut = np.append(np.searchsorted(keys, edges), len(keys))
             out = [(number, i, squeeze_sorted(keys[cut[i]:cut[i + 1]]),
                     squeeze(n[cut[i]:cut[i + 1]].astype(np.uint32)))
-                   for i in range(ranges) if cut[i] < cut[i + 1]]
+                   for i in range(len(edges)) if cut[i] < cut[i + 1]]
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -226,7 +235,7 @@ def prefix_entries(sets: DataFrame, percent: int) -> DataFrame:
     """(token, rep, n, indexed): shared shingles of the sets' prefixes, by the global order."""
     total = sets.agg(F.sum("listed_n")).first()[0] or 0
     asked = sets.select("rep", "n", "listed").mapInArrow(
-        _ask(max(1, math.ceil(total / KEYS_PER_RANGE))), "block long, range int, keys binary, n binary")
+        _ask(max(1, math.ceil(total / KEYS_PER_RANGE)), percent), "block long, range int, keys binary, n binary")
     answers = asked.groupBy("range").applyInPandas(_answer, "block long, range int, n binary") \
         .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "n"))).alias("answers"))
     state = sets.select("rep", "n", "listed").mapInArrow(
